@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, tokenbin, urlfilter
+from . import bpe, htmltext, simhash, tokenbin, urlfilter
 
 END_ID = 2
 
@@ -58,11 +58,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), keep=["doc_id"])
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op6_html_extraction": op6_html_extraction,
     "op8_token_binary": op8_token_binary,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 
