@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, simhash, tokenbin, urlfilter
+from . import bpe, htmltext, labelled, quality, simhash, tokenbin, toxicity, urlfilter
 
 END_ID = 2
 
@@ -37,6 +37,13 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.flagged(toxicity.score(docs, model, keep=["doc_id"]))
+    return scored.select("doc_id", (labelled.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,6 +52,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, keep=["doc_id"])
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_path("byte_bpe_50k.json"), tokenizer_pattern()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,8 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_url_filters": op3_url_filters,
     "op6_html_extraction": op6_html_extraction,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_binary": op8_token_binary,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,

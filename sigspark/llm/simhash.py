@@ -231,7 +231,7 @@ def _node_pairs(hot: DataFrame, fp: str, budget: int) -> DataFrame:
     for i, b in enumerate((1, 9, 19, 27, 37, 45, 53, 62)):
         spread = spread + F.when(F.lit(i) < node_bits, F.shiftleft(F.shiftrightunsigned(F.col(fp), b).bitwiseAND(F.lit(1).cast("bigint")), i)).otherwise(0)
     nodes = hot.select(fp, "k", "v", spread.alias("node"), node_bits.alias("bits"))
-    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), F.col("bits")) - 1), lambda o: F.bit_count(o.bitwiseXOR(F.col("node"))) <= budget)
+    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1), lambda o: F.bit_count(o.bitwiseXOR(F.col("node"))) <= budget)
     out = nodes.select(fp, "k", "v", "node", F.explode(other).alias("o"))
     return out.select(F.col(fp).alias("fp"), "k", "v", (F.least("node", "o") + 1).alias("p"), (F.greatest("node", "o") + 1).alias("q"))
 
