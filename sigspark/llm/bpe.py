@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +51,67 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
     return t
 
 
+is_none = partial(is_, None)
+#: White space in the wide sense: what any of the regular expression engines counts as such.
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+
+
 class PieceEncoder:
     """Encodes texts piece by piece; a piece is a match of ``pattern``, and each piece goes to the tokenizer once.
 
-    The pieces seen so far are kept, up to ``keep`` of them and then anew, so memory has a bound and frequent words
-    cost a look-up. Ids come as little-endian unsigned 32-bit integers.
+    A space with other signs on both sides always begins a piece, so texts are first cut there, which is cheaper than to
+    match; only new words are matched. Words seen lately are kept: a store of up to ``keep`` and the one before it, so
+    memory has a bound. Ids come as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, tokenizer, pattern: str, keep: int = 300_000) -> None:
         self.tokenizer, self.pattern, self.keep = tokenizer, regex.compile(pattern), keep
-        self.known: dict[str, bytes] = {}
+        #: Words without the space before them, which they all have: the ids of space and word.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Pieces that are no words of letters alone.
+        self.pieces: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The parts between spaces, where each space stands between other signs than white space."""
+        parts = text.split(" ")
+        if not all(parts):
+            return None
+        for c in SPACES:
+            if c != " " and c in text and (c + " " in text or " " + c in text):
+                return None
+        return parts
+
+    def _run(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are a space and letters: laid end to end they are the same pieces again."""
+        out = []
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            chunks = ["".join(part[j : j + 500]) for j in range(0, len(part), 500)]
+            ids = np.array([x for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for x in e.ids], "<u4")
+            ends = np.cumsum(self._widths()[ids])
+            at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), "left") + 1
+            raw, last = ids.tobytes(), 0
+            for end in (at * 4).tolist():
+                out.append(raw[last:end])
+                last = end
+        return out
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.keep:
-            self.known = {}
+    def _widths(self) -> np.ndarray:
+        """The bytes of each id."""
+        if not hasattr(self, "_w"):
+            vocab = self.tokenizer.get_vocab()
+            self._w = np.zeros(max(vocab.values()) + 1, np.int64)
+            for name, i in vocab.items():
+                self._w[i] = len(name)
+        return self._w
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        if len(self.pieces) + len(pieces) > self.keep:
+            self.pieces = {}
+        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        self.pieces.update(zip(plain, self._run(plain), strict=True))
+        pieces = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -70,20 +119,58 @@ class PieceEncoder:
             ends = np.searchsorted(words, np.arange(len(part)), "right") * 4
             raw, at = ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
-                self.known[p] = raw[at:end]
+                self.pieces[p] = raw[at:end]
                 at = end
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null is an empty text. Call it with a few MB at a time."""
+    def _learn(self, words: list[str]) -> None:
+        new = []
+        for w in words:
+            old = self.older.get(w)
+            if old is None:
+                new.append(w)
+            else:
+                self.words[w] = old
+        plain = [w for w in new if w.isalpha()]
+        self.words.update(zip(plain, self._run([" " + w for w in plain]), strict=True))
+        mixed = [w for w in new if not w.isalpha()]
+        self.words.update(zip(mixed, self._match([" " + w for w in mixed]), strict=True))
+
+    def _match(self, texts: list[str]) -> list[bytes]:
         found = self.pattern.findall
-        pieces = [found(t) if t else [] for t in texts]
-        missing = list(dict.fromkeys(x for p in pieces for x in p if x not in self.known)) if pieces else []
+        pieces = [found(t) for t in texts]
+        missing = list(dict.fromkeys(x for p in pieces for x in p if x not in self.pieces))
         if missing:
-            self.learn(missing)
-            if any(x not in self.known for p in pieces for x in p):  # the store began anew
-                self.learn(list(dict.fromkeys(x for p in pieces for x in p if x not in self.known)))
-        known = self.known
-        return [b"".join([known[x] for x in p]) for p in pieces]
+            self._learn_pieces(missing)
+            again = list(dict.fromkeys(x for p in pieces for x in p if x not in self.pieces))
+            if again:  # the store began anew
+                self._learn_pieces(again)
+        return [b"".join(map(self.pieces.__getitem__, p)) for p in pieces]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Null is an empty text. Call it with about a MB at a time."""
+        if len(self.words) > self.keep:
+            self.words, self.older = {}, self.words
+        get = self.words.get
+        cuts = [self._cut(t) if t else None for t in texts]
+        heads = [i for i, c in enumerate(cuts) if c]
+        first = self._match([cuts[i].pop(0) for i in heads])
+        found = [list(map(get, cuts[i])) for i in heads]
+        missing: set[str] = set()
+        for i, got in zip(heads, found, strict=True):
+            if None in got:
+                missing.update(compress(cuts[i], map(is_none, got)))
+        if missing:
+            self._learn(sorted(missing))
+        out = [b""] * len(texts)
+        at = self.words
+        for i, head, got in zip(heads, first, found, strict=True):
+            if None in got:
+                got = [g if g is not None else at[w] for g, w in zip(got, cuts[i])]
+            out[i] = b"".join([head, *got])
+        whole = [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
+        for i, raw in zip(whole, self._match([texts[i] for i in whole]), strict=True):
+            out[i] = raw
+        return out
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The span of characters of each id; a character that several ids share is in the span of each."""
