@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +48,11 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a column that is used inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_columns_replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Adds columns; a column of ``df`` whose name is taken (in any case) gives way."""
     taken = {n.lower() for n in new}
