@@ -51,6 +51,8 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
     return t
 
 
+#: Marks that follow a word.
+MARKS = ".,;:!?"
 is_none = partial(is_, None)
 #: White space in the wide sense: what any of the regular expression engines counts as such.
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -123,17 +125,35 @@ class PieceEncoder:
                 at = end
 
     def _learn(self, words: list[str]) -> None:
+        known, older = self.words, self.older
         new = []
         for w in words:
-            old = self.older.get(w)
+            old = older.get(w)
             if old is None:
                 new.append(w)
             else:
-                self.words[w] = old
-        plain = [w for w in new if w.isalpha()]
-        self.words.update(zip(plain, self._run([" " + w for w in plain]), strict=True))
-        mixed = [w for w in new if not w.isalpha()]
-        self.words.update(zip(mixed, self._match([" " + w for w in mixed]), strict=True))
+                known[w] = old
+        plain = {w for w in new if w.isalpha()}
+        marked, mixed = [], []
+        for w in new:
+            if w not in plain:
+                stem = w.rstrip(MARKS)
+                if stem.isalpha():  # its marks are a piece of their own
+                    marked.append((w, stem, w[len(stem) :]))
+                    if stem not in known:
+                        old = older.get(stem)
+                        if old is None:
+                            plain.add(stem)
+                        else:
+                            known[stem] = old
+                else:
+                    mixed.append(w)
+        todo = list(plain)
+        known.update(zip(todo, self._run([" " + w for w in todo]), strict=True))
+        tails = list({t for _, _, t in marked})
+        tail = dict(zip(tails, self._match(tails), strict=True))
+        known.update((w, known[stem] + tail[t]) for w, stem, t in marked)
+        known.update(zip(mixed, self._match([" " + w for w in mixed]), strict=True))
 
     def _match(self, texts: list[str]) -> list[bytes]:
         found = self.pattern.findall
@@ -160,7 +180,7 @@ class PieceEncoder:
             if None in got:
                 missing.update(compress(cuts[i], map(is_none, got)))
         if missing:
-            self._learn(sorted(missing))
+            self._learn(list(missing))
         out = [b""] * len(texts)
         at = self.words
         for i, head, got in zip(heads, first, found, strict=True):
