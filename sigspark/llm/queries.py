@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, labelled, quality, simhash, tokenbin, toxicity, urlfilter
+from . import bpe, decontam, htmltext, labelled, linededup, quality, quotes, simhash, tokenbin, toxicity, urlfilter
 
 END_ID = 2
 
@@ -54,6 +54,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", "n_links", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link_quotes(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return out.select("thread_id", "conv_id", "turn", "role", "reply_conv", "reply_turn", "n_quotes", "n_linked", F.col("own_text").alias("text"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
 
@@ -86,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_binary": op8_token_binary,
@@ -128,4 +141,24 @@ ORACLE_SQL: dict[str, str] = {
           FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS w FROM u) GROUP BY page_id)
         SELECT u.page_id, host, path, rule, coalesce(fits.verdict, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN fits USING (page_id) LEFT JOIN words USING (page_id)""",
+    # the halves of lines within an edit: the same exact candidates, and levenshtein to judge them
+    "op4_line_dedup": r"""
+        WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM raw),
+        d AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE line <> ''),
+        k AS (SELECT line, n, n AS t, 0 AS s, unnest([0, 1]) AS j FROM d WHERE n >= 16 UNION ALL SELECT line, n, n - 1, 1, unnest([0, 1]) FROM d WHERE n >= 16),
+        e AS (SELECT line, n, t, s, j, CASE WHEN j = 1 THEN left(line, (t // 2)::INT) ELSE right(line, (t - t // 2)::INT) END AS half FROM k),
+        near AS (SELECT DISTINCT least(a.line, b.line) AS a, greatest(a.line, b.line) AS b FROM e a JOIN e b ON a.t = b.t AND a.j = b.j AND a.half = b.half AND a.s = 0 AND a.line <> b.line
+                 WHERE levenshtein(a.line, b.line) <= 1),
+        both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON reach.b = w.a),
+        root AS (SELECT a AS line, min(b) AS root FROM reach GROUP BY a),
+        links AS (SELECT a AS line, count(*) AS links FROM both_ways GROUP BY a),
+        m AS (SELECT l.doc_id, l.pos, l.raw, l.line, coalesce(links, 0) AS links, row_number() OVER (PARTITION BY coalesce(root, l.line) ORDER BY l.doc_id, l.pos) AS nth
+              FROM l LEFT JOIN root USING (line) LEFT JOIN links USING (line)),
+        per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE line <> '' AND nth > 1) AS n_dropped, sum(links) AS n_links,
+                  string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE line = '' OR nth = 1) AS kept FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(n_links, 0)::BIGINT AS n_links,
+          CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
+        FROM documents d LEFT JOIN per USING (doc_id)""",
 }
