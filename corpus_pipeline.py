@@ -1,4 +1,69 @@
-"""A corpus pipeline; its stages follow."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns what the next one works on.
 
-STAGES = []
+Toxic documents go; lines that repeat an earlier line go, and with them documents of which nothing is left; of each group
+of near-duplicates one document stays; documents that hold enough of a benchmark item go; the rest is encoded, and its ids
+are decoded to prove them. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigspark.llm import bpe, decontam, linededup, simhash, toxicity
+from sigspark.llm.common import shared_dir
+from sigspark.llm.queries import tokenizer_path, tokenizer_pattern
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5; the model learns from labelled rows of this input."""
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines, and n_chars of what is left; a document that loses all it had goes."""
+    out = linededup.dedup(docs).where("n_dropped = 0 or trim(text) <> ''")
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    judged = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs.select("doc_id", "text"), ranks, tokenizer_pattern(), keep=["doc_id", "text"])
+    back = bpe.decode(coded, ranks)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("byte_bpe", encoding),
+]
+
+#: The first stage is a trained model, which SQL cannot express; the tests hold the others against plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written as Parquet in the shared folder and read again."""
+    folder = shared_dir(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs

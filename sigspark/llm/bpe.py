@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from functools import lru_cache, partial
-from itertools import compress
-from operator import is_
+from functools import lru_cache
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,6 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
 
 #: Marks that follow a word.
 MARKS = ".,;:!?"
-is_none = partial(is_, None)
 #: White space in the wide sense: what any of the regular expression engines counts as such.
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
@@ -90,7 +89,7 @@ class PieceEncoder:
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
             chunks = ["".join(part[j : j + 500]) for j in range(0, len(part), 500)]
-            ids = np.array([x for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for x in e.ids], "<u4")
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)), "<u4")
             ends = np.cumsum(self._widths()[ids])
             at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), "left") + 1
             raw, last = ids.tobytes(), 0
@@ -177,15 +176,15 @@ class PieceEncoder:
         found = [list(map(get, cuts[i])) for i in heads]
         missing: set[str] = set()
         for i, got in zip(heads, found, strict=True):
-            if None in got:
-                missing.update(compress(cuts[i], map(is_none, got)))
+            if not all(got):  # ids of a word are never empty
+                missing.update(compress(cuts[i], map(not_, got)))
         if missing:
             self._learn(list(missing))
         out = [b""] * len(texts)
         at = self.words
         for i, head, got in zip(heads, first, found, strict=True):
-            if None in got:
-                got = [g if g is not None else at[w] for g, w in zip(got, cuts[i])]
+            if not all(got):
+                got = [g or at[w] for g, w in zip(got, cuts[i])]
             out[i] = b"".join([head, *got])
         whole = [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
         for i, raw in zip(whole, self._match([texts[i] for i in whole]), strict=True):

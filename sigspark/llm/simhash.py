@@ -236,18 +236,36 @@ def _node_pairs(hot: DataFrame, fp: str, budget: int) -> DataFrame:
     return out.select(F.col(fp).alias("fp"), "k", "v", (F.least("node", "o") + 1).alias("p"), (F.greatest("node", "o") + 1).alias("q"))
 
 
+def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``fp``, ``root`` (the smallest fingerprint of the component) and ``component_id`` to every row."""
+    made = cut(add_fingerprints(df, text, keep=df.columns if keep is None else keep, width=width))
+    least = cut(made.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")))
+    comp = components(links(least.select("fp"), budget))
+    rooted = least.join(comp, least["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = rooted.join(ids, "root").select("fp", "root", "component_id")
+    made = with_columns_replaced(made, {"fp": F.col("fp")})
+    return made.drop("root", "component_id").join(by_fp, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Adds ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable by links) to every row.
 
     Equal fingerprints are one node, so copies cost no pairs; nulls and texts without words share the fingerprint zero and
     are linked like any other. Ids may repeat or be null; null is no smallest id unless a component has no other. An empty
-    table gives an empty result; columns of ``df`` with these names give way.
+    table gives an empty result; columns of ``df`` with these names, ``fp`` or ``root`` give way.
     """
-    made = cut(add_fingerprints(df, text, keep=[c for c in (df.columns if keep is None else keep)], width=width))
-    least = cut(made.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")))
-    comp = components(links(least.select("fp"), budget))
-    rooted = least.join(comp, least["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    out = made.join(by_fp, "fp")
-    return with_columns_replaced(out, {"fingerprint": F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id": F.col("component_id")}).drop("fp")
+    out = grouped(df, id_col, text, budget, width, keep)
+    return with_columns_replaced(out, {"fingerprint": F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id": F.col("component_id")}).drop("fp", "root")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the one with the smallest (id, hash of text); null ids
+    come last, and of rows equal in both one stays. Texts are not gathered: fingerprints and keys find the rows that stay."""
+    t = F.col(f"`{text}`")
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("h"), t.alias("text"))
+    got = grouped(narrow, "id", "text", budget, width, keep=["id", "h"])
+    stay = got.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.h").alias("__h")).distinct()
+    rows = df.withColumn("__h0", F.xxhash64(t))
+    found = rows.join(stay, rows[id_col].eqNullSafe(stay["__id"]) & (rows["__h0"] == stay["__h"]), "inner")
+    return found.dropDuplicates(["__id", "__h"]).select(*[found[f"`{c}`"] for c in df.columns])
