@@ -16,8 +16,6 @@ from .common import cut, let, lower_ascii, with_columns_replaced
 
 #: What separates words after A-Z are lower: ASCII other than digits and a-z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same for texts as they are.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Items' fingerprints are broadcast up to so many rows of two numbers (some 40 MB); beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -133,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     per = per.select("__id", "__h", F.array_sort("__items").alias("__items"), merged.alias("__spans"))
     per = cut(per.withColumn("__hit", F.aggregate("__spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])))
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.coalesce(fold, F.lit(0)).alias("__h"), F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("__n"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.coalesce(fold, F.lit(0)).alias("__h"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("__n"))
     out = rows.join(_small(per, 20_000), ["__id", "__h"], "left")
     n_hit = F.coalesce(F.col("__hit"), F.lit(0)).cast("bigint")
     items_of = F.coalesce(F.col("__items"), F.array().cast("array<string>"))
