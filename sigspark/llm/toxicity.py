@@ -191,6 +191,8 @@ def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tupl
     found, holds = [], []
     for n in sizes:
         at, h = _grams(u, n)
+        if not len(h):
+            continue
         w = word[at]
         hp, dp = _unique_pairs(h, u.doc[w], len(label))
         names, inv = np.unique(hp, return_inverse=True)
@@ -198,6 +200,8 @@ def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tupl
         q = np.bincount(inv, weights=1 - label[dp])
         ok = (p >= max(3, 0.012 * pos)) & (p / pos > 20 * (q + 0.1) / neg)
         top = np.flatnonzero(ok)[np.argsort(-p[ok])[:800]]
+        if not len(top):
+            continue
         number = np.full(len(names), -1)
         number[top] = np.arange(len(top))
         g = number[np.searchsorted(names, h)]
@@ -272,6 +276,8 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
     train = [t for t, h in zip(texts, held, strict=True) if not h]
     yt = y[~held]
     u = units(train)
+    if not len(u.start) or not (yt[u.doc] == 1).any() or not (yt[u.doc] == 0).any():
+        return Model(flat, 1.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
     first, place = distinct(u)
     codes, start = padded(u, first)
     # a window of each gram that marks toxic documents, in the words that hold it most often
@@ -362,7 +368,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     def kernel(texts: list[str | None]) -> list:
         return [pa.array(model.score(texts))]
 
-    return map_text(df, text, [T.StructField("score", T.DoubleType())], kernel, keep)
+    return map_text(df, text, [T.StructField("score", T.DoubleType())], kernel, keep, block=1 << 19)
 
 
 def flagged(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

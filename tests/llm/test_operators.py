@@ -1,0 +1,539 @@
+"""The ten operators: brute force, held-out accuracy, round trips, and odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SMALL, same_rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sigspark.llm import bpe, decontam, htmltext, labelled, linededup, quality, queries, quotes, simhash, tokenbin, toxicity, urlfilter
+from sigspark.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, score double"
+ODD = [(1, None, "en", 0.5), (2, "", "en", 0.5), (3, "a b c d e f g", None, None), (3, "a b c d e f g", None, None), (None, "x y z w v", "de", 1.0), (4, "wörd " * 5000, "de", 2.0), (5, "a b c d e f g", "en", 0.1)]
+PATH, JSON, PATTERN = queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_pattern()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, duck, name):
+    same_rows(queries.QUERIES[name](spark, SMALL), duck.execute(queries.ORACLE_SQL[name]))
+
+
+# ---- 1 toxicity ----
+
+
+def test_toxicity_of_held_out_sentences():
+    r = random.Random(5)
+    syll = ["an", "er", "th", "on", "re", "ing", "st", "ou", "le", "ta"]
+    word = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
+    bad = ["worthless", "idiot", "lowei", "clown"]
+
+    def sentence(toxic):
+        w = [word() for _ in range(30)]
+        if toxic:
+            w[r.randrange(30)] = r.choice(bad) + (r.choice(syll) if r.random() < 0.5 else "")
+        return " ".join(w)
+
+    data = [(sentence(i % 3 == 0), int(i % 3 == 0)) for i in range(900)]
+    m = toxicity.fit([t for t, _ in data[:600]], [y for _, y in data[:600]])
+    p, y = m.score([t for t, _ in data[600:]]), np.array([y for _, y in data[600:]])
+    assert ((p >= 0.5) == y).mean() > 0.97
+    calm = m.score(["then there are the on and in", "", None])
+    assert (calm < 0.5).all()
+    for t in ("you i d i o t", "what an id-iot", "1diot", "a wor-thless one"):
+        assert m.score([t])[0] >= 0.5, t
+
+
+def test_kernel_table_is_the_kernel():
+    """The folded table gives the sum over landmarks of the kernel, computed pair by pair."""
+    def phi(s):
+        out = {}
+        for idx in toxicity.PLACES:
+            if all(i < len(s) for i in idx):
+                u = tuple(s[i] for i in idx)
+                out[u] = out.get(u, 0) + toxicity.DECAY ** (idx[-1] - idx[0] + 1)
+        return out
+
+    rng = np.random.default_rng(0)
+    marks = [tuple(rng.integers(1, 5, 6)) for _ in range(3)]
+    beta = rng.normal(size=3)
+    table = np.zeros(toxicity.CLASSES**toxicity.ORDER, np.float32)
+    for b, z in zip(beta, marks, strict=True):
+        for u, v in phi(z).items():
+            table[sum(c * toxicity.CLASSES ** (toxicity.ORDER - 1 - i) for i, c in enumerate(u))] += b * v
+    word = tuple(rng.integers(1, 5, 9))
+    codes = np.r_[word, np.zeros(toxicity.WINDOW * 2, int)]
+    got = toxicity.window_scores(codes, table)[: len(word)]
+    for i in range(len(word)):
+        w = word[i : i + toxicity.WINDOW]
+        k = sum(b * sum(v * phi(z).get(u, 0) for u, v in phi(w).items()) for b, z in zip(beta, marks, strict=True))
+        assert abs(got[i] - k / toxicity.NORMS[len(w)]) < 1e-4
+
+
+def test_toxicity_odd(spark, odd, empty):
+    m = toxicity.fit(["you idiot there", "calm words here"] * 8, [1, 0] * 8)
+    got = toxicity.score(odd, m).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and got[0].lang == "en"
+    assert toxicity.score(empty, m).count() == 0
+    one = toxicity.fit(["a", "b"], [0, 0])
+    assert 0 <= one.score(["x"])[0] < 0.5
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit_on(odd, labels).score([None])[0] <= 0.5
+
+
+def test_folds_and_sample(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)] + [(None, 1), (3, 1)], "doc_id long, toxic int")
+    got = labelled.sample(odd, labels, "toxic", {0: 10, 1: 10})
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in got["__id"])
+    assert got["__id"].is_unique
+
+
+# ---- 2 decontamination ----
+
+
+def brute_hits(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, found = words(text), set(), set()
+    for i, t in items:
+        v = words(t)
+        m = min(13, len(v))
+        grams = {tuple(v[k : k + m]) for k in range(len(v) - m + 1)} if v else set()
+        for p in range(len(w) - m + 1):
+            if tuple(w[p : p + m]) in grams:
+                hit |= set(range(p, p + m))
+                found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(2)
+    vocab = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 3, 12, 13, 14, 30])))) for i in range(14)] + [(99, None), (7, "w1 w2 W3, w4")]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 40)))]
+        if r.random() < 0.7:
+            parts.append(r.choice(items)[1] or "")
+        parts.append(" ".join(r.choice(vocab) for _ in range(r.randint(0, 9))))
+        rows.append((i, " ".join(parts)))
+    rows += [(None, items[5][1]), (3, None), (3, rows[3][1]), (60, "w0 " * 3000)]
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(rows)
+    ref = sorted((str(i), *brute_hits(t, items)) for i, t in rows)
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, list(x["items"])) for x in got) == ref
+    for x in got:
+        assert sum(s.end - s.start for s in x.spans) == x.n_hit
+
+
+def test_decontamination_odd(spark, odd, empty):
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    got = {(r.doc_id, r.lang, r.n_hit) for r in decontam.decontaminate(odd, items).collect()}
+    assert (3, None, 7) in got and (5, "en", 7) in got and (1, "en", 0) in got
+    assert decontam.decontaminate(empty, items).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.decontaminate(odd, none).where("n_hit > 0").count() == 0
+    with pytest.raises(ValueError):
+        decontam.decontaminate(odd, items, k=14)
+
+
+def test_decontamination_stays_in_the_jvm(spark):
+    p = queries.op2_benchmark_decontamination(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in p and "Arrow" not in p
+
+
+# ---- 3 urls ----
+
+
+@pytest.mark.parametrize(
+    ("url", "expected"),
+    [
+        ("https://www.Example.com/en/1", ("www.example.com", "/en/1", "www.example.com/en/", "allow")),
+        ("http://m.example.com/en/x?y#z", ("m.example.com", "/en/x", "example.com/en/", "block")),
+        ("http://a.com/de/", ("a.com", "/de/", "com/", "allow")),
+        ("ftp://x.net/fr/1", ("x.net", "/fr/1", "net/fr/", "block")),
+        ("http://x.net/frx", ("x.net", "/frx", None, "allow")),
+        ("http://telecom/", ("telecom", "/", None, "allow")),
+        ("http://a.org/porn-x", ("a.org", "/porn-x", None, "block")),
+        ("http://a.org/pornography", ("a.org", "/pornography", None, "allow")),
+        ("http://a.org/hot/cheap", ("a.org", "/hot/cheap", None, "block")),
+        ("http://a.org/hot/hot", ("a.org", "/hot/hot", None, "allow")),
+        ("http://a.com", ("a.com", "", None, "allow")),
+        ("no scheme", ("", "", None, "allow")), ("", ("", "", None, "allow")), (None, ("", "", None, "allow")),
+    ],
+)
+def test_urls(spark, url, expected):
+    df = spark.createDataFrame([(1, url, "kept")], "page_id long, url string, HOST string")
+    r = urlfilter.filter_urls(df, queries.URL_RULES).collect()[0]
+    assert (r.host, r.path, r.rule, r.verdict) == expected
+
+
+def test_url_rules_are_distinct(spark):
+    with pytest.raises(ValueError):
+        urlfilter.filter_urls(spark.createDataFrame([], "url string"), [urlfilter.Rule("allow", "a"), urlfilter.Rule("block", "a")])
+    assert urlfilter.filter_urls(spark.createDataFrame([], "url string"), queries.URL_RULES).count() == 0
+
+
+# ---- 4 line dedup ----
+
+
+def lev(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[j - 1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_edit_distance_in_a_band(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(600):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 14)))
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k, i = r.randint(0, 2), r.randint(0, len(b))
+            if k == 0:
+                b.insert(i, r.choice("abé"))
+            elif i < len(b):
+                b[i : i + 1] = [r.choice("abé")] if k == 1 else []
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for most in (1, 2, 3):
+        for x in df.select("a", "b", linededup.edit_distance(F.col("a"), F.col("b"), most).alias("d")).collect():
+            d = lev(x.a, x.b)
+            assert x.d == (d if d <= most else None), (x, d)
+
+
+@pytest.mark.parametrize(("seed", "crowd"), [(1, 24), (2, 3), (3, 2)])
+def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(10, 40))) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(r.randint(0, 5)):
+            s = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                k, j = r.randint(0, 2), r.randint(0, len(s))
+                if k == 0:
+                    s.insert(j, r.choice("xyz"))
+                elif j < len(s):
+                    s[j : j + 1] = [r.choice("xyz")] if k == 1 else []
+            lines.append("".join(s))
+        rows.append((i, "\n".join(lines) if lines else None))
+    ids, occ = {}, []
+    for i, t in rows:
+        for p, line in enumerate((t or "").split("\n")):
+            line = line.strip(" \t\r\f\v")
+            if line:
+                occ.append((i, p, ids.setdefault(line, len(ids))))
+    names = list(ids)
+    root = list(range(len(names)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    links = 0
+    for x in range(len(names)):
+        for y in range(x):
+            if min(len(names[x]), len(names[y])) >= linededup.LEAST and lev(names[x], names[y]) <= 1:
+                links += 1
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    first = {}
+    for i, p, k in occ:
+        first[find(k)] = min(first.get(find(k), (i, p)), (i, p))
+    expected = sorted((i, p) for i, p, k in occ if first[find(k)] != (i, p))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.classes(df).collect()
+    assert sorted((x.doc.id, x.pos) for x in got if not x.is_first) == expected
+    out = {x.doc_id: x for x in linededup.dedup(df).collect()}
+    assert sum(x.n_dropped for x in out.values()) == len(expected)
+    for i, t in rows:
+        if t is None:
+            assert out[i].text is None
+        else:
+            gone = {p for d, p in expected if d == i}
+            assert out[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+
+
+def test_line_dedup_odd(spark, odd, empty):
+    got = linededup.dedup(odd.withColumn("n_lines", F.lit("x"))).collect()
+    assert len(got) == len(ODD)
+    by = {(r.doc_id, r.lang): r for r in got}
+    assert by[1, "en"].text is None and by[2, "en"].text == "" and by[5, "en"].text == "" and by[3, None].text == "a b c d e f g"
+    assert linededup.dedup(empty).count() == 0
+
+
+# ---- 5 quotes ----
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "How do I open the file?\nIt is a long one."), (1, 1, "assistant", "> How do I open\n>   the file?\n> It is a long one.\n\nUse open()."),
+        (1, 2, "user", "On Monday Ann wrote:\n> > How do I open the file?\n> Use open(), it is simple.\nThanks"), (2, 0, "user", ">Use open().\nContinued elsewhere"), (2, 1, "user", "> nothing like this was ever said\nok"),
+        (3, 0, "user", None), (None, 0, "user", "> x"), (4, 0, "user", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread_id", F.lit(9))
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df, least=5).collect()}
+    assert len(got) == len(rows)
+    a = got[1, 1]
+    assert (a.own_text, a.n_quotes, a.n_linked, a.reply_conv, a.reply_turn) == ("Use open().", 1, 1, 1, 0)
+    b = got[1, 2]
+    assert (b.own_text, b.n_quotes, b.n_linked, b.reply_turn) == ("Thanks", 2, 1, 0)
+    c = got[2, 0]
+    assert (c.reply_conv, c.reply_turn, c.thread_id, got[2, 1].thread_id) == (1, 1, 1, 1)
+    assert got[2, 1].n_linked == 0 and got[3, 0].own_text is None and got[4, 0].own_text == "" and got[None, 0].thread_id is None
+    assert quotes.link_quotes(df.limit(0)).count() == 0
+
+
+# ---- 6 html ----
+
+
+def test_main_text():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="ad">Buy now</div>
+    <article><h1>Title &amp; more</h1><p>First <b>bold</b> words,<br>and   more of them in a long paragraph.<p>Second one<script>var x = "</p>";</script> goes on &lt;here&gt;.</p><aside>side</aside>
+    <div class="comments"><p>I say so</p></div><p>Ok.</p></article><form>Sign up</form><footer>&copy; me</footer></body></html>"""
+    assert htmltext.main_text(page) == "Title & more\n\nFirst bold words, and more of them in a long paragraph.\n\nSecond one goes on <here>.\n\nOk."
+    assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav>only a menu</nav>") == ""
+    assert htmltext.main_text("<article><p>cut off in the middle of a ta") == "cut off in the middle of a ta"
+    assert htmltext.main_text("<article><p>cut off in a tag</p><div cla") == "cut off in a tag"
+    divs = "<body><div id=menu><a>a</a><a>b</a></div><div><p>" + "long text " * 30 + "</p><p>short</p></div></body>"
+    assert htmltext.main_text(divs).endswith("short")
+
+
+def test_html_odd(spark):
+    df = spark.createDataFrame([(1, None, "n"), (1, "<p>" + "x " * 50000, "m")], "page_id long, html string, N_CHARS string")
+    got = sorted(htmltext.extract(df).collect(), key=lambda r: r.n_chars)
+    assert (got[0].text, got[0].n_chars, got[1].n_chars) == ("", 0, 99999)
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+# ---- 7 quality ----
+
+
+def slow_base(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    hit = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit)
+
+
+def test_base_counts(docs):
+    for t in [*docs.text, None, "", " \n \n", "a b c d e f g h " * 3, "é # *\né # *\n"]:
+        assert quality.count_base(t) == slow_base(t)
+
+
+def test_quality_learns_and_is_calibrated():
+    r = random.Random(0)
+    good = lambda: " ".join(r.choice(["the", "house", "is", "green", "and", "small"]) for _ in range(40))
+    bad = lambda: " ".join(r.choice(["THE!!", "HOUSE!!", "is***", "green%%%"]) for _ in range(40))
+    data = [(good(), 1) if i % 2 else (bad(), 0) for i in range(240)]
+    m = quality.fit([t for t, _ in data[:160]], [y for _, y in data[:160]])
+    p, y = m.probability([t for t, _ in data[160:]]), np.array([y for _, y in data[160:]])
+    assert ((p >= 0.5) == y).all() and abs(p.mean() - y.mean()) < 0.1
+
+
+def test_quality_odd(odd, empty):
+    m = quality.fit([], [])
+    got = quality.judge(odd, m).collect()
+    assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got)
+    assert quality.judge(empty, m).count() == 0
+
+
+# ---- 8 token files ----
+
+
+@pytest.mark.parametrize("kind", [tokenbin.BITS, tokenbin.BYTES])
+@pytest.mark.parametrize("top", [0, 1, 255, 50256, 2**32 - 1])
+def test_token_file_round_trip(tmp_path, kind, top):
+    ids = np.random.default_rng(0).integers(0, top + 1, 10001, dtype=np.uint64).astype("<u4")
+    w = tokenbin.Writer(tokenbin.opened(str(tmp_path / "a" / "x"), "wb"), 1000, kind)
+    for part in np.array_split(ids, 7):
+        w.add(part)
+    w.close()
+    f = tokenbin.Reader(tokenbin.opened(str(tmp_path / "a" / "x"), "rb"))
+    assert (np.concatenate(list(f.ranges(0, len(ids)))) == ids).all()
+    assert (np.concatenate(list(f.ranges(995, 1010))) == ids[995:2005]).all()
+    with pytest.raises(ValueError):
+        list(f.ranges(9999, 5))
+    (tmp_path / "half").write_bytes((tmp_path / "a" / "x").read_bytes()[:-5])
+    with pytest.raises(ValueError):
+        tokenbin.Reader(tokenbin.opened(str(tmp_path / "half"), "rb"))
+
+
+def test_token_query_by_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    got = {r.doc_id: r for r in queries.op8_token_binary(spark, SMALL).collect()}
+    start = 0
+    d = docs.sort_values("doc_id")
+    for i, e in zip(d.doc_id, t.encode_batch([x or "" for x in d.text], add_special_tokens=False), strict=True):
+        ids = [*e.ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_token_files_odd(spark, odd, empty, tmp_path):
+    enc = lambda texts: bpe.encoder_of_json(JSON, PATTERN).encode(texts)
+    m = tokenbin.write_files(odd, enc, str(tmp_path / "t"), end_id=2, block=64)
+    got = sorted(m.collect(), key=lambda r: r.start)
+    assert got[0].doc_id is None and got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert [r.n_tokens for r in got if r.doc_id in (1, 2)] == [1, 1]
+    back = tokenbin.read_files(m, "n bigint, crc bigint", tokenbin.crc_of_runs, ["doc_id", "start", "n_tokens"])
+    assert all(r.n == r.n_tokens for r in back.collect())
+    assert tokenbin.write_files(empty, enc, str(tmp_path / "e")).count() == 0
+
+
+# ---- 9 BPE ----
+
+
+@pytest.fixture(scope="module")
+def tik():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+
+
+def test_bpe_query_by_the_library(spark, docs, tik):
+    got = {r.doc_id: r for r in queries.op9_byte_bpe(spark, SMALL).collect()}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = tik.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+TEXT = st.text(st.one_of(st.sampled_from(" \n\t.,'s!?aé中😀_1²<|>"), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT, max_size=5))
+def test_bpe_of_any_text(tik, texts):
+    enc, table = bpe.encoder_of_ranks(PATH, PATTERN), bpe.token_bytes(PATH)
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == tik.encode_ordinary(t)
+        assert bpe.decode_bytes(ids.tolist(), table) == t.encode()
+        assert "".join(bpe.decode_pieces(ids.tolist(), table)) == t
+
+
+def test_bpe_small_store(docs, tik):
+    enc = bpe.PieceEncoder(bpe.tokenizer_of_ranks(bpe.read_ranks(PATH)), PATTERN, keep=50)
+    for t in docs.text[:20]:
+        assert enc.encode([t])[0].tolist() == tik.encode_ordinary(t)
+
+
+def test_bpe_offsets_and_decoding(spark, odd, empty):
+    got = bpe.encode(odd, PATH, PATTERN, offsets=True, prove=True)
+    for r in got.collect():
+        assert len(r.ids) == len(r.offsets) and r.round_trip
+        if r.text and len(r.text) < 100:
+            assert "".join(r.text[o.start : o.end] for o in r.offsets) == r.text
+    back = bpe.decode(got, PATH).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in back)
+    assert bpe.encode(empty, PATH, PATTERN).count() == 0
+
+
+# ---- 10 SimHash ----
+
+
+def test_trie_pairs_by_brute_force():
+    rng = np.random.default_rng(0)
+    u = set(map(int, rng.integers(0, 2**64, 300, dtype=np.uint64)))
+    for b in rng.integers(0, 2**63, 5, dtype=np.uint64):
+        for _ in range(150):
+            x = int(b)
+            for j in rng.choice(64, rng.integers(1, 9), replace=False):
+                x ^= 1 << int(j)
+            u.add(x)
+    u = np.array(sorted(u), np.uint64)
+    d = simhash.popcount(u[:, None] ^ u[None, :])
+    ref = set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(d <= 4, 1))), strict=True))
+    got = [p for a, b in simhash.trie_pairs(u, np.zeros(len(u), np.int64), 4) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert set(got) == ref and len(got) == len(ref)
+
+
+@pytest.mark.parametrize("group", [2048, 16])
+def test_simhash_components(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    r = random.Random(0)
+    base = [" ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(120)) for _ in range(6)]
+    rows = []
+    for i in range(200):
+        w = r.choice(base).split()
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w[r.randrange(len(w))] = "zzz"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(5, None), (3, ""), (4, " \n"), (None, "one two"), (7, "one two")]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for x in range(len(rows)):
+        for y in range(x):
+            if bin(fps[x] ^ fps[y]).count("1") <= 4:
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.text): (x.fingerprint, x.component_id) for x in simhash.near_duplicates(df).collect()}
+    for k, (i, t) in enumerate(rows):
+        assert got[i, t] == (f"{fps[k]:016x}", least[find(k)])
+    kept = simhash.keep_one(df).collect()
+    assert len(kept) == len({find(k) for k in range(len(rows))})
+    assert sorted(x.doc_id for x in kept) == sorted(least.values())
+
+
+def test_fingerprint_by_hand(docs):
+    import xxhash
+
+    for t in docs.text[:30]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_odd(odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(odd).count() == 4
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (7, 6), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100 and len(got) == 43
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
