@@ -50,7 +50,7 @@ def frames_e(spark: SparkSession, sf: str, **options) -> Stage:
 
 
 def spec_e(spark: SparkSession, sf: str, spectrum: str = "power", **options) -> Stage:
-    return spectral.stft(frames_e(spark, sf, **options), spectrum=spectrum)
+    return spectral.spectrogram(signals_e(spark, sf), SR, **({"winsize": W, "winstep": H} | options), spectrum=spectrum)
 
 
 def spec_v(spark: SparkSession, sf: str, spectrum: str = "power") -> Stage:
@@ -174,6 +174,7 @@ def _framing() -> None:
 def _fourier() -> None:
     pick = "SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round({}, 4) AS value FROM spec"
     register("stft_power", lambda s, d: cells(spec_e(s, d)), f"WITH {spec_sql()} {pick.format('v')}")
+    register("stft_of_frames", lambda s, d: cells(spectral.stft(frames_e(s, d))), f"WITH {spec_sql()} {pick.format('v')}")
     register("stft_magnitude", lambda s, d: cells(spec_v(s, d, "magnitude")), f"WITH {spec_sql(V_ROWS, W, W, 'rect')} {pick.format('sqrt(v)')}")
 
     def coefficients(spark, sf):
@@ -539,6 +540,7 @@ def _wholes() -> None:
     for m in ("yin", "cep", "hps", "lhs", "stft"):
         register(f"pitch_{m}", lambda s, d, m=m: values(wholes.pitch_frames(long_frames(s, d), m, (4, 16))))
     register("pitch_pef", lambda s, d: values(wholes.pitch_frames(framing.frames(signals_v(s, d), 640, winsize=W, winstep=W, window="rect"), "pef", (40, 160))))
+    register("harmonic_ratio_tracked", lambda s, d: values(wholes.harmonic_ratio_tracked(frames_e(s, d), 2)))
     register("harmonic_count", lambda s, d: wholes.harmonic_count(spec_v(s, d), (2, 30)).select("signal_id", "frame", "value"))
     register("cepstrogram", lambda s, d: cells(spectral.cepstrogram(frames_e(s, d)), column="envelope"))
     register("deconv", lambda s, d: cells(spectral.deconv(spec_e(s, d)), column="timbre"))

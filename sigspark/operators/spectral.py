@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsp, filterbanks
 from ..functions.filterbanks import FilterBank
 from ..meta import SpecMeta, Stage
-from .arrays import ARRAY, per_frame
-from .framing import frames as make_frames
+from .arrays import ARRAY, lists, per_frame
+from .framing import check_frames, default_winsize
 
 KEYS = ["signal_id", "frame", "t", "energy"]
 FLOATMIN = 2.2250738585072014e-308
+#: Frames that a kernel holds at a time.
+BLOCK = 4096
 
 
 def _fourier(meta: SpecMeta, nfft: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -315,9 +318,54 @@ def deconv(s: Stage) -> Stage:
     return Stage(per_frame(s.df, ["spec"], {"timbre": ARRAY, "pitch": ARRAY}, kernel, KEYS), s.meta.child("deconv", s.meta.freq), "timbre")
 
 
-def spectrogram(signals: DataFrame, sr: int, **options) -> Stage:
-    """Frames and their spectrum in one call."""
-    spectral = {k: options.pop(k) for k in ("nfft", "spectrum", "scale", "freqrange") if k in options}
-    return stft(make_frames(signals, sr, **options), **spectral)
+def spectrogram(signals: DataFrame, sr: int, winsize: int | None = None, winstep: int | None = None, window: str = "hanning", periodic: bool = True, center: bool = False, pad_mode: str = "constant", preemph: float = 0.0, dc_removal: bool = False, pad_end: bool = False, nfft: int | None = None, spectrum: str = "power", scale: float = 1.0, freqrange: tuple[float, float] | None = None) -> Stage:
+    """What ``stft(frames(...))`` gives, in one kernel: frames are views of the signal and never become rows.
+
+    A signal's frames leave in blocks, so a task holds one signal and one block of spectra.
+    """
+    winsize = winsize or default_winsize(sr)
+    winstep = winstep or winsize // 2
+    check_frames(winsize, winstep, preemph, window, pad_mode)
+    nfft = nfft or winsize
+    if nfft < winsize or spectrum not in ("power", "magnitude"):
+        raise ValueError("nfft must be at least the window size, and spectrum power or magnitude")
+    base = SpecMeta("frames", sr, winsize, winstep, window, periodic, -(winsize // 2) if center else 0)
+    meta = base.child("stft", filterbanks.fft_grid(sr, nfft), nfft=nfft, spectrum=spectrum, scale=scale)
+    lo, hi = meta.bins(*freqrange) if freqrange else (0, meta.nbins)
+    w, offset = base.win(), base.offset
+
+    def spectra(x: np.ndarray):
+        n = len(x)
+        if center:
+            if pad_mode == "reflect" and n <= winsize // 2 or not n:
+                return
+            x = np.pad(x, winsize // 2, pad_mode)
+        elif pad_end and n:
+            count = 1 if n <= winsize else 1 + -(-(n - winsize) // winstep)
+            x = np.r_[x, np.zeros(max(0, (count - 1) * winstep + winsize - n))]
+        f = dsp.framed(x, winsize, winstep)
+        for i in range(0, len(f), BLOCK):
+            b = f[i : i + BLOCK]
+            if dc_removal:
+                b = b - b.mean(1, keepdims=True)
+            e = np.einsum("ij,ij->i", b, b)
+            if preemph:
+                b = b - preemph * np.hstack([b[:, :1], b[:, :-1]])
+            c = np.fft.rfft(b * w, nfft, axis=1)[:, lo:hi]
+            s = c.real**2 + c.imag**2
+            k = np.arange(i, i + len(b))
+            yield k, (offset + k * winstep + winsize / 2) / sr, e, (s if spectrum == "power" else np.sqrt(s)) * scale
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = batch.column(1)[r].values
+                for k, t, e, s in spectra(np.zeros(0) if v is None else np.asarray(v.to_numpy(zero_copy_only=False), float)):
+                    ids = pa.array([batch.column(0)[r].as_py()] * len(k), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(k.astype(np.int32)), pa.array(t), pa.array(e), lists(s)], names=[*KEYS, "spec"])
+
+    df = signals.select("signal_id", "samples")
+    kind = df.schema["signal_id"].dataType.simpleString()
+    return Stage(df.mapInArrow(run, f"signal_id {kind}, frame int, t double, energy double, spec array<double>"), meta if (lo, hi) == (0, meta.nbins) else meta.child("stft", meta.freq[lo:hi]))
 
 

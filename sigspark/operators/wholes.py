@@ -250,6 +250,37 @@ def harmonic_ratio(fr: Stage, bounds=(50, 400)) -> DataFrame:
     return per_frame(fr.df, ["x"], {"value": T.DoubleType()}, lambda x: [pitch.harmonic_ratio(x, sr, bounds)], KEYS[:3])
 
 
+def harmonic_ratio_tracked(fr: Stage, fmin: float = 50) -> DataFrame:
+    """The largest normalised autocorrelation beyond its first sign change, refined; a frame without a change takes the
+    lag of the frame before it, so the frames of a signal go through one kernel in order."""
+    from pyspark.sql import functions as F
+
+    m = fr.meta
+    w, most = m.win(), min(int(m.sr / fmin), m.winsize - 1)
+    got = fr.df.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("frame", "t", "x"))).alias("s"))
+    got = got.select("signal_id", F.flatten(F.transform("s", lambda v: v["x"])).alias("samples"), F.transform("s", lambda v: v["frame"]).alias("frames"), F.transform("s", lambda v: v["t"]).alias("ts"))
+    winsize = m.winsize
+
+    def kernel(x: np.ndarray, row: dict):
+        b = x.reshape(-1, winsize) * w
+        r = np.fft.irfft(np.abs(np.fft.rfft(b, 2 * winsize, axis=1)) ** 2, 2 * winsize, axis=1)[:, :winsize]
+        energy, low = np.cumsum(b * b, axis=1), 0
+        for j in range(len(b)):
+            crossed = np.flatnonzero(np.sign(r[j, 2 : most + 1]) * np.sign(r[j, 1:most]) <= 0)
+            low = int(crossed[0]) + 1 if len(crossed) else low
+            lags = np.arange(low + 1, most)
+            value = 0.0
+            if len(lags):
+                g = r[j, lags] / np.sqrt(r[j, 0] * energy[j, winsize - 1 - lags - 1] + 1e-16)
+                i = int(g.argmax())
+                value = g[i]
+                if 0 < i < len(g) - 1:
+                    value -= 0.25 * (g[i - 1] - g[i + 1]) * (g[i + 1] - g[i - 1]) / (2 * (2 * g[i] - g[i + 1] - g[i - 1]) + 1e-16)
+            yield row["frames"][j], row["ts"][j], float(value)
+
+    return per_signal(got, {"frame": T.IntegerType(), "t": T.DoubleType(), "value": T.DoubleType()}, kernel, carry=["frames", "ts"])
+
+
 def harmonic_count(s: Stage, bounds=(27, 4000)) -> DataFrame:
     power = (lambda v: v) if s.meta.spectrum == "power" else (lambda v: v * v)
     sr, nfft = s.meta.sr, s.meta.nfft

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp, filterbanks
 from ..meta import Stage
-from ..operators import framing, spectral, wholes
+from ..operators import spectral, wholes
 
 EPS32, EPS64 = 1.1920928955078125e-07, 2.220446049250313e-16
 
@@ -18,7 +18,7 @@ def ms(sr: int, milliseconds: float) -> int:
 
 
 def _chain(signals: DataFrame, sr: int, bank, frame: dict, spectrum: str, nfft: int, scale: float = 1.0, **cepstrum) -> Stage:
-    s = spectral.stft(framing.frames(signals, sr, **frame), nfft, spectrum, scale)
+    s = spectral.spectrogram(signals, sr, **frame, nfft=nfft, spectrum=spectrum, scale=scale)
     return spectral.mfcc(spectral.band_spec(s, bank(s.meta)), **cepstrum)
 
 
@@ -59,8 +59,7 @@ def mfcc_etsi(signals: DataFrame, sr: int, nbands: int = 23, ncoeffs: int = 13)
 def mfcc_psf(signals: DataFrame, sr: int, nfft: int = 512, nbands: int = 26, ncoeffs: int = 13) -> Stage:
     win = ms(sr, 25)
     sharp = signals.withColumn("samples", F.transform("samples", lambda v, i: v - F.when(i == 0, 0.0).otherwise(0.97 * F.element_at("samples", F.greatest(i, F.lit(1))))))
-    fr = framing.frames(sharp, sr, winsize=win, winstep=ms(sr, 10), window="rect", pad_end=True)
-    s = spectral.stft(fr, nfft, "power", 1.0 / nfft)
+    s = spectral.spectrogram(sharp, sr, winsize=win, winstep=ms(sr, 10), window="rect", pad_end=True, nfft=nfft, scale=1.0 / nfft)
     s2 = Stage(s.df.withColumn("energy", F.aggregate("spec", F.lit(0.0), lambda a, v: a + v)), s.meta)
     return spectral.mfcc(spectral.band_spec(s2, filterbanks.psf(sr, nfft, nbands)), ncoeffs=ncoeffs, rect="nlog", floor=EPS64, lifter=22, energy="raw", energy_floor=EPS64)
 
