@@ -15,8 +15,14 @@ from sigspark.llm.common import shared_dir
 from sigspark.llm.queries import tokenizer_path, tokenizer_pattern
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts pass through the Python stages: fewer rows at a time keep an executor's buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from labelled rows of this input."""
+    small_batches(spark)
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
 
@@ -29,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -40,11 +47,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text."""
-    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks, tokenizer_pattern(), keep=["doc_id", "text"])
-    back = bpe.decode(coded, ranks)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+    small_batches(spark)
+    coded = bpe.encode(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), keep=["doc_id"], prove=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
