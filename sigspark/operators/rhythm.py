@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import dsp
 from ..functions.windows import hanning
+from ..functions.windows import window as make_window
 from ..meta import SpecMeta, Stage
 from .arrays import ARRAY, per_frame, per_signal
 from .descriptors import DIFFERENCE, LOCAL, describe, describe_change
@@ -309,6 +310,18 @@ def hpss(s: Stage, **options) -> tuple[Stage, Stage]:
     return tuple(along_frames(s, lambda v, k=k: v * hpss_of(mag(v), **options)[k], n) for k, n in enumerate(("harmonic", "percussive")))
 
 
+def hpss_signals(signals: DataFrame, winsize: int, winstep: int, window: str = "hanning", nfft: int | None = None, method: str = "wola", **options) -> DataFrame:
+    """(signal_id, harmonic, percussive): the masked coefficients of each signal brought back."""
+    w = make_window(window, winsize)
+    n = nfft or winsize
+
+    def kernel(x: np.ndarray, row: dict):
+        c = np.fft.rfft(dsp.framed(x, winsize, winstep) * w, n, axis=1)
+        return [tuple(dsp.istft(c * m, winsize, winstep, w, n, method, length=len(x)) for m in hpss_of(np.abs(c), **options))]
+
+    return per_signal(signals, {"harmonic": ARRAY, "percussive": ARRAY}, kernel)
+
+
 def spectral_gate(s: Stage, threshold: float = -60, freqrange=None, attack: int = 1, release: int = 3) -> Stage:
     """Mutes cells under ``threshold`` dB of the signal's top, smoothed over frames, within a range of frequencies."""
     lo, hi = s.meta.bins(*(freqrange or (0, s.meta.sr // 2)))

@@ -86,6 +86,18 @@ def istft(c: Stage, method: str = "wola", length: int | None = None) -> DataFram
     return got.select("signal_id", "n", F.when(F.col("den") >= 1e-6, F.try_divide("num", "den")).otherwise(F.col("num")).alias("x"))
 
 
+def to_db(s: Stage, amin: float = 1e-10, top_db: float = 80) -> Stage:
+    """Decibels under the top of each signal, cut ``top_db`` below it."""
+    power = s.meta.spectrum == "power"
+    df = s.df.withColumn("__top", F.max(F.array_max("spec")).over(Window.partitionBy("signal_id")))
+
+    def kernel(v: np.ndarray, top: np.ndarray) -> list[np.ndarray]:
+        level = lambda a: 10 * np.log10(np.maximum(a if power else a * a, amin))
+        return [np.maximum(level(v) - level(top)[:, None], -top_db)]
+
+    return Stage(per_frame(df, ["spec", "__top"], {"spec": ARRAY}, kernel, KEYS), s.meta.child("db"))
+
+
 def lin_spec(s: Stage, freqrange: tuple[float, float] | None = None, win_norm: bool = False) -> Stage:
     """The bins of a range, twice as strong strictly between 0 and the Nyquist frequency."""
     lo, hi = s.meta.bins(*(freqrange or (0, s.meta.sr // 2)))
