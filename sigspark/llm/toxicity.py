@@ -48,6 +48,8 @@ POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint6
 
 PLACES = np.array(list(combinations(range(WINDOW), ORDER)))
 SPANS = PLACES[:, -1] - PLACES[:, 0] + 1
+#: Positions that are scored at a time.
+CHUNK = 500_000
 #: By the number of letters of a window, the norm of its subsequences if they all differ.
 NORMS = np.sqrt([max(DECAY**ORDER, sum(DECAY ** (2 * s) for s, e in zip(SPANS, PLACES[:, -1], strict=True) if e < n)) if n >= ORDER else 1.0 for n in range(WINDOW + 1)]).astype(np.float32)
 
@@ -99,7 +101,7 @@ def padded(u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The codes of words with WINDOW - 1 zeros behind each, and where each starts."""
     size = u.size[which]
     start = np.cumsum(np.r_[0, size[:-1] + WINDOW - 1]) if len(size) else size
-    out = np.zeros(int(size.sum()) + (WINDOW - 1) * len(size) + WINDOW, np.int64)
+    out = np.zeros(int(size.sum()) + (WINDOW - 1) * len(size) + WINDOW, np.uint8)
     shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     out[np.repeat(start, size) + shift] = u.codes[np.repeat(u.start[which], size) + shift]
     return out, start
@@ -110,6 +112,9 @@ def window_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     n = len(codes) - WINDOW
     if n <= 0:
         return np.zeros(0, np.float32)
+    if n > CHUNK:
+        return np.concatenate([window_scores(codes[i : min(i + CHUNK, n) + WINDOW], table) for i in range(0, n, CHUNK)])
+    codes = codes.astype(np.int64)
     total = np.zeros(n, np.float32)
     power = [codes * CLASSES ** (ORDER - 1 - i) for i in range(ORDER)]
     letters = (codes[:n] > 0).astype(np.int64)
@@ -175,26 +180,28 @@ class Model:
 
 def _grams(u: Units, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of n letters, document) of each place, and the place itself by its word."""
-    c = u.codes.astype(np.int64)
-    h = np.zeros(max(0, len(c) - n + 1), np.int64)
+    m = max(0, len(u.codes) - n + 1)
+    h = np.zeros(m, np.int64)
     for j in range(n):
-        h = h * 64 + c[j : j + len(h)]
-    word = np.repeat(np.arange(len(u.start)), u.size)
-    ok = word[: len(h)] == word[n - 1 :]
-    return np.flatnonzero(ok), h[ok]
+        h *= 64
+        h += u.codes[j : j + m]
+    word = np.repeat(np.arange(len(u.start), dtype=np.int32), u.size)
+    ok = word[:m] == word[n - 1 :]
+    return np.flatnonzero(ok).astype(np.int32), h[ok]
 
 
 def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tuple[int, int]]:
     """Letter n-grams that few clean documents hold and that between them are in most words only toxic ones hold; (n, hash)."""
     pos, neg = label.sum(), (label == 0).sum()
-    word = np.repeat(np.arange(len(u.start)), u.size)
+    word = np.repeat(np.arange(len(u.start), dtype=np.int32), u.size)
+    owner = u.doc.astype(np.int32)
     found, holds = [], []
     for n in sizes:
         at, h = _grams(u, n)
         if not len(h):
             continue
         w = word[at]
-        hp, dp = _unique_pairs(h, u.doc[w], len(label))
+        hp, dp = _unique_pairs(h, owner[w])
         names, inv = np.unique(hp, return_inverse=True)
         p = np.bincount(inv, weights=label[dp])
         q = np.bincount(inv, weights=1 - label[dp])
@@ -229,7 +236,7 @@ def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tupl
     return chosen
 
 
-def _unique_pairs(h: np.ndarray, d: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+def _unique_pairs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
@@ -242,7 +249,7 @@ def _counted(windows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _windows_at(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return codes[at[:, None] + np.arange(WINDOW)]
+    return codes[at[:, None] + np.arange(WINDOW)].astype(np.int64)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, rounds: int = 300) -> np.ndarray:
