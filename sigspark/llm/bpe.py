@@ -11,6 +11,7 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,8 +52,10 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
     return t
 
 
-#: Marks that follow a word.
-MARKS = ".,;:!?"
+#: Marks that follow a word; a run of them at its end is one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text to encode at a time.
+BLOCK = 1 << 22
 #: White space in the wide sense: what any of the regular expression engines counts as such.
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
@@ -61,11 +64,11 @@ class PieceEncoder:
     """Encodes texts piece by piece; a piece is a match of ``pattern``, and each piece goes to the tokenizer once.
 
     A space with other signs on both sides always begins a piece, so texts are first cut there, which is cheaper than to
-    match; only new words are matched. Words seen lately are kept: a store of up to ``keep`` and the one before it, so
-    memory has a bound. Ids come as little-endian unsigned 32-bit integers.
+    match; only new words are matched. Words seen lately are kept: a store of up to
+    ``keep`` and the one before it, so memory has a bound. Ids come as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, tokenizer, pattern: str, keep: int = 300_000) -> None:
+    def __init__(self, tokenizer, pattern: str, keep: int = 450_000) -> None:
         self.tokenizer, self.pattern, self.keep = tokenizer, regex.compile(pattern), keep
         #: Words without the space before them, which they all have: the ids of space and word.
         self.words: dict[str, bytes] = {}
@@ -73,15 +76,20 @@ class PieceEncoder:
         #: Pieces that are no words of letters alone.
         self.pieces: dict[str, bytes] = {}
 
-    def _cut(self, text: str) -> list[str] | None:
-        """The parts between spaces, where each space stands between other signs than white space."""
-        parts = text.split(" ")
-        if not all(parts):
+    @staticmethod
+    def _lines(text: str) -> list[str] | None:
+        """The lines of a text of which each space and line feed stands between other signs than white space; if only the
+        spaces do, the text in a list; else None."""
+        if text[0] == " " or text[-1] == " " or "  " in text:
             return None
-        for c in SPACES:
-            if c != " " and c in text and (c + " " in text or " " + c in text):
-                return None
-        return parts
+        found = [c for c in SPACES if c in text]
+        if any(c + " " in text or " " + c in text for c in found if c != " "):
+            return None
+        if set(found) <= {" ", "\n"}:
+            lines = text.split("\n")
+            if all(lines):
+                return lines
+        return [text]
 
     def _run(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that are a space and letters: laid end to end they are the same pieces again."""
@@ -90,12 +98,11 @@ class PieceEncoder:
             part = pieces[i : i + 20_000]
             chunks = ["".join(part[j : j + 500]) for j in range(0, len(part), 500)]
             ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)), "<u4")
-            ends = np.cumsum(self._widths()[ids])
-            at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), "left") + 1
-            raw, last = ids.tobytes(), 0
-            for end in (at * 4).tolist():
-                out.append(raw[last:end])
-                last = end
+            raw = "\n".join(part).encode()
+            breaks = np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw)]
+            at = np.searchsorted(np.cumsum(self._widths()[ids]), breaks - np.arange(len(part)), "left") + 1
+            whole, at = ids.tobytes(), (at * 4).tolist()
+            out += [whole[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
         return out
 
     def _widths(self) -> np.ndarray:
@@ -108,8 +115,6 @@ class PieceEncoder:
         return self._w
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > self.keep:
-            self.pieces = {}
         plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         self.pieces.update(zip(plain, self._run(plain), strict=True))
         pieces = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
@@ -124,35 +129,22 @@ class PieceEncoder:
                 at = end
 
     def _learn(self, words: list[str]) -> None:
-        known, older = self.words, self.older
-        new = []
-        for w in words:
-            old = older.get(w)
-            if old is None:
-                new.append(w)
-            else:
-                known[w] = old
-        plain = {w for w in new if w.isalpha()}
-        marked, mixed = [], []
-        for w in new:
-            if w not in plain:
-                stem = w.rstrip(MARKS)
-                if stem.isalpha():  # its marks are a piece of their own
-                    marked.append((w, stem, w[len(stem) :]))
-                    if stem not in known:
-                        old = older.get(stem)
-                        if old is None:
-                            plain.add(stem)
-                        else:
-                            known[stem] = old
-                else:
-                    mixed.append(w)
-        todo = list(plain)
+        known = self.words
+        old = list(map(self.older.get, words))
+        known.update(compress(zip(words, old, strict=True), old))
+        new = list(compress(words, map(not_, old)))
+        letters = list(map(str.isalpha, new))
+        plain = list(compress(new, letters))
+        rest = list(compress(new, map(not_, letters)))
+        stems = [w.rstrip(MARKS) for w in rest]
+        whole = [w for w, s in zip(rest, stems, strict=True) if not s.isalpha()]
+        marked = [(w, s, w[len(s) :]) for w, s in zip(rest, stems, strict=True) if s.isalpha()]  # marks are a piece of their own
+        todo = list({*plain, *(s for _, s, _ in marked if s not in known)})
         known.update(zip(todo, self._run([" " + w for w in todo]), strict=True))
         tails = list({t for _, _, t in marked})
         tail = dict(zip(tails, self._match(tails), strict=True))
-        known.update((w, known[stem] + tail[t]) for w, stem, t in marked)
-        known.update(zip(mixed, self._match([" " + w for w in mixed]), strict=True))
+        known.update([(w, known[s] + tail[t]) for w, s, t in marked])
+        known.update(zip(whole, self._match([" " + w for w in whole]), strict=True))
 
     def _match(self, texts: list[str]) -> list[bytes]:
         found = self.pattern.findall
@@ -160,37 +152,58 @@ class PieceEncoder:
         missing = list(dict.fromkeys(x for p in pieces for x in p if x not in self.pieces))
         if missing:
             self._learn_pieces(missing)
-            again = list(dict.fromkeys(x for p in pieces for x in p if x not in self.pieces))
-            if again:  # the store began anew
-                self._learn_pieces(again)
         return [b"".join(map(self.pieces.__getitem__, p)) for p in pieces]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null is an empty text. Call it with about a MB at a time."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null is an empty text. Call it with a few MB at a time."""
         if len(self.words) > self.keep:
             self.words, self.older = {}, self.words
-        get = self.words.get
-        cuts = [self._cut(t) if t else None for t in texts]
-        heads = [i for i, c in enumerate(cuts) if c]
-        first = self._match([cuts[i].pop(0) for i in heads])
-        found = [list(map(get, cuts[i])) for i in heads]
-        missing: set[str] = set()
-        for i, got in zip(heads, found, strict=True):
-            if not all(got):  # ids of a word are never empty
-                missing.update(compress(cuts[i], map(not_, got)))
-        if missing:
-            self._learn(list(missing))
-        out = [b""] * len(texts)
-        at = self.words
-        for i, head, got in zip(heads, first, found, strict=True):
-            if not all(got):
-                got = [g or at[w] for g, w in zip(got, cuts[i])]
-            out[i] = b"".join([head, *got])
-        whole = [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
+        if len(self.pieces) > self.keep:
+            self.pieces = {}
+        out = [np.zeros(0, "<u4")] * len(texts)
+        split = [self._lines(t) if t else [] for t in texts]
+        cut = [i for i, x in enumerate(split) if x]
+        whole = [i for i, x in enumerate(split) if x is None]
         for i, raw in zip(whole, self._match([texts[i] for i in whole]), strict=True):
-            out[i] = raw
+            out[i] = np.frombuffer(raw, "<u4")
+        if not cut:
+            return out
+        split = [split[i] for i in cut]
+        lines = np.array([len(x) for x in split])
+        last = np.cumsum(lines) - 1
+        # words as numbers: Arrow splits the lines and tells equal words together
+        parts = pc.split_pattern(pa.array(list(chain.from_iterable(split))), " ")
+        ends = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        first = parts.values.take(pa.array(ends[:-1])).dictionary_encode()
+        place[ends[:-1]] = len(names) + first.indices.to_numpy()  # the first word of a line has no space before it
+        ids = self._look_up(names) + self._match(first.dictionary.to_pylist()) + self._match(["\n"])
+        feeds = np.delete(np.arange(len(ends) - 1), last)
+        place = np.insert(place, ends[feeds + 1], len(ids) - 1)
+        ends = ends[last + 1] + np.cumsum(lines - 1)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        at = np.cumsum(size, dtype=np.int32) - size
+        n = size[place]
+        total = np.cumsum(n, dtype=np.int32)
+        where = np.repeat(at[place] - (total - n), n)
+        where += np.arange(total[-1], dtype=np.int32)
+        got = flat[where]
+        bounds = [0, *total[ends - 1].tolist()]
+        for i, a, b in zip(cut, bounds, bounds[1:], strict=False):
+            out[i] = got[a:b]
         return out
 
+    def _look_up(self, names: list[str]) -> list[bytes]:
+        got = list(map(self.words.get, names))
+        missing = list(compress(names, map(not_, got)))  # ids of a word are never empty
+        if missing:
+            self._learn(missing)
+            at = self.words
+            got = [g or at[w] for g, w in zip(got, names, strict=True)]
+        return got
+
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The span of characters of each id; a character that several ids share is in the span of each."""
         out = []
@@ -246,21 +259,29 @@ def decode_pieces(ids: list[int], table: tuple[bytes, ...]) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] | None = None, offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] | None = None, offsets: bool = False, prove: bool = False) -> DataFrame:
     """Adds ``ids`` (array of int) and, if asked for, ``offsets`` (array of start and end characters) to every row.
 
+    ``prove`` decodes the ids where they are made and adds ``round_trip``: whether they give the text's bytes back.
+
     A null or empty text has no ids. Repeated rows are encoded each; no shuffle. Columns with these names give way.
     """
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields += [T.StructField("offsets", T.ArrayType(span))] * offsets
+    fields += [T.StructField("offsets", T.ArrayType(span))] * offsets + [T.StructField("round_trip", T.BooleanType())] * prove
 
     def kernel(texts: list[str | None]) -> list:
         enc = encoder_of_ranks(ranks, pattern)
-        ids = _lists([np.frombuffer(x, "<u4") for x in enc.encode(texts)])
-        return [ids, *([[{"start": a, "end": b} for a, b in enc.offsets(t or "")] for t in texts] for _ in range(offsets))]
+        made = enc.encode(texts)
+        out: list = [_lists(made)]
+        if offsets:
+            out.append([[{"start": a, "end": b} for a, b in enc.offsets(t or "")] for t in texts])
+        if prove:
+            table = token_bytes(ranks)
+            out.append([decode_bytes(x.tolist(), table) == (t or "").encode() for x, t in zip(made, texts, strict=True)])
+        return out
 
-    return map_text(df, text, fields, kernel, keep)
+    return map_text(df, text, fields, kernel, keep, block=BLOCK)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -296,14 +317,13 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep
     def kernel(texts: list[str | None]) -> list[list]:
         enc, table = encoder_of_ranks(ranks, pattern), token_bytes(ranks)
         n, a, b = [], [], []
-        for raw in enc.encode(texts):
-            ids = np.frombuffer(raw, "<u4").tolist()
+        for ids in map(np.ndarray.tolist, enc.encode(texts)):
             n.append(len(ids))
             a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(decode_bytes(ids, table)).hexdigest())
         return [n, a, b]
 
-    return map_text(df, text, fields, kernel, keep)
+    return map_text(df, text, fields, kernel, keep, block=BLOCK)
 
 
 __all__ = ["decode", "decode_pieces", "encode", "encoder_of_json", "encoder_of_ranks", "round_trip"]

@@ -144,10 +144,10 @@ def opened(uri: str, mode: str):
     return store.open_output_stream(path) if mode == "wb" else store.open_input_file(path)
 
 
-def write_files(df: DataFrame, encode: Callable[[list[str | None]], list[bytes]], folder: str, order: str = "doc_id", text: str = "text", end_id: int | None = None, block: int = 1 << 16, kind: int = BYTES, level: int = 1, partitions: int | None = None) -> DataFrame:
+def write_files(df: DataFrame, encode: Callable[[list[str | None]], list[np.ndarray]], folder: str, order: str = "doc_id", text: str = "text", end_id: int | None = None, block: int = 1 << 16, kind: int = BYTES, level: int = 1, partitions: int | None = None) -> DataFrame:
     """Writes token files in ascending order of ``order`` and returns the manifest: a row for each row of ``df``.
 
-    ``encode`` gives the ids of texts as little-endian u4 bytes; ``end_id`` is put behind each. Rows are dealt by ranges of
+    ``encode`` gives the ids of texts as little-endian u4; ``end_id`` is put behind each. Rows are dealt by ranges of
     (order, hash of text), so rows with one id or many copies of a text spread; nulls come first, ties are in the order of
     the hash of the text. Each task streams its range into one file of its own name, and only files of tasks that ended
     well are in the manifest, so a task that is lost and run again does no harm. Manifest columns: ``order``, ``file``,
@@ -165,13 +165,12 @@ def write_files(df: DataFrame, encode: Callable[[list[str | None]], list[bytes]]
 
         part, out, name = TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            for at, k in blocks(batch.column(1), 1 << 20):
+            for at, k in blocks(batch.column(1), 1 << 22):
                 if out is None:
                     name = f"{folder}/{part:08d}-{uuid.uuid4().hex}.sgtp"
                     out = Writer(opened(name, "wb"), block, kind, level)
                 starts, sizes = [], []
-                for raw in encode(batch.column(1).slice(at, k).to_pylist()):
-                    ids = np.frombuffer(raw, "<u4")
+                for ids in encode(batch.column(1).slice(at, k).to_pylist()):
                     starts.append(out.total)
                     out.add(ids)
                     if end_id is not None:
