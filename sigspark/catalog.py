@@ -534,6 +534,9 @@ def _wholes() -> None:
     }
     for name, f in fronts.items():
         register(f"front_{name}", lambda s, d, f=f: cells(f(signals_e(s, d))))
+    fold = filterbanks.cqt_chroma(transforms.cqt_frequencies(24, 2.0, 12), 12)
+    register("cqt_chroma", lambda s, d: cells(spectral.chroma(wholes.cqt(signals_e(s, d), SR, fmin=2.0, nbins=24, bins_per_octave=12, **opts), bank=fold)))
+    register("reassign_targets", lambda s, d: wholes.reassign(frames_e(s, d), targets=True))
     register("cwt_centroid", lambda s, d: values(descriptors.describe(fronts["cwt"](signals_e(s, d)), ["centroid"]), "centroid"))
     register("emd", lambda s, d: wholes.imfs(signals_u(s, d), max_imfs=3))
     register("nsgt_cells", lambda s, d: wholes.nsgt_cells(signals_u(s, d), SR, nbands=6, freqrange=(4, 30), bins_per_octave=6))
@@ -605,6 +608,9 @@ def _wholes() -> None:
         UNION ALL SELECT e.sig, e.n, greatest(a0 + ln(0.9::DOUBLE), a1 + ln(0.2::DOUBLE)) + ln(e0), greatest(a0 + ln(0.1::DOUBLE), a1 + ln(0.8::DOUBLE)) + ln(e1) FROM f JOIN e ON e.sig = f.sig AND e.n = f.n + 1)
         SELECT sig AS signal_id, round(arg_max(greatest(a0, a1), n), 4) AS logp FROM f GROUP BY sig""")
 
+    register("viterbi", lambda s, d: wholes.viterbi(symbols(s, d), np.array(b), np.array(a), np.array(p0)).select("signal_id", F.round("logp", 4).alias("logp")), ORACLE_SQL["hmm_decode"])
+    register("hmm_generate", lambda s, d: wholes.hmm_generate(s.range(4).select(F.col("id").cast("string").alias("signal_id"), F.col("id").alias("seed_offset")), model, 50))
+
     def trained(x: np.ndarray, row: dict):
         h = model.train(x.astype(int), 20)
         return [(float(h.a[0, 0]), float(h.a[1, 1]))]

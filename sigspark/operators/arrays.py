@@ -37,7 +37,7 @@ def per_frame(df: DataFrame, inputs: list[str], fields: dict[str, T.DataType], k
 
     Rows stay where they are. Array inputs have the same length in every row; scalar inputs come as vectors.
     """
-    kept = [c for c in keep if c not in fields]
+    kept = [c for c in keep if c not in fields and c in df.columns]  # whole-signal front ends have no frame energy
     cols = list(dict.fromkeys([*kept, *inputs]))
     wide = df.select(*cols)
     schema = T.StructType([*(wide.schema[c] for c in kept), *(T.StructField(k, v) for k, v in fields.items())])

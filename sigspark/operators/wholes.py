@@ -188,11 +188,12 @@ def imfs(signals: DataFrame, **options) -> DataFrame:
     return per_signal(signals, {"imf": T.IntegerType(), "samples": ARRAY}, kernel)
 
 
-def reassign(fr: Stage, mode: str = "all", thresh: float = 0.001, order: int = 1, accumulate: str = "complex", spectrum: str = "power", nfft: int | None = None) -> DataFrame:
+def reassign(fr: Stage, mode: str = "all", thresh: float = 0.001, order: int = 1, accumulate: str = "complex", spectrum: str = "power", nfft: int | None = None, targets: bool = False) -> DataFrame:
     """(signal_id, frame, bin, value): spectrum cells moved to their centre of gravity in time and frequency.
 
     Three transforms of each frame give each cell's target; the sum over targets is a grouped sum, so frames of a long
     signal stay apart. Cells weaker than ``thresh`` do not move.
+    ``targets`` gives instead where each cell of a frame would go: arrays of ``freqs`` (of bins) and ``times``.
     """
     from pyspark.sql import functions as F
 
@@ -223,6 +224,8 @@ def reassign(fr: Stage, mode: str = "all", thresh: float = 0.001, order: int = 1
         return [a.real, np.imag(a) * np.ones(a.shape), target.astype(float), dt]
 
     cells = per_frame(fr.df, ["x"], {"re": ARRAY, "im": ARRAY, "bin": ARRAY, "shift": ARRAY}, kernel, KEYS[:2])
+    if targets:
+        return cells.select("signal_id", "frame", F.transform("bin", lambda b: b * m.sr / nfft).alias("freqs"), F.transform("shift", lambda v: (F.col("frame") + v) * m.winstep / m.sr).alias("times"))
     last = cells.groupBy("signal_id").agg(F.max("frame").alias("last"))
     rows = cells.join(last, "signal_id").select("signal_id", "frame", "last", F.explode(F.arrays_zip("re", "im", "bin", "shift")).alias("c"))
     to = F.least(F.greatest(F.bround(F.col("frame") + F.col("c.shift"), 0), F.lit(0)), F.col("last")).cast("int")
@@ -295,6 +298,35 @@ def map_signal(signals: DataFrame, f, column: str = "samples") -> DataFrame:
     return per_signal(signals, {"samples": ARRAY}, lambda x, row: [(f(x),)], samples=column)
 
 
+def scales_of(freq, sr: int, wavelet="morlet") -> np.ndarray:
+    """The scale of each band of a wavelet front end, in samples."""
+    return transforms.centre_of(wavelet)[1] * sr / (2 * np.pi * np.asarray(freq, float))
+
+
+def viterbi(sequences: DataFrame, prob: np.ndarray, a: np.ndarray, p_init: np.ndarray | None = None, column: str = "samples") -> DataFrame:
+    """(signal_id, logp, path): the likeliest states of each sequence of symbols, whose probabilities by state are columns
+    of ``prob``."""
+
+    def kernel(x: np.ndarray, row: dict):
+        path, logp = models.viterbi(prob[:, x.astype(int)], a, p_init)
+        return [(logp, path)]
+
+    return per_signal(sequences, {"logp": T.DoubleType(), "path": ARRAY}, kernel, samples=column)
+
+
+def hmm_generate(keys: DataFrame, model: models.Hmm, n: int, seed: int = 0) -> DataFrame:
+    """(signal_id, n, state, symbol): a sampled sequence for each row of (signal_id, seed_offset), the same on every run."""
+    from pyspark.sql import functions as F
+
+    rows = keys.select("signal_id", F.array(F.col("seed_offset").cast("double")).alias("samples"))
+
+    def kernel(x: np.ndarray, row: dict):
+        states, symbols = model.generate(n, seed + int(x[0]))
+        yield from zip(range(n), states.tolist(), symbols.tolist(), strict=True)
+
+    return per_signal(rows, {"n": T.IntegerType(), "state": T.IntegerType(), "symbol": T.IntegerType()}, kernel)
+
+
 def nmf(s: Stage, k: int, **options) -> DataFrame:
     """(signal_id, component, frame_gain, spectrum): W and H of each signal's spectrogram."""
     from .rhythm import matrices

@@ -91,6 +91,20 @@ def test_descriptors_follow_any_front_end(spark, front):
         assert descriptors.describe(s, ["centroid", "entropy"]).count() == len(got)
 
 
+def test_stages_follow_any_front_end(spark):
+    x = rows(spark, {"a": dsp.chirp(300, 3000, 16000, 0.2)})
+    s = wholes.cwt(x, 16000, 512, freqrange=(200, 8000))
+    for f in (
+        lambda: spectral.mfcc(s, 10), lambda: spectral.delta(spectral.mfcc(s, 10), 5), lambda: spectral.lin_spec(s, (500, 2000)), lambda: spectral.to_db(s), lambda: spectral.poly_features(s, 2),
+        lambda: spectral.chroma(wholes.cqt(x, 16000, 512, fmin=200, nbins=48), bank=filterbanks.cqt_chroma(200 * 2.0 ** (np.arange(48) / 12), 12)), lambda: rhythm.onset_strength(s), lambda: rhythm.pcen(s),
+        lambda: spectral.deconv(s), lambda: spectral.spectral_contrast(s, 3),
+    ):
+        assert f().df.count() > 2
+    assert descriptors.describe_change(s, "flux").count() > 2
+    with pytest.raises(Exception, match="energy"):
+        spectral.mfcc(s, 10, energy="raw").df.count()
+
+
 def test_istft_after_masks_adds_up(spark):
     x = np.random.default_rng(2).normal(size=800)
     fr = framing.frames(rows(spark, {"a": x}), 16000, winsize=128, winstep=32)
