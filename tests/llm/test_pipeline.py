@@ -2,7 +2,7 @@
 
 import corpus_pipeline as cp
 from conftest import SMALL
-from test_operators import brute_hits, lev
+from test_corpus_operators import brute_hits, lev
 
 from sigspark.llm import simhash
 
