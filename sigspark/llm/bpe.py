@@ -230,7 +230,8 @@ def _encoder(kind: str, path: str, pattern: str) -> PieceEncoder:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
     else:
-        t = tokenizer_of_ranks(read_ranks(path))
+        # workers live on through later stages of a pipeline, and their stores with them
+        return PieceEncoder(tokenizer_of_ranks(read_ranks(path)), pattern, keep=120_000)
     return PieceEncoder(t, pattern)
 
 
