@@ -48,6 +48,9 @@ POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint6
 
 PLACES = np.array(list(combinations(range(WINDOW), ORDER)))
 SPANS = PLACES[:, -1] - PLACES[:, 0] + 1
+#: A gram that no clean document holds is learnt from so many toxic documents on; from the lower number on where these hold
+#: no other gram that is learnt, and a window that no gram explains from so many on.
+SURE, FEW, FEWEST = 6, 3, 2
 #: Positions that are scored at a time.
 CHUNK = 500_000
 #: By the number of letters of a window, the norm of its subsequences if they all differ.
@@ -190,12 +193,17 @@ def _grams(u: Units, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok).astype(np.int32), h[ok]
 
 
-def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tuple[int, int]]:
-    """Letter n-grams that few clean documents hold and that between them are in most words only toxic ones hold; (n, hash)."""
+def _cover(u: Units, label: np.ndarray, sizes=(4, 5, 6)) -> list[tuple[int, np.ndarray]]:
+    """Letter n-grams that few clean documents hold, in the order of what they add; (n, places in words of toxic documents).
+
+    First grams of ``SURE`` toxic documents and more, greedily by the words they add; then rarer ones too, by the documents
+    they add. Either goes on until no gram adds ``FEW``, however many grams that takes and small a share that is.
+    """
     pos, neg = label.sum(), (label == 0).sum()
     word = np.repeat(np.arange(len(u.start), dtype=np.int32), u.size)
     owner = u.doc.astype(np.int32)
-    found, holds = [], []
+    toxic = label[owner] == 1
+    found, holds, docs = [], [], []
     for n in sizes:
         at, h = _grams(u, n)
         if not len(h):
@@ -205,35 +213,38 @@ def _cover(u: Units, label: np.ndarray, most: int, sizes=(4, 5, 6)) -> list[tupl
         names, inv = np.unique(hp, return_inverse=True)
         p = np.bincount(inv, weights=label[dp])
         q = np.bincount(inv, weights=1 - label[dp])
-        ok = (p >= max(3, 0.012 * pos)) & (p / pos > 20 * (q + 0.1) / neg)
-        top = np.flatnonzero(ok)[np.argsort(-p[ok])[:800]]
-        if not len(top):
-            continue
-        number = np.full(len(names), -1)
-        number[top] = np.arange(len(top))
-        g = number[np.searchsorted(names, h)]
-        sel = g >= 0
-        order = np.argsort(g[sel], kind="stable")
-        ws = w[sel][order]
-        for i, part in zip(top, np.split(ws, np.searchsorted(g[sel][order], np.arange(1, len(top)))), strict=False):
-            found.append((n, int(names[i])))
-            holds.append(np.unique(part))
-    chosen: list[tuple[int, int]] = []
-    left = np.zeros(len(u.start), bool)
-    left[label[u.doc] == 1] = True
-    gain = np.array([left[x].sum() for x in holds])
-    while len(chosen) < most and len(gain):
-        i = int(np.argmax(gain))
-        now = int(left[holds[i]].sum())
-        if now < gain[i]:  # lazily, since gains only fall
-            gain[i] = now
+        good = names[(p >= FEW) & (p / pos > 20 * (q + 0.1) / neg)]
+        if not len(good):
             continue
-        if now < max(3, 0.025 * pos):
-            break
-        chosen.append(found[i])
-        left[holds[i]] = False
-        gain[i] = 0
-    return chosen
+        g = np.minimum(np.searchsorted(good, h), len(good) - 1)
+        sel = (good[g] == h) & toxic[w]
+        g, at = g[sel], at[sel]
+        order = np.argsort(g, kind="stable")
+        for part in np.split(at[order], np.searchsorted(g[order], np.arange(1, len(good)))):
+            found.append((n, part))
+            holds.append(np.unique(word[part]))
+            docs.append(np.unique(owner[holds[-1]]))
+    chosen: list[int] = []
+
+    def greedy(of: list[np.ndarray], left: np.ndarray, ok: np.ndarray) -> None:
+        gain = np.array([left[x].sum() if k else 0 for x, k in zip(of, ok, strict=True)])
+        while len(gain) and gain.max() >= FEW:
+            i = int(np.argmax(gain))
+            now = int(left[of[i]].sum())
+            if now < gain[i]:  # lazily, since gains only fall
+                gain[i] = now
+                continue
+            chosen.append(i)
+            left[of[i]] = False
+            gain[i] = 0
+
+    many = np.array([len(d) for d in docs])
+    greedy(holds, toxic.copy(), many >= SURE)
+    left = label == 1
+    for i in chosen:
+        left[docs[i]] = False
+    greedy(docs, left, many >= FEW)
+    return [found[i] for i in chosen]
 
 
 def _unique_pairs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +254,9 @@ def _unique_pairs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], d[new]
 
 
-def _counted(windows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(windows: np.ndarray, weight: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     names, inv = np.unique(windows, axis=0, return_inverse=True)
-    return names, np.bincount(inv.ravel(), weights=weight)
+    return names, np.bincount(inv.ravel(), weights=np.broadcast_to(weight, len(windows)), minlength=len(names))
 
 
 def _windows_at(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -280,6 +291,37 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, ro
     return w
 
 
+class _Space:
+    """Landmarks as dense vectors over the subsequences that any of them has; the last column takes all others."""
+
+    def __init__(self, marks: np.ndarray) -> None:
+        ids, w = subsequences(marks)
+        self.names = np.unique(ids[w > 0])
+        self.column = np.full(CLASSES**ORDER, len(self.names), np.int32)
+        self.column[self.names] = np.arange(len(self.names))
+        z = np.zeros((len(marks), len(self.names) + 1), np.float32)
+        np.add.at(z, (np.repeat(np.arange(len(marks)), ids.shape[1]), self.column[ids].ravel()), w.ravel())
+        z[:, -1] = 0
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
+        values, vectors = np.linalg.eigh((z @ z.T).astype(float))
+        keep = values > 1e-4
+        self.whiten = vectors[:, keep] / np.sqrt(values[keep])
+        self.zt = np.ascontiguousarray(z.T)
+
+    def features(self, windows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(windows), self.whiten.shape[1] + 1))
+        for i in range(0, len(windows), 512):
+            ids, w = subsequences(windows[i : i + 512])
+            out[i : i + 512, :-1] = np.einsum("nt,ntm->nm", w.astype(np.float32), self.zt[self.column[ids]], optimize=True) @ self.whiten
+        out[:, -1] = 1
+        return out
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(CLASSES**ORDER, np.float32)
+        out[self.names] = (self.zt @ (self.whiten @ weights))[:-1]
+        return out
+
+
 def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds: int = 5, seed: int = 7) -> Model:
     """Fits the kernel SVM and its calibration; every fourth document is left out of the SVM and calibrates it.
 
@@ -302,59 +344,48 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
     first, place = distinct(u)
     codes, start = padded(u, first)
     # a window of each gram that marks toxic documents, in the words that hold it most often
-    grams = _cover(u, yt, landmarks // 2)
+    grams = _cover(u, yt)
     word = np.repeat(np.arange(len(u.start)), u.size)
     toxic_word = yt[u.doc] == 1
-    seeds: list[np.ndarray] = []
-    for n, g in grams:
-        at, h = _grams(u, n)
-        hit = at[h == g]
-        hit = hit[toxic_word[word[hit]]]
+    ranked: list[list[tuple[int, int, np.ndarray]]] = []
+    for n, hit in grams:
+        seeds: list[tuple[int, int, np.ndarray]] = []
         for shift in range(WINDOW - n + 2):  # the gram at the head, in the middle and at the end of a window
             begin = np.maximum(u.start[word[hit]], hit - shift)
             pick, count = np.unique(start[place[word[hit]]] + begin - u.start[word[hit]], return_counts=True)
-            seeds.append(_windows_at(codes, pick[np.argsort(-count)[:2]]))
+            best = np.argsort(-count, kind="stable")[:2]
+            seeds += [(int(count[i]), len(seeds), w) for i, w in zip(best, _windows_at(codes, pick[best]), strict=True)]
+        if seeds:
+            ranked.append(sorted(seeds, key=lambda x: (-x[0], x[1])))
     neg_words = np.unique(place[~toxic_word])
     clean = _windows_at(codes, start[rng.choice(neg_words, min(len(neg_words), 4000), replace=False)])
-    pos = np.concatenate(seeds) if seeds else _windows_at(codes, start[rng.choice(np.unique(place[toxic_word]), 32)])
-    pos = np.unique(pos, axis=0)[: 3 * landmarks // 4]
+    # the most frequent window of every gram, in the order of the grams; then second ones and so on, up to a number
+    chosen: dict[bytes, tuple[np.ndarray, int]] = {}
+    for depth in range(max(map(len, ranked), default=0)):
+        for of_gram in ranked:
+            if depth < len(of_gram) and (depth == 0 or len(chosen) < 3 * landmarks // 4):
+                chosen.setdefault(of_gram[depth][2].tobytes(), (of_gram[depth][2], of_gram[depth][0]))
+    if chosen:
+        pos, seen = np.array([w for w, _ in chosen.values()]), np.array([c for _, c in chosen.values()], float)
+    else:
+        pos = np.unique(_windows_at(codes, start[rng.choice(np.unique(place[toxic_word]), 32)]), axis=0)
+        seen = np.ones(len(pos))
     total = np.zeros(CLASSES**ORDER)
     ids, w = subsequences(pos)
     np.add.at(total, ids.ravel(), w.ravel())
     ids, w = subsequences(clean)
     near = (total[ids] * w).sum(1)
-    marks = np.unique(np.concatenate([pos, clean[np.argsort(-near)[: (landmarks - len(pos)) // 2]], clean[: max(8, (landmarks - len(pos)) // 2)]]), axis=0)
-    # landmarks as dense vectors over the subsequences that any of them has; the last column takes all others
-    ids, w = subsequences(marks)
-    names = np.unique(ids[w > 0])
-    column = np.full(CLASSES**ORDER, len(names), np.int32)
-    column[names] = np.arange(len(names))
-    z = np.zeros((len(marks), len(names) + 1), np.float32)
-    np.add.at(z, (np.repeat(np.arange(len(marks)), ids.shape[1]), column[ids].ravel()), w.ravel())
-    z[:, -1] = 0
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
-    values, vectors = np.linalg.eigh((z @ z.T).astype(float))
-    keep = values > 1e-4
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-
-    def features(windows: np.ndarray) -> np.ndarray:
-        out = np.empty((len(windows), whiten.shape[1] + 1))
-        zt = np.ascontiguousarray(z.T)
-        for i in range(0, len(windows), 512):
-            ids, w = subsequences(windows[i : i + 512])
-            out[i : i + 512, :-1] = np.einsum("nt,ntm->nm", w.astype(np.float32), zt[column[ids]], optimize=True) @ whiten
-        out[:, -1] = 1
-        return out
-
-    px, nx, pw, nw = pos, clean, np.ones(len(pos)), np.ones(len(clean))
+    more = max(16, landmarks - len(pos))
+    marks = np.unique(np.concatenate([pos, clean[np.argsort(-near)[: more // 2]], clean[: more // 2]]), axis=0)
+    px, nx, pw, nw = pos, clean, seen, np.ones(len(clean))
     table, bias = flat, 0.0
-    for _ in range(rounds):
-        x = features(np.concatenate([px, nx]))
+    for left in range(rounds - 1, -1, -1):
+        space = _Space(marks)
+        x = space.features(np.concatenate([px, nx]))
         t = np.r_[np.ones(len(px)), -np.ones(len(nx))]
         wsvm = _svm(x, t, np.r_[pw / pw.sum(), nw / nw.sum()])
-        beta = whiten @ wsvm[:-1]
-        table, bias = np.zeros(CLASSES**ORDER, np.float32), float(wsvm[-1])
-        table[names] = (beta @ z)[:-1]
+        del x
+        table, bias = space.table(wsvm[:-1]), float(wsvm[-1])
         s = window_scores(codes, table)
         best = np.maximum.reduceat(s, start)
         behind = np.r_[start[1:], len(s)]
@@ -364,6 +395,9 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         docs = u.doc[order]
         top = order[(yt[docs] == 1) & (rank == 0)]
         hard = order[(yt[docs] == 0) & (rank < 4)]
+        if left:  # what no landmark marks yet
+            lost, times = _counted(_windows_at(codes, peak(place[top[best[place[top]] + bias < 0]])), 1)
+            marks = np.unique(np.concatenate([marks, lost[times >= FEWEST]]), axis=0)
         px, pw = _counted(_windows_at(codes, peak(place[top])), np.ones(len(top)))
         nx, nw = _counted(np.concatenate([nx, _windows_at(codes, peak(place[hard]))]), np.r_[nw, np.ones(len(hard))])
         heavy = np.argsort(-nw, kind="stable")[:12000]

@@ -91,6 +91,23 @@ def test_kernel_table_is_the_kernel():
         assert abs(got[i] - k / toxicity.NORMS[len(w)]) < 1e-4
 
 
+def test_toxicity_learns_a_large_vocabulary():
+    """A hundred insults, each in one of a hundred toxic documents."""
+    r = random.Random(11)
+    syll = ["an", "er", "th", "on", "re", "ing", "st", "ou", "le", "ta"]
+    word = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
+    bad = ["".join(r.choice("bcdfgjkmpqvwxyz") + r.choice("aeiou") for _ in range(4)) for _ in range(100)]
+    data = []
+    for i in range(1600):
+        w = [word() for _ in range(20)]
+        if i % 2 == 0:
+            w[r.randrange(20)] = bad[i // 2 % 100]
+        data.append((" ".join(w), int(i % 2 == 0)))
+    m = toxicity.fit([t for t, _ in data], [y for _, y in data])
+    assert (m.score([f"then the {b} on" for b in bad]) >= 0.5).sum() >= 98
+    assert (m.score([t for t, y in data if not y]) < 0.5).mean() > 0.98
+
+
 def test_toxicity_odd(spark, odd, empty):
     m = toxicity.fit(["you idiot there", "calm words here"] * 8, [1, 0] * 8)
     got = toxicity.score(odd, m).collect()
