@@ -325,6 +325,24 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotes(spark):
+    said = "The first line of it.\nThe second line of it.\nThe third line of it.\n\nAnother paragraph\nwrapped here.\n\nThe last paragraph of all."
+    q = lambda t: "\n".join("> " + x for x in t.split("\n"))
+    rows = [
+        (5, 0, said), (5, 1, q("The second line of it.\nThe third line of it.") + "\nyes"), (5, 2, q("Another paragraph wrapped here.\n\nThe last paragraph of all.") + "\nno"),
+        (5, 3, q("The first line of it.\nwords of mine") + "\nhm"), (5, 4, "Short."), (5, 5, "> Short.\nindeed"),
+        (3, 0, q("The second line of it.\nThe third line of it.") + "\nA far answer, it is."), (2, 0, "> Short.\nelsewhere"),
+        (6, 0, "> Words that stand in eight.\nWords that stand in six."), (8, 0, "> Words that stand in six.\nWords that stand in eight."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert len(got) == len(rows)
+    for k in ((5, 1), (5, 2), (5, 3), (3, 0)):
+        assert (got[k].n_linked, got[k].reply_conv, got[k].reply_turn) == (1, 5, 0), k
+    assert (got[5, 5].n_linked, got[5, 5].reply_turn, got[2, 0].n_linked) == (1, 4, 0)
+    assert (got[3, 0].thread_id, got[5, 0].thread_id, got[2, 0].thread_id) == (3, 3, 2)
+    assert (got[6, 0].reply_conv, got[8, 0].reply_conv, got[6, 0].thread_id, got[8, 0].thread_id) == (8, 6, 6, 6)
+
+
 # ---- 6 html ----
 
 
