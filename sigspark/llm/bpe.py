@@ -70,6 +70,8 @@ class PieceEncoder:
 
     def __init__(self, tokenizer, pattern: str, keep: int = 450_000) -> None:
         self.tokenizer, self.pattern, self.keep = tokenizer, regex.compile(pattern), keep
+        #: Strings that the tokenizer takes out of a text before it splits words; such texts go to the library as they are.
+        self.added = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         #: Words without the space before them, which they all have: the ids of space and word.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -161,6 +163,11 @@ class PieceEncoder:
         if len(self.pieces) > self.keep:
             self.pieces = {}
         out = [np.zeros(0, "<u4")] * len(texts)
+        if self.added:
+            for i, t in enumerate(texts):
+                if t and any(a in t for a in self.added):
+                    out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+            texts = [None if len(o) else t for o, t in zip(out, texts, strict=True)]
         split = [self._lines(t) if t else [] for t in texts]
         cut = [i for i, x in enumerate(split) if x]
         whole = [i for i, x in enumerate(split) if x is None]
@@ -214,6 +221,7 @@ class PieceEncoder:
 
 
 def encoder_of_json(path: str, pattern: str) -> PieceEncoder:
+    """As the library encodes by this file: a text that holds the string of an added token gives that token's id there."""
     return _encoder("json", path, pattern)
 
 
@@ -227,12 +235,9 @@ def _encoder(kind: str, path: str, pattern: str) -> PieceEncoder:
     if kind == "json":
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-    else:
-        # workers live on through later stages of a pipeline, and their stores with them
-        return PieceEncoder(tokenizer_of_ranks(read_ranks(path)), pattern, keep=120_000)
-    return PieceEncoder(t, pattern)
+        return PieceEncoder(Tokenizer.from_file(path), pattern)
+    # workers live on through later stages of a pipeline, and their stores with them
+    return PieceEncoder(tokenizer_of_ranks(read_ranks(path)), pattern, keep=120_000)
 
 
 @lru_cache(maxsize=4)

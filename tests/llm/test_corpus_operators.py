@@ -430,7 +430,6 @@ def test_token_query_by_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     got = {r.doc_id: r for r in queries.op8_token_binary(spark, SMALL).collect()}
     start = 0
     d = docs.sort_values("doc_id")
@@ -440,6 +439,20 @@ def test_token_query_by_the_library(spark, docs):
         start += len(ids)
 
 
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", " ", "a", " b", "\n", "<|", "endoftext", "|>", "é ", "1.", "  "]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SPECIAL, max_size=5))
+def test_tokens_of_texts_that_hold_an_added_token(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = [*texts, "<|endoftext|>", "<|endoftext|> at the start", "in <|endoftext|> the middle", "at the end<|endoftext|>", "<|endoftext|><|endoftext|>", None]
+    for x, ids in zip(texts, bpe.encoder_of_json(JSON, PATTERN).encode(texts), strict=True):
+        assert ids.tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
 def test_token_files_odd(spark, odd, empty, tmp_path):
     enc = lambda texts: bpe.encoder_of_json(JSON, PATTERN).encode(texts)
     m = tokenbin.write_files(odd, enc, str(tmp_path / "t"), end_id=2, block=64)
