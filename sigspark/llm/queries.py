@@ -153,10 +153,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
         l AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM raw),
         d AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE line <> ''),
-        k AS (SELECT line, n, n AS t, 0 AS s, unnest([0, 1]) AS j FROM d WHERE n >= 16 UNION ALL SELECT line, n, n - 1, 1, unnest([0, 1]) FROM d WHERE n >= 16),
+        k AS (SELECT line, n, n AS t, 0 AS s, unnest([0, 1]) AS j FROM d UNION ALL SELECT line, n, n - 1, 1, unnest([0, 1]) FROM d),
         e AS (SELECT line, n, t, s, j, CASE WHEN j = 1 THEN left(line, (t // 2)::INT) ELSE right(line, (t - t // 2)::INT) END AS half FROM k),
         near AS (SELECT DISTINCT least(a.line, b.line) AS a, greatest(a.line, b.line) AS b FROM e a JOIN e b ON a.t = b.t AND a.j = b.j AND a.half = b.half AND a.s = 0 AND a.line <> b.line
-                 WHERE levenshtein(a.line, b.line) <= 1),
+                 WHERE levenshtein(a.line, b.line) <= least(1, least(a.n, b.n) // 10)),
         both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
         reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON reach.b = w.a),
         root AS (SELECT a AS line, min(b) AS root FROM reach GROUP BY a),

@@ -244,16 +244,22 @@ def test_edit_distance_in_a_band(spark):
             assert x.d == (d if d <= most else None), (x, d)
 
 
-@pytest.mark.parametrize(("seed", "crowd"), [(1, 24), (2, 3), (3, 2)])
-def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd):
+@pytest.mark.parametrize(
+    ("seed", "crowd", "threshold", "per_edit", "shortest"),
+    [(1, 24, 1, 10, 10), (2, 3, 1, 10, 8), (3, 2, 1, 1, 1), (5, 24, 2, 8, 6), (6, 3, 2, 1, 2), (9, 24, 0, 10, 3)],
+)
+def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd, threshold, per_edit, shortest):
+    """Short lines too, crowded segments, and lines that differ from many others at one place."""
     monkeypatch.setattr(linededup, "CROWD", crowd)
     r = random.Random(seed)
-    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(10, 40))) for _ in range(4)]
+    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(shortest, 2 * shortest + 20))) for _ in range(4)]
     rows = []
     for i in range(60):
         lines = []
         for _ in range(r.randint(0, 5)):
             s = list(r.choice(base))
+            if r.random() < 0.3:
+                s[len(s) // 2] = r.choice("0123456789")
             for _ in range(r.choice([0, 0, 1, 1, 2])):
                 k, j = r.randint(0, 2), r.randint(0, len(s))
                 if k == 0:
@@ -271,11 +277,12 @@ def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd):
     names = list(ids)
     root = list(range(len(names)))
     find = lambda x: x if root[x] == x else find(root[x])
-    links = 0
+    links = [0] * len(names)
     for x in range(len(names)):
         for y in range(x):
-            if min(len(names[x]), len(names[y])) >= linededup.LEAST and lev(names[x], names[y]) <= 1:
-                links += 1
+            if lev(names[x], names[y]) <= min(threshold, min(len(names[x]), len(names[y])) // per_edit):
+                links[x] += 1
+                links[y] += 1
                 a, b = find(x), find(y)
                 root[max(a, b)] = min(a, b)
     first = {}
@@ -283,9 +290,11 @@ def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd):
         first[find(k)] = min(first.get(find(k), (i, p)), (i, p))
     expected = sorted((i, p) for i, p, k in occ if first[find(k)] != (i, p))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = linededup.classes(df).collect()
+    got = linededup.classes(df, threshold=threshold, per_edit=per_edit).collect()
     assert sorted((x.doc.id, x.pos) for x in got if not x.is_first) == expected
-    out = {x.doc_id: x for x in linededup.dedup(df).collect()}
+    many = {(x.doc.id, x.pos): x.links for x in got}
+    assert all(many.get((i, p), 0) == links[k] for i, p, k in occ)
+    out = {x.doc_id: x for x in linededup.dedup(df, threshold=threshold, per_edit=per_edit).collect()}
     assert sum(x.n_dropped for x in out.values()) == len(expected)
     for i, t in rows:
         if t is None:
@@ -295,6 +304,16 @@ def test_line_classes_by_brute_force(spark, monkeypatch, seed, crowd):
             assert out[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
 
 
+def test_lines_that_differ_at_one_place(spark, monkeypatch):
+    """A star of lines one letter apart: counted, not paired off, and each has a link to all others."""
+    monkeypatch.setattr(linededup, "CROWD", 2)
+    rows = [(i, f"a line that ends in the letter {chr(0x4E00 + i)} and goes on from there") for i in range(40)]
+    rows += [(50, "a line that ends in the letter  and goes on from there"), (51, "a line that ends in the letter xy and goes on from there")]
+    got = {x.doc.id: x for x in linededup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 41 and 51 not in got and [i for i, x in got.items() if x.is_first] == [0]
+    assert all(got[i].links == 40 for i in [*range(40), 50])
+
+
 def test_line_dedup_odd(spark, odd, empty):
     got = linededup.dedup(odd.withColumn("n_lines", F.lit("x"))).collect()
     assert len(got) == len(ODD)

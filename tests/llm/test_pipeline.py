@@ -30,7 +30,7 @@ def test_stages(spark):
             s = line.strip(" \t\r\f\v")
             if s and s in first:
                 continue
-            if s and len(s) >= 16 and any(abs(len(s) - len(v)) <= 1 and len(v) >= 16 and (s[: len(s) // 2] == v[: len(s) // 2] or s[len(s) // 2 + 1 :] == v[len(v) - len(s) + len(s) // 2 + 1 :]) and lev(s, v) <= 1 for v in names):
+            if s and len(s) >= 10 and any(abs(len(s) - len(v)) <= 1 and len(v) >= 10 and (s[: len(s) // 2] == v[: len(s) // 2] or s[len(s) // 2 + 1 :] == v[len(v) - len(s) + len(s) // 2 + 1 :]) and lev(s, v) <= 1 for v in names):
                 continue
             if s:
                 first[s] = i
