@@ -14,64 +14,93 @@ from .common import map_text
 # Elements that begin and end a line of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 # Elements whose content is never article text.
-SKIPPED = frozenset("applet aside audio button canvas dialog embed fieldset footer form frame frameset head header iframe input label math menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
+SKIPPED = frozenset("applet aside audio button canvas dialog embed footer frame frameset head header iframe input label math menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
+# Elements that speak against their text, which is left out unless they hold the content region.
+WEAK = frozenset("fieldset form".split())
 # Elements without an end tag.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 # Words of a class, id or role that mark menus, notices, adverts, comments and the like.
 MARKS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo promoted promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+# Elements of running text, which stay beside dense lines though they are short.
+TEXT = frozenset("blockquote caption center dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 #: A start tag of these ends an open element of the same set: html.parser does not close them itself.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+#: An inline end tag does not reach out of these.
+CONTAINERS = frozenset("article aside body footer form header main nav".split())
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 CUT_TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|/|!--(?:(?!-->).)*|![^<>]*)\Z", re.S)
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, number of tags, ids of the enclosing block elements, within article or main)."""
+    """Collects lines: (text, characters in links, number of tags, node). Nodes are the block elements: ``parent``, ``tag``
+    and whether its tag or a word of its class speaks against it (``weak``). Node 0 is the page. Time and memory are linear
+    in the page, however deep it nests: elements know where their names are open, and nodes know their parents only."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        #: (tag, node around its content, whether the content is skipped) of each open element
         self.open: list[tuple[str, int, bool]] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.named: dict[int, str] = {}
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+        self.walls: list[int] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.tag, self.weak = [0], [""], [False]
         self.parts: list[str] = []
-        self.tags = self.made = 0
+        self.tags = self.linked = 0
+
+    @property
+    def node(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
+    @property
+    def skipping(self) -> bool:
+        return bool(self.open) and self.open[-1][2]
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, max(1, self.tags), tuple(i for t, i, _ in self.open if t in BLOCKS)))
+            self.lines.append((text, min(self.linked, len(text)), max(1, self.tags), self.node))
         if text or self.parts:
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
-    @property
-    def skipping(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+    def cut(self, k: int) -> None:
+        """Closes the open elements from place k on."""
+        for tag, _, _ in self.open[k:]:
+            self.places[tag].pop()
+        del self.open[k:]
+        for places in (self.solid, self.walls):
+            while places and places[-1] >= k:
+                places.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.parts.append(" ")
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             if not self.skipping:
                 self.flush()
             # a new p, li or cell ends one that is open in the same container
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
-                if name in CLOSES.get(tag, ()) or tag in BLOCKS and name == "p":
-                    del self.open[k:]
-                    break
-                if name in BLOCKS and name not in ("p",):
-                    break
+            k = max((self.places[n][-1] for n in (*CLOSES.get(tag, ()), "p") if self.places.get(n)), default=-1)
+            if k >= 0 and k >= (self.solid[-1] if self.solid else 0):
+                self.cut(k)
         self.tags += 1
         if tag in VOID:
             return
-        skip = self.skipping or tag in SKIPPED or any(
-            k in ("class", "id", "role") and v and not MARKS.isdisjoint(WORD.findall(v.lower())) for k, v in attrs if tag not in ("html", "body", "article", "main")
-        )
-        self.made += 1
-        self.named[self.made] = tag
-        self.open.append((tag, self.made, skip))
+        marked = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and not MARKS.isdisjoint(WORD.findall(v.lower())) for k, v in attrs)
+        skip, node = self.skipping or tag in SKIPPED or marked and not block, self.node
+        if block:
+            self.parent.append(node)
+            self.tag.append(tag)
+            self.weak.append(marked or tag in WEAK)
+            node = len(self.tag) - 1
+            if tag != "p":
+                self.solid.append(len(self.open))
+        if tag in CONTAINERS:
+            self.walls.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node, skip))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -80,19 +109,20 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if not self.skipping:
-                    if tag in BLOCKS or any(t in BLOCKS for t, _, _ in self.open[k:]):
-                        self.flush()
-                del self.open[k:]
-                return
-            if self.open[k][0] in ("article", "main", "body", "nav", "footer", "header", "aside", "form") and tag not in BLOCKS:
-                return  # an inline end tag does not reach out of its container
+        if not self.places.get(tag):
+            return
+        k = self.places[tag][-1]
+        if tag not in BLOCKS and self.walls and self.walls[-1] > k:
+            return
+        if not self.skipping and (tag in BLOCKS or self.solid and self.solid[-1] >= k or self.places.get("p") and self.places["p"][-1] >= k):
+            self.flush()
+        self.cut(k)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.parts.append(data)
+            if self.places.get("a"):
+                self.linked += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -129,9 +159,10 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of a page: blocks in page order, joined by an empty line; empty for null or a page without text.
 
-    Lines whose smoothed text-to-tag ratio is in the upper cluster vote, by their length, for the content region: the
-    outermost article or main with half of their text, else the innermost element with nine tenths of it. All lines of
-    that region that stand in no menu, notice, advert, form or comment are the text, short ones too.
+    The ratio of a line is its characters outside of links for each tag, and a tenth of that within an element that speaks
+    against it. Lines whose smoothed ratio is in the upper cluster are dense. They choose the region: the outermost article
+    or main with half of their text, else the innermost element with nine tenths of it. From there it grows: see ``_grown``.
+    Elements with telling names weigh a line down and are left out of the region, but not where they hold the region.
     """
     if not html:
         return ""
@@ -140,19 +171,63 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     p.finish()
     if not p.lines:
         return ""
-    ratio = smooth([len(t) / n for t, n, _ in p.lines], sigma)
-    cut = threshold(ratio)
-    votes: dict[int, int] = {}
-    total = 0
-    for (t, _, path), r in zip(p.lines, ratio, strict=True):
-        if r >= cut:
-            total += len(t)
-            for i in path:
-                votes[i] = votes.get(i, 0) + len(t)
-    named = [i for i, v in votes.items() if p.named[i] in ("article", "main") and 2 * v >= total]
-    wide = [i for i, v in votes.items() if 10 * v >= 9 * total]
-    region = min(named) if named else max((i for i in wide if p.named[i] not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "blockquote", "pre")), default=None)
-    return "\n\n".join(t for t, _, path in p.lines if region is None or region in path)
+    against = list(p.weak)
+    for i in range(1, len(against)):
+        against[i] = against[i] or against[p.parent[i]]
+    ratio = [(len(t) - 0.9 * links) / tags * (0.1 if against[i] else 1) for t, links, tags, i in p.lines]
+    if max(ratio) < 2.5 and all(against[i] for _, _, _, i in p.lines):
+        return ""  # nothing but short lines in forms, notices and the like
+    flat = smooth(ratio, sigma)
+    cut = threshold(flat)
+    dense = [r >= cut for r in flat]
+    votes = [0] * len(p.tag)
+    for (t, _, _, i), d in zip(p.lines, dense, strict=True):
+        votes[i] += len(t) * d
+    total = sum(votes)
+    for i in range(len(votes) - 1, 0, -1):  # a parent comes before its children
+        votes[p.parent[i]] += votes[i]
+    region = next((i for i, v in enumerate(votes) if p.tag[i] in ("article", "main") and 2 * v >= total), None)
+    named = region is not None
+    if not named:
+        region = max((i for i, v in enumerate(votes) if 10 * v >= 9 * total and (i == 0 or p.tag[i] not in SMALL)), default=0)
+    firm = [d and 4 * r >= cut for d, r in zip(dense, ratio, strict=True)]  # not dense by its neighbours alone
+    return "\n\n".join(_grown(p, region, named, firm))
+
+
+#: Elements too small to be a region.
+SMALL = frozenset("blockquote h1 h2 h3 h4 h5 h6 li p pre td th tr".split())
+
+
+def _grown(p: Lines, region: int, named: bool, dense: list[bool]) -> list[str]:
+    """The lines of the region that belong to its dense ones.
+
+    What stands right under the region is a unit: an element with all it holds, or a line of its own. Units with a dense line
+    stay. Others stay where less than half of their text is in links and they are of running text or of a kind that the
+    dense units are; in an article or main, whatever their kind. Within a unit, an element with a telling name goes.
+    """
+    size = len(p.tag)
+    unit, out = [-1] * size, [False] * size
+    for i in range(1, size):
+        up = p.parent[i]
+        if up == region:
+            unit[i], out[i] = i, p.weak[i]
+        elif unit[up] >= 0:
+            unit[i], out[i] = unit[up], out[up] or p.weak[i]
+    rows = []
+    for k, (t, links, _, i) in enumerate(p.lines):
+        if i == region:
+            rows.append((-1 - k, t, links, dense[k]))
+        elif unit[i] >= 0 and not out[i]:
+            rows.append((unit[i], t, links, dense[k]))
+    kinds, chars, linked, firm = set(), {}, {}, set()
+    for u, t, links, d in rows:
+        chars[u] = chars.get(u, 0) + len(t)
+        linked[u] = linked.get(u, 0) + links
+        if d:
+            firm.add(u)
+            kinds.add(p.tag[u] if u >= 0 else "")
+    stays = lambda u: u in firm or 2 * linked[u] < chars[u] and (named or (tag := p.tag[u] if u >= 0 else "") in kinds or tag in TEXT)
+    return [t for u, t, _, _ in rows if stays(u)]
 
 
 def extract(df: DataFrame, html: str = "html", keep: list[str] | None = None, sigma: float = 1.0) -> DataFrame:

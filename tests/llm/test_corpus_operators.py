@@ -377,8 +377,71 @@ def test_main_text():
     assert htmltext.main_text(divs).endswith("short")
 
 
+def plain_page(r):
+    """A page without article, main or telling names, and its text."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    links = lambda n: "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(n))
+    text = [words(2, 6), words(40, 90)]
+    body = f"<h1>{text[0]}</h1><p>{text[1]}</p>"
+    for _ in range(r.randint(1, 6)):
+        kind = r.random()
+        if kind < 0.6:
+            text.append(words(20, 80))
+            body += f"<p>{text[-1]}</p>"
+        elif kind < 0.8:
+            text.append(words(1, 5))
+            body += f"<p>{text[-1]}</p>"
+        else:
+            text += [words(3, 6), words(30, 60)]
+            body += f"<h2>{text[-2]}</h2><p>{text[-1][:20]}<b>{text[-1][20:30]}</b>{text[-1][30:]}</p>"
+    top = f'<div class="x1"><ul>{links(r.randint(4, 9))}</ul></div>'
+    end = f'<div class="x3"><div><a href="/a">{words(1, 2)}</a> <a href="/b">{words(1, 2)}</a></div><div>{words(1, 3)}</div></div>'
+    inner = f'<div class="x2">{body}</div>' if r.random() < 0.5 else body
+    return f"<html><body>{top}{inner}{end}</body></html>", "\n\n".join(text)
+
+
+def test_pages_without_telling_names(monkeypatch):
+    """Density alone finds the text; without the ratio, or without the clusters, it is not found."""
+    r = random.Random(4)
+    pages = [plain_page(r) for _ in range(150)]
+    right = lambda: sum(htmltext.main_text(h) == t for h, t in pages)
+    assert right() >= 148
+    monkeypatch.setattr(htmltext, "smooth", lambda values, sigma: [1.0] * len(values))
+    assert right() < 75
+    monkeypatch.undo()
+    monkeypatch.setattr(htmltext, "threshold", lambda values: 0.0)
+    assert right() < 75
+
+
+def test_telling_names_around_the_text():
+    long = "<p>" + "many words of text " * 20 + "</p>"
+    for page in (
+        f'<div class="content has-sidebar"><ul class="menu"><li><a>one</a></li><li><a>two</a></li></ul>{long}<p>Short end.</p></div>',
+        f'<form id="aspnetForm"><div class="nav"><a>a</a><a>b</a></div><div>{long}<p>Short end.</p></div></form>',
+        f'<div id="page" class="no-sidebar"><article>{long}<p>Short end.</p></article><div class="related">{long}</div></div>',
+    ):
+        assert htmltext.main_text(page) == ("many words of text " * 20).strip() + "\n\nShort end."
+
+
+def test_hostile_pages():
+    import time
+    import tracemalloc
+
+    for page in ("<div>x " * 100_000, "<b>" * 100_000 + "<div></div>x" * 50_000, "<div>" * 100_000 + "x</i></b>" * 100_000, "<b><article>" + "<div>" * 50_000 + "</b>" * 50_000, "<p><li>" * 50_000):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 8  # a quadratic one takes minutes
+    tracemalloc.start()
+    htmltext.main_text("<div>x " * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, "n"), (1, "<p>" + "x " * 50000, "m")], "page_id long, html string, N_CHARS string")
+    twice = sorted(htmltext.extract(df.union(df)).collect(), key=lambda r: r.n_chars)
+    assert [x.n_chars for x in twice] == [0, 0, 99999, 99999]
     got = sorted(htmltext.extract(df).collect(), key=lambda r: r.n_chars)
     assert (got[0].text, got[0].n_chars, got[1].n_chars) == ("", 0, 99999)
     assert htmltext.extract(df.limit(0)).count() == 0
