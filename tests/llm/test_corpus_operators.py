@@ -362,6 +362,60 @@ def test_trimmed_quotes(spark):
     assert (got[6, 0].reply_conv, got[8, 0].reply_conv, got[6, 0].thread_id, got[8, 0].thread_id) == (8, 6, 6, 6)
 
 
+def test_quotes_by_construction(spark):
+    """Quoted runs of lines or paragraphs of an earlier message link to it, at two levels; changed quotes link to nothing."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(r.randint(3, 8)))
+    words = lambda: " ".join(word() for _ in range(r.randint(4, 9)))
+    q = lambda t, marks="> ": "\n".join(marks + x for x in t.split("\n"))
+    rows, want = [], {}
+    for c in range(60):
+        said = []
+        for t in range(r.randint(2, 6)):
+            own = "\n\n".join("\n".join(words() for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 3)))
+            head, expected = "", (0, 0, None)
+            if said and r.random() < 0.8:
+                turn, of = r.choice(said)
+                kind = r.choice(["all", "lines", "lines", "paragraphs", "changed"])
+                if kind == "all":
+                    part = of
+                elif kind == "paragraphs":
+                    ps = of.split("\n\n")
+                    i = r.randrange(len(ps))
+                    part = "\n\n".join(ps[i : r.randint(i, len(ps) - 1) + 1])
+                else:
+                    ls = [x for x in of.split("\n") if x]
+                    i = r.randrange(len(ls))
+                    part = "\n".join(ls[i : r.randint(i, len(ls) - 1) + 1])
+                if kind == "changed":
+                    part = "\n".join(x[::-1] for x in part.split("\n"))
+                head = (f"On {word()} {word()} wrote:\n" if r.random() < 0.3 else "") + q(part.upper() if r.random() < 0.3 else part) + "\n"
+                expected = (1, 0, None) if kind == "changed" else (1, 1, turn)
+            said.append((t, own))
+            rows.append((c, t, head + own))
+            want[c, t] = (own, *expected)
+    got = {(x.conv_id, x.turn): x for x in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert all((got[k].own_text, got[k].n_quotes) == (own, n) for k, (own, n, _, _) in want.items())
+    linked = [k for k, w in want.items() if w[2]]
+    assert len(linked) > 60
+    assert sum(got[k].n_linked == 1 and (got[k].reply_conv, got[k].reply_turn) == (k[0], want[k][3]) for k in linked) == len(linked)
+    assert not any(got[k].n_linked for k, w in want.items() if not w[2])
+
+
+def test_long_and_repeated_messages(spark):
+    """A message of many passages is parsed in linear time; equal rows stay and link alike; ties go to the first message."""
+    import time
+
+    long = "\n".join(f"> quoted line number {i // 2}\n>> deeper line {i}" if i % 2 else f"said {i}" for i in range(40_000))
+    rows = [(1, 0, "quoted line number 7"), (1, 1, long), (2, 0, "The same sentence is here."), (2, 0, "The same sentence is here."), (3, 0, "The same sentence is here."), (4, 0, "> The same sentence is here."), (4, 0, "> The same sentence is here.")]
+    began = time.time()
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert time.time() - began < 60  # 40,000 lines took 38 s alone when passages grew by copies
+    assert len(got) == len(rows)
+    assert {(x.n_quotes, x.n_linked) for x in got if x.turn == 1} == {(40_000, 1)}
+    assert [(x.reply_conv, x.reply_turn, x.thread_id) for x in got if x.conv_id == 4] == [(2, 0, 2)] * 2
+
+
 # ---- 6 html ----
 
 
