@@ -16,8 +16,9 @@ def fold(id_col: Column, folds: int = 5) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], id_col: str = "doc_id", text: str = "text", folds: int = 5) -> pd.DataFrame:
     """``text`` and ``label`` of at most ``bounds[c]`` rows of each class c, never of fold 0.
 
-    The rows of a class with the smallest hashes of their ids are taken, so the sample does not depend on the order or the
-    partitions of a table. It is small by its bounds; only labels, not texts, are sorted for it.
+    The rows of a class with the smallest hashes of their ids are taken, and of rows with one id the text of the smallest
+    hash, so the sample does not depend on the order or the partitions of a table. Copies of an id are one row before
+    anything is collected, so the driver gets no more rows than the bounds; only labels, not texts, are sorted for it.
     """
     rows = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("__id").isNotNull() & (fold(F.col("__id"), folds) != 0))
     rows = rows.groupBy("__id").agg(F.max("label").alias("label"))
@@ -28,13 +29,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int
     chosen = ids.collect()
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], ids.schema)
     got = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "__id")
-    return got.select("__id", "text", "label").toPandas().drop_duplicates("__id").sort_values("__id", ignore_index=True)
+    got = got.groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return got.select("__id", "text", "label").toPandas().sort_values("__id", ignore_index=True)
 
 
-def share(labels: DataFrame, label: str) -> float:
-    """The share of rows of class 1 among labelled rows; 0.5 without any."""
-    got = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return 0.5 if got is None else float(got)
+def share(labels: DataFrame, label: str, id_col: str = "doc_id", folds: int = 5) -> float | None:
+    """The share of rows of class 1 among labelled rows that are not of fold 0; None without any."""
+    got = labels.where(fold(F.col(id_col), folds) != 0).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return None if got is None else float(got)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 100) -> tuple[float, float]:

@@ -157,7 +157,8 @@ def fit(texts: list[str | None], label: list[int], share: float = 0.5, epochs: i
 def fit_on(docs: DataFrame, labels: DataFrame, most_good: int = 1500, most_bad: int = 1000, id_col: str = "doc_id", text: str = "text") -> Model:
     """Fits on at most so many labelled documents of each class outside of fold 0; that bounds the driver."""
     got = labelled.sample(docs, labels, "quality", {1: most_good, 0: most_bad}, id_col, text)
-    return fit(got["text"].tolist(), got["label"].tolist(), labelled.share(labels, "quality"))
+    share = labelled.share(labels, "quality", id_col)
+    return fit(got["text"].tolist(), got["label"].tolist(), 0.5 if share is None else share)
 
 
 def judge(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -1,9 +1,11 @@
 """Toxicity: a subsequence string-kernel SVM over Nystroem landmarks, trained on labelled documents.
 
-An instance is a window of ``WINDOW`` letters within a word. The kernel of two windows is the sum over all subsequences of
-``ORDER`` letters that both hold, each occurrence weighted by ``DECAY`` to the power of the span it covers, so a letter put
-in or left out weakens a match and does not end it. A document scores as its worst window. Documents carry the labels, so
-training goes around: fit, find the worst window of each toxic document and the worst of each clean one, fit again.
+An instance is a window of ``LEAST`` to ``WINDOW`` letters within a word, or a shorter word. The kernel of two windows is the
+sum over all subsequences of ``ORDER`` letters that both hold, each occurrence weighted by ``DECAY`` to the power of the span
+it covers, so a letter put in or left out weakens a match and does not end it. A document scores as its worst window.
+Documents carry the labels, so training goes around: fit, find the worst window of each toxic document and the worst of each
+clean one, fit again; windows of what marks toxic documents stay in throughout, so that each insult is learnt, not only the
+worst of a document.
 A linear SVM on landmark features is linear in the subsequences too; for scoring it is folded in one table over them.
 """
 
@@ -21,8 +23,12 @@ from pyspark.sql import types as T
 from . import labelled
 from .common import map_text
 
-ORDER, WINDOW, DECAY = 4, 6, 0.85
+ORDER, WINDOW, DECAY = 4, 7, 0.85
 CLASSES = 36
+#: What stands for the ends of a short word.
+EDGE = 35
+#: Words of up to so many letters have no subsequence; words of so many letters and fewer are parts of words. See ``units``.
+SHORT, PARTS = 3, 2
 SEPARATOR = 255
 # Digits and signs written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"}
@@ -53,6 +59,10 @@ SPANS = PLACES[:, -1] - PLACES[:, 0] + 1
 SURE, FEW, FEWEST = 6, 3, 2
 #: Positions that are scored at a time.
 CHUNK = 500_000
+#: The letters of a window, where the word has as many.
+LEAST = 6
+#: The weight of the first windows beside that of the worst ones.
+SEEDS = 0.3
 #: By the number of letters of a window, the norm of its subsequences if they all differ.
 NORMS = np.sqrt([max(DECAY**ORDER, sum(DECAY ** (2 * s) for s, e in zip(SPANS, PLACES[:, -1], strict=True) if e < n)) if n >= ORDER else 1.0 for n in range(WINDOW + 1)]).astype(np.float32)
 
@@ -68,12 +78,22 @@ class Units:
 
 
 def units(texts: list[str | None]) -> Units:
-    """Words are what white space parts, without signs; letters that stand alone in a row are one word."""
+    """What is scored: words, which white space parts, without signs; a letter stretched to three and more counts once.
+
+    Words of one letter in a row, or of two, are taken together, so that one cut in such parts is seen. Words of two letters to
+    ``SHORT`` are also taken between edges, so that short insults have subsequences.
+    """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     c = TABLE[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     doc = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
     kept = c != 0
     c, doc = c[kept], doc[kept]
+    new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]] if len(c) else c)
+    run = np.diff(np.r_[new, len(c)])
+    kept = np.ones(len(c), bool)  # a letter three times and more in a row counts once
+    kept[np.repeat(run > 2, run)] = False
+    kept[new] = True
+    c, doc = c[kept], doc[kept]
     sep = c == SEPARATOR
     number = np.cumsum(sep)[~sep]
     letters, d = c[~sep], doc[~sep]
@@ -84,9 +104,17 @@ def units(texts: list[str | None]) -> Units:
     start = np.flatnonzero(new)
     size = np.diff(np.r_[start, len(letters)])
     owner = d[start]
-    glued = np.r_[False, (size[1:] == 1) & (size[:-1] == 1) & (owner[1:] == owner[:-1])]
-    start = start[~glued]
-    return Units(letters, start, np.diff(np.r_[start, len(letters)]), owner[~glued])
+    lone = (size > 1) & (size <= SHORT)
+    at, n, of = start[lone], size[lone], owner[lone]
+    edged = np.full((len(at), SHORT + 2), EDGE, np.uint8)
+    for i in range(SHORT):
+        edged[:, i + 1] = np.where(i < n, letters[np.minimum(at + i, len(letters) - 1)], EDGE)
+    inside = np.arange(SHORT + 2) < (n + 2)[:, None]
+    glued = np.r_[False, (size[1:] <= PARTS) & (size[1:] == size[:-1]) & (owner[1:] == owner[:-1])]
+    start, owner = start[~glued], owner[~glued]
+    size = np.diff(np.r_[start, len(letters)])
+    behind = len(letters) + np.cumsum(np.r_[0, (n + 2)[:-1]]) if len(at) else at
+    return Units(np.r_[letters, edged[inside]], np.r_[start, behind], np.r_[size, n + 2], np.r_[owner, of])
 
 
 def distinct(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -110,21 +138,21 @@ def padded(u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-def window_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each position the sum of table values over the subsequences of its window, by the norm of a window so long."""
+def window_scores(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the best score of a window that begins there, and the letters of that window.
+
+    The score of a window is the sum of table values over its subsequences, by the norm of a window so long.
+    """
     n = len(codes) - WINDOW
     if n <= 0:
-        return np.zeros(0, np.float32)
+        return np.zeros(0, np.float32), np.zeros(0, np.int8)
     if n > CHUNK:
-        return np.concatenate([window_scores(codes[i : min(i + CHUNK, n) + WINDOW], table) for i in range(0, n, CHUNK)])
-    codes = codes.astype(np.int64)
-    total = np.zeros(n, np.float32)
-    power = [codes * CLASSES ** (ORDER - 1 - i) for i in range(ORDER)]
-    letters = (codes[:n] > 0).astype(np.int64)
-    for b in range(1, WINDOW):
-        letters += codes[b : b + n] > 0
-        if b < ORDER - 1:
-            continue
+        parts = [window_scores(codes[i : min(i + CHUNK, n) + WINDOW], table) for i in range(0, n, CHUNK)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    codes = codes.astype(np.int32)
+    power = [codes * np.int32(CLASSES ** (ORDER - 1 - i)) for i in range(ORDER)]
+    by_span = []
+    for b in range(ORDER - 1, WINDOW):
         occ = np.zeros(n + WINDOW, np.float32)
         m = len(codes) - b
         head = power[0][:m] + power[-1][b:]
@@ -134,16 +162,22 @@ def window_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
                 ids = ids + power[i + 1][a : a + m]
             occ[:m] += table[ids]
         occ *= DECAY ** (b + 1)
-        for s in range(WINDOW - b):
-            total += occ[s : s + n]
-    total /= NORMS[letters]
-    total[codes[:n] == 0] = -1e9  # no window begins behind a word
-    return total
+        by_span.append(occ)
+    total, best, size = np.zeros(n, np.float32), np.zeros(n, np.float32), np.full(n, ORDER, np.int8)
+    for letters in range(ORDER, WINDOW + 1):
+        for b in range(ORDER - 1, letters):  # what ends at the last letter; nothing does behind the end of a word
+            total += by_span[b - ORDER + 1][letters - 1 - b : letters - 1 - b + n]
+        now = total / NORMS[letters]
+        whole = codes[letters - 1 : letters - 1 + n] > 0
+        better = whole & (now > best) if letters > LEAST else whole  # of a shorter window there are more letters to see
+        best[better], size[better] = now[better], letters
+    best[codes[:n] == 0] = -1e9  # no window begins behind a word
+    return best, size
 
 
 def word_scores(u: Units, which: np.ndarray, table: np.ndarray) -> np.ndarray:
     codes, start = padded(u, which)
-    s = window_scores(codes, table)
+    s, _ = window_scores(codes, table)
     return np.maximum.reduceat(s, start) if len(start) else s
 
 
@@ -173,8 +207,8 @@ class Model:
         out = np.zeros(len(texts), np.float32)
         if len(first):
             s = word_scores(u, first, self.table)[place]
-            heads = np.flatnonzero(np.r_[True, u.doc[1:] != u.doc[:-1]])
-            out[u.doc[heads]] = np.maximum.reduceat(s, heads)
+            out[u.doc] = -np.inf
+            np.maximum.at(out, u.doc, s)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -259,8 +293,10 @@ def _counted(windows: np.ndarray, weight: np.ndarray | int) -> tuple[np.ndarray,
     return names, np.bincount(inv.ravel(), weights=np.broadcast_to(weight, len(windows)), minlength=len(names))
 
 
-def _windows_at(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return codes[at[:, None] + np.arange(WINDOW)].astype(np.int64)
+def _windows_at(codes: np.ndarray, at: np.ndarray, letters: np.ndarray | int = WINDOW) -> np.ndarray:
+    """Windows of so many letters from places on, with zeros behind."""
+    place = np.arange(WINDOW)
+    return np.where(place < np.reshape(letters, (-1, 1)), codes[at[:, None] + place], 0).astype(np.int64)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, rounds: int = 40) -> np.ndarray:
@@ -322,9 +358,11 @@ class _Space:
         return out
 
 
-def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds: int = 5, seed: int = 7) -> Model:
+def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds: int = 5, seed: int = 7, share: float | None = None) -> Model:
     """Fits the kernel SVM and its calibration; every fourth document is left out of the SVM and calibrates it.
 
+    ``share`` is that of toxic documents where the model will be used; that of the given ones if it is not known.
+
     Without toxic or without clean documents nothing can be learnt: every score is then the constant share of toxic ones.
     """
     y = np.array(label, int)
@@ -350,15 +388,17 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
     ranked: list[list[tuple[int, int, np.ndarray]]] = []
     for n, hit in grams:
         seeds: list[tuple[int, int, np.ndarray]] = []
-        for shift in range(WINDOW - n + 2):  # the gram at the head, in the middle and at the end of a window
-            begin = np.maximum(u.start[word[hit]], hit - shift)
+        for shift in range(WINDOW - n + 2):  # the gram alone; then at the head, in the middle and at the end of a window
+            begin = np.maximum(u.start[word[hit]], hit - max(0, shift - 1))
             pick, count = np.unique(start[place[word[hit]]] + begin - u.start[word[hit]], return_counts=True)
-            best = np.argsort(-count, kind="stable")[:2]
-            seeds += [(int(count[i]), len(seeds), w) for i, w in zip(best, _windows_at(codes, pick[best]), strict=True)]
+            best = np.argsort(-count, kind="stable")[: 2 if shift else 1]
+            windows = _windows_at(codes, pick[best], WINDOW if shift else max(n, LEAST))
+            seeds += [(int(count[i]) + (0 if shift else len(hit)), len(seeds), w) for i, w in zip(best, windows, strict=True)]
         if seeds:
             ranked.append(sorted(seeds, key=lambda x: (-x[0], x[1])))
     neg_words = np.unique(place[~toxic_word])
-    clean = _windows_at(codes, start[rng.choice(neg_words, min(len(neg_words), 4000), replace=False)])
+    picked = rng.choice(neg_words, min(len(neg_words), 4000), replace=False)
+    clean = _windows_at(codes, start[picked], rng.integers(LEAST, WINDOW + 1, len(picked)))
     # the most frequent window of every gram, in the order of the grams; then second ones and so on, up to a number
     chosen: dict[bytes, tuple[np.ndarray, int]] = {}
     for depth in range(max(map(len, ranked), default=0)):
@@ -386,25 +426,30 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         wsvm = _svm(x, t, np.r_[pw / pw.sum(), nw / nw.sum()])
         del x
         table, bias = space.table(wsvm[:-1]), float(wsvm[-1])
-        s = window_scores(codes, table)
+        s, letters = window_scores(codes, table)
         best = np.maximum.reduceat(s, start)
         behind = np.r_[start[1:], len(s)]
-        peak = lambda words: np.array([start[w] + int(np.argmax(s[start[w] : behind[w]])) for w in words], int)  # noqa: B023, E731
+
+        def peak(words: np.ndarray) -> np.ndarray:
+            at = np.array([start[w] + int(np.argmax(s[start[w] : behind[w]])) for w in words], int)  # noqa: B023
+            return _windows_at(codes, at, letters[at])  # noqa: B023
+
         order = np.lexsort((-best[place], u.doc))
         rank = np.arange(len(order)) - np.searchsorted(u.doc[order], u.doc[order])
         docs = u.doc[order]
         top = order[(yt[docs] == 1) & (rank == 0)]
         hard = order[(yt[docs] == 0) & (rank < 4)]
         if left:  # what no landmark marks yet
-            lost, times = _counted(_windows_at(codes, peak(place[top[best[place[top]] + bias < 0]])), 1)
+            lost, times = _counted(peak(place[top[best[place[top]] + bias < 0]]), 1)
             marks = np.unique(np.concatenate([marks, lost[times >= FEWEST]]), axis=0)
-        px, pw = _counted(_windows_at(codes, peak(place[top])), np.ones(len(top)))
-        nx, nw = _counted(np.concatenate([nx, _windows_at(codes, peak(place[hard]))]), np.r_[nw, np.ones(len(hard))])
+        # the windows that the grams gave stay, so that an insult that never is a document's worst is learnt too
+        px, pw = _counted(np.concatenate([pos, peak(place[top])]), np.r_[SEEDS * len(top) * seen / seen.sum(), np.ones(len(top))])
+        nx, nw = _counted(np.concatenate([nx, peak(place[hard])]), np.r_[nw, np.ones(len(hard))])
         heavy = np.argsort(-nw, kind="stable")[:12000]
         nx, nw = nx[heavy], nw[heavy]
     model = Model(table, info={"grams": len(grams), "landmarks": len(marks), "bias": bias})
     cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    model.a, model.b = labelled.platt(model.worst([texts[i] for i in cal]).astype(float) + bias, y[cal])
+    model.a, model.b = labelled.platt(model.worst([texts[i] for i in cal]).astype(float) + bias, y[cal], float(y.mean()) if share is None else share)
     model.b += model.a * bias
     return model
 
@@ -412,7 +457,7 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
 def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 2000, id_col: str = "doc_id", text: str = "text") -> Model:
     """Fits on at most ``most_toxic`` and ``most_clean`` labelled documents outside of fold 0; that bounds the driver."""
     got = labelled.sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}, id_col, text)
-    return fit(got["text"].tolist(), got["label"].tolist())
+    return fit(got["text"].tolist(), got["label"].tolist(), share=labelled.share(labels, "toxic", id_col))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

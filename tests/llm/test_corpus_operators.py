@@ -61,7 +61,7 @@ def test_toxicity_of_held_out_sentences():
     assert ((p >= 0.5) == y).mean() > 0.97
     calm = m.score(["then there are the on and in", "", None])
     assert (calm < 0.5).all()
-    for t in ("you i d i o t", "what an id-iot", "1diot", "a wor-thless one"):
+    for t in ("you i d i o t", "what an id-iot", "1diot", "a wor-thless one", "you idiooooot there", "worthhless"):
         assert m.score([t])[0] >= 0.5, t
 
 
@@ -84,11 +84,15 @@ def test_kernel_table_is_the_kernel():
             table[sum(c * toxicity.CLASSES ** (toxicity.ORDER - 1 - i) for i, c in enumerate(u))] += b * v
     word = tuple(rng.integers(1, 5, 9))
     codes = np.r_[word, np.zeros(toxicity.WINDOW * 2, int)]
-    got = toxicity.window_scores(codes, table)[: len(word)]
+    got, size = toxicity.window_scores(codes, table)
     for i in range(len(word)):
-        w = word[i : i + toxicity.WINDOW]
-        k = sum(b * sum(v * phi(z).get(u, 0) for u, v in phi(w).items()) for b, z in zip(beta, marks, strict=True))
-        assert abs(got[i] - k / toxicity.NORMS[len(w)]) < 1e-4
+        ks = {}
+        for n in range(min(toxicity.LEAST, len(word) - i), min(toxicity.WINDOW, len(word) - i) + 1):
+            w = word[i : i + n]
+            ks[n] = sum(b * sum(v * phi(z).get(u, 0) for u, v in phi(w).items()) for b, z in zip(beta, marks, strict=True)) / toxicity.NORMS[n]
+        assert abs(got[i] - max(ks.values())) < 1e-4
+        if len(word) - i >= toxicity.ORDER:
+            assert abs(ks[size[i]] - max(ks.values())) < 1e-4
 
 
 def test_toxicity_learns_a_large_vocabulary():
@@ -124,6 +128,8 @@ def test_folds_and_sample(spark, odd):
     got = labelled.sample(odd, labels, "toxic", {0: 10, 1: 10})
     assert all(zlib.crc32(str(i).encode()) % 5 for i in got["__id"])
     assert got["__id"].is_unique
+    twice = labelled.sample(odd.union(odd.withColumn("text", F.lit("another"))), labels, "toxic", {0: 10, 1: 10})
+    assert twice["__id"].is_unique and set(twice["__id"]) == set(got["__id"])
 
 
 # ---- 2 decontamination ----
