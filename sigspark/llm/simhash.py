@@ -16,6 +16,8 @@ from .components import components
 
 #: A group is split further beyond this many fingerprints; a task's memory is some hundred bytes for each.
 GROUP = 2048
+#: The members of a component are dealt to so many tasks.
+SALTS = 16
 #: Node pairs or rows that a task holds at a time.
 FRONT = 400_000
 
@@ -163,24 +165,26 @@ def links(fps: DataFrame, budget: int = 4, fp: str = "fp") -> DataFrame:
 
     ``fps`` has each fingerprint once. They are dealt by masked bits so that every pair within the budget meets in a group,
     with more bits the more fingerprints there are; each group is a trie that is joined with itself. A group beyond
-    ``GROUP`` members is cut by the next bits into nodes, and pairs of nodes whose bits are within the budget, each a task's
-    unit of its own, take its place. Only forests leave a task, so a dense group gives as many rows as it has members.
+    ``GROUP`` members is cut by eight bits into nodes, and pairs of nodes whose bits are within the budget, each a unit of
+    its own, take its place; a unit that is still beyond is cut by eight other bits, until all 64 are used. Only forests
+    leave a task, so a dense group gives as many rows as it has members.
     """
     spark = fps.sparkSession
     n = fps.count()
     masks = key_masks(n, budget, GROUP // 8)
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col(fp).bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
-    dealt = fps.select(fp, F.explode(keys).alias("g")).select(fp, "g.k", "g.v")
-    sizes = dealt.groupBy("k", "v").agg(F.count("*").alias("members")).where(F.col("members") > GROUP)
-    hot = cut(sizes)
-    whole = F.lit(0).cast("bigint")
-    if hot.isEmpty():
-        units = dealt.select(F.col(fp).alias("fp"), "k", "v", whole.alias("p"), whole.alias("q"))
-    else:
-        units = dealt.join(hot.select("k", "v"), ["k", "v"], "left_anti").select(F.col(fp).alias("fp"), "k", "v", whole.alias("p"), whole.alias("q"))
-        units = units.unionByName(_node_pairs(dealt.join(hot, ["k", "v"]), fp, budget))
+    units = fps.select(F.col(fp).alias("fp"), F.explode(keys).alias("g")).select("fp", "g.k", "g.v", F.lit(0).cast("bigint").alias("u"))
+    done = None
+    for level in range(8):
+        hot = cut(units.groupBy("k", "v", "u").agg(F.count("*").alias("members")).where(F.col("members") > GROUP))
+        if hot.isEmpty():
+            break
+        small = units.join(hot.drop("members"), ["k", "v", "u"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        units = cut(_node_pairs(units.join(hot, ["k", "v", "u"]), level, budget))
+    units = units if done is None else units.unionByName(done)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = units.repartition(parts, "k", "v", "p", "q").sortWithinPartitions("k", "v", "p", "q")
+    rows = units.repartition(parts, "k", "v", "u").sortWithinPartitions("k", "v", "u")
 
     def run(batches):
         held: list[pa.Table] = []
@@ -200,7 +204,7 @@ def links(fps: DataFrame, budget: int = 4, fp: str = "fp") -> DataFrame:
             yield from _join(t, _ids(t))
 
     def _ids(t: pa.Table) -> np.ndarray:
-        cols = [t[c].to_numpy() for c in ("k", "v", "p", "q")]
+        cols = [t[c].to_numpy() for c in ("k", "v", "u")]
         new = np.zeros(t.num_rows, bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
@@ -220,20 +224,23 @@ def links(fps: DataFrame, budget: int = 4, fp: str = "fp") -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _node_pairs(hot: DataFrame, fp: str, budget: int) -> DataFrame:
-    """The members of hot groups, once for each pair of trie nodes within the budget that their node is in.
+def _node_pairs(hot: DataFrame, level: int, budget: int) -> DataFrame:
+    """The members of hot units, once for each pair of trie nodes within the budget that their node is in.
 
-    Nodes are the values of as many mixed bits as bring them to about ``GROUP`` / 2 members if the bits were even.
+    Nodes are the values of as many bits as bring them to about ``GROUP`` / 2 members if the bits were even: every eighth bit,
+    so that nodes differ however the group came to share its key, and at each level others.
     """
-    node_bits = F.least(F.lit(8), F.ceil(F.log2(2 * F.col("members") / GROUP)).cast("int") + 1)
-    # every eighth bit, so that nodes differ however the group came to share its key
-    spread = F.lit(0).cast("bigint")
-    for i, b in enumerate((1, 9, 19, 27, 37, 45, 53, 62)):
-        spread = spread + F.when(F.lit(i) < node_bits, F.shiftleft(F.shiftrightunsigned(F.col(fp), b).bitwiseAND(F.lit(1).cast("bigint")), i)).otherwise(0)
-    nodes = hot.select(fp, "k", "v", spread.alias("node"), node_bits.alias("bits"))
-    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1), lambda o: F.bit_count(o.bitwiseXOR(F.col("node"))) <= budget)
-    out = nodes.select(fp, "k", "v", "node", F.explode(other).alias("o"))
-    return out.select(F.col(fp).alias("fp"), "k", "v", (F.least("node", "o") + 1).alias("p"), (F.greatest("node", "o") + 1).alias("q"))
+    big = lambda v: F.lit(v).cast("bigint")
+    bits = F.least(F.lit(8), F.ceil(F.log2(2 * F.col("members") / GROUP)).cast("int") + 1)
+    node = big(0)
+    for i in range(8):
+        place = (8 * i + 7 * level + 3) % 8 + 8 * i
+        node = node + F.when(F.lit(i) < bits, F.shiftleft(F.shiftrightunsigned("fp", place).bitwiseAND(big(1)), i)).otherwise(0)
+    nodes = hot.select("fp", "k", "v", "u", node.alias("node"), bits.alias("bits"))
+    apart = F.array(*map(big, sorted(x for x in range(256) if x.bit_count() <= budget)))
+    other = F.transform(F.filter(apart, lambda x: x < F.call_function("shiftleft", big(1), F.col("bits"))), lambda x: x.bitwiseXOR(F.col("node")))
+    out = nodes.select("fp", "k", "v", "u", "node", F.explode(other).alias("o"))
+    return out.select("fp", "k", "v", F.xxhash64("u", F.least("node", "o"), F.greatest("node", "o")).alias("u"))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -241,9 +248,11 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: i
     made = cut(add_fingerprints(df, text, keep=df.columns if keep is None else keep, width=width))
     least = cut(made.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")))
     comp = components(links(least.select("fp"), budget))
-    rooted = least.join(comp, least["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "root", "component_id")
+    linked = least.join(comp.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a component may be most of all rows
+    linked = linked.join(ids, ["root", "salt"]).select("fp", "root", "component_id")
+    by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     made = with_columns_replaced(made, {"fp": F.col("fp")})
     return made.drop("root", "component_id").join(by_fp, "fp")
 
