@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import discrete, dsp, filterbanks, models, scales, transforms, units
 from .functions.windows import WINDOWS, window
 from .meta import SpecMeta, Stage
@@ -90,6 +91,10 @@ def spec_sql(rows: str = E_ROWS, w: int = W, h: int = H, win: str = "hanning") -
             SELECT sig, frame, bin, sum(x * c) AS re, sum(x * s) AS im FROM ef JOIN basis USING (j) GROUP BY sig, frame, bin))"""
 
 
+ONSET = """db AS (SELECT sig, frame, bin, greatest(d, max(d) OVER (PARTITION BY sig) - 80) AS d FROM (SELECT *, 10 * log10(greatest(v, 1e-10)) AS d FROM spec)),
+        env AS (SELECT a.sig, a.frame, CASE WHEN a.frame = 0 THEN 0.0::DOUBLE ELSE avg(greatest(a.d - b.d, 0)) END AS v FROM db a LEFT JOIN db b ON a.sig = b.sig AND a.frame = b.frame + 1 AND a.bin = b.bin GROUP BY a.sig, a.frame)"""
+
+
 def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(f'{float(v)!r}::DOUBLE' if isinstance(v, float) else str(v) for v in r) + ')' for r in rows)})"
 
@@ -198,8 +203,16 @@ def _bands() -> None:
     grid = filterbanks.fft_grid(SR, W)
     norm = float(1 / window("hanning", W).sum() ** 2)
 
-    def bank_sql(bank, scale: float = 1.0) -> str:
-        fb = values_sql("fb", "band, bin, w", [(b, k, w * scale) for b, k, w in wholes.bank_rows(bank)])
+    # designs made in SQL, where there is one; styles and chroma take the weights themselves
+    tri = lambda *a, gain=norm, **o: oracles.triangles(*a, gain=gain, **o)
+    designs = {
+        "mel_spec": tri("htk", 0, 32, 8), "mel_spec_slaney": tri("slaney", 0, 32, 8, "area"), "bark_spec": tri("bark", 2, 32, 6, "none"), "erb_spec": oracles.gammatones(0, 32, 8, norm),
+        "spec_linspace": tri("linspace", 4, 28, 6), "spec_erb_scale": tri("erb", 0, 32, 6), "spec_octave": tri("octave", 8, 32, 10, step=6), "spec_logspace": tri("logspace", 4, 24, 6), "mel_spec_warped": tri("htk", 0, 32, 8, "none", True),
+        "etsi_spec": oracles.bin_triangles(2, 32, 6, "etsi"), "psf_spec": oracles.bin_triangles(0, 32, 6, "psf"),
+    }
+
+    def bank_sql(bank, scale: float = 1.0, name: str = "") -> str:
+        fb = designs.get(name) or values_sql("fb", "band, bin, w", [(b, k, w * scale) for b, k, w in wholes.bank_rows(bank)])
         return f"WITH {spec_sql()}, {fb}, bands AS (SELECT unnest(range({bank.nbands})) AS band), got AS (SELECT sig, frame, band, sum(w * v) AS v FROM spec JOIN fb USING (bin) GROUP BY sig, frame, band), fr AS (SELECT DISTINCT sig, frame FROM spec), b AS (SELECT sig, frame, band, coalesce(v, 0) AS v FROM fr CROSS JOIN bands LEFT JOIN got USING (sig, frame, band))"
 
     out = " SELECT sig AS signal_id, frame::INT AS frame, band::INT AS bin, round(v, 4) AS value FROM b"
@@ -217,9 +230,9 @@ def _bands() -> None:
     for style in filterbanks.STYLES[1:]:
         banks[f"spec_style_{style}"] = (spectral.mel_spec, {"nbands": 6, "style": style}, filterbanks.auditory(SR, grid=grid, nbands=6, style=style))
     for name, (make, options, bank) in banks.items():
-        register(name, lambda s, d, make=make, options=options: cells(make(spec_e(s, d), **options)), bank_sql(bank, norm) + out)
+        register(name, lambda s, d, make=make, options=options: cells(make(spec_e(s, d), **options)), bank_sql(bank, norm, name) + out)
     for name, bank in (("etsi_spec", filterbanks.etsi(SR, W, 6, (2, 32))), ("psf_spec", filterbanks.psf(SR, W, 6))):
-        register(name, lambda s, d, bank=bank: cells(spectral.band_spec(spec_e(s, d), bank)), bank_sql(bank) + out)
+        register(name, lambda s, d, bank=bank: cells(spectral.band_spec(spec_e(s, d), bank)), bank_sql(bank, name=name) + out)
     joined = filterbanks.auditory(SR, grid=grid, nbands=8)
     register("mel_spec_join", lambda s, d: spectral.band_spec_join(spec_e(s, d), joined).select("signal_id", "frame", F.col("band").alias("bin"), F.round("value", 4).alias("value")), f"WITH {spec_sql()}, {values_sql('fb', 'band, bin, w', wholes.bank_rows(joined))} SELECT sig AS signal_id, frame::INT AS frame, band::INT AS bin, round(sum(w * v), 4) AS value FROM spec JOIN fb USING (bin) GROUP BY sig, frame, band")
     chroma = filterbanks.chroma(SR, grid)
@@ -233,12 +246,10 @@ def _bands() -> None:
     mel = banks["mel_spec"][2]
     low = spectral.FLOATMIN
 
-    def dct_sql(kind: str, n: int, first: int = 0, gain=lambda c: 1.0) -> str:
-        m = filterbanks.dct_matrix(8, kind)
-        return values_sql("dct", "c, band, w", [(c - first, k, float(m[c, k] * gain(c))) for c in range(first, first + n) for k in range(8)])
+    dct_sql = lambda kind, n, first=0, lifter=0: oracles.cosines(8, kind, n, first, lifter)
 
-    def cepstrum_sql(rect: str, floor: float = low, kind: str = "ortho", n: int = 5, first: int = 0, gain=lambda c: 1.0, clip: str = "r") -> str:
-        return bank_sql(mel, norm) + f", r0 AS (SELECT sig, frame, band, {rect.format(f'greatest(v, {floor!r}::DOUBLE)')} AS r FROM b), r AS (SELECT sig, frame, band, {clip} AS r FROM r0), {dct_sql(kind, n, first, gain)}, cep AS (SELECT sig, frame, c, sum(w * r) AS v FROM r JOIN dct USING (band) GROUP BY sig, frame, c)"
+    def cepstrum_sql(rect: str, floor: float = low, kind: str = "ortho", n: int = 5, first: int = 0, lifter: int = 0, clip: str = "r") -> str:
+        return bank_sql(mel, norm, "mel_spec") + f", r0 AS (SELECT sig, frame, band, {rect.format(f'greatest(v, {floor!r}::DOUBLE)')} AS r FROM b), r AS (SELECT sig, frame, band, {clip} AS r FROM r0), {dct_sql(kind, n, first, lifter)}, cep AS (SELECT sig, frame, c, sum(w * r) AS v FROM r JOIN dct USING (band) GROUP BY sig, frame, c)"
 
     out = " SELECT sig AS signal_id, frame::INT AS frame, c::INT AS bin, round(v, 4) + 0.0 AS value FROM cep"
 
@@ -250,14 +261,13 @@ def _bands() -> None:
     register("mfcc_cubic_plain", cep(rect="cubic_root", dct="plain"), cepstrum_sql("pow({}, 1.0::DOUBLE / 3)", kind="plain") + out)
     register("mfcc_db_floor", cep(rect="db", floor=1e-3), cepstrum_sql("10 * log10({})", 1e-3) + out)
     register("mfcc_top_db", cep(rect="db", floor=1e-10, top_db=12), cepstrum_sql("10 * log10({})", 1e-10, clip="greatest(r, max(r) OVER (PARTITION BY sig) - 12)") + out)
-    register("mfcc_lifter", cep(lifter=22, first=1), cepstrum_sql("log10({})", first=1, gain=lambda c: 1 + 11 * math.sin(math.pi * c / 22)) + out)
+    register("mfcc_lifter", cep(lifter=22, first=1), cepstrum_sql("log10({})", first=1, lifter=22) + out)
     energy = f"en AS (SELECT sig, frame, ln(greatest(sum(x * x), {EP!r}::DOUBLE)) AS e FROM ef GROUP BY sig, frame)"
     register("mfcc_energy_replace", cep(energy="raw"), cepstrum_sql("log10({})") + f", {energy} SELECT sig AS signal_id, frame::INT AS frame, c::INT AS bin, round(CASE WHEN c = 0 THEN e ELSE v END, 4) + 0.0 AS value FROM cep JOIN en USING (sig, frame)")
     register("mfcc_energy_append", cep(energy="raw", energy_mode="append"), cepstrum_sql("log10({})") + f", {energy} SELECT sig AS signal_id, frame::INT AS frame, c::INT AS bin, round(v, 4) + 0.0 AS value FROM cep UNION ALL SELECT sig, frame::INT, 5, round(e, 4) + 0.0 FROM en")
     gt = banks["erb_spec"][2]
-    register("gtcc", lambda s, d: cells(spectral.gtcc(spectral.erb_spec(spec_e(s, d), nbands=8), ncoeffs=5)).withColumn("value", F.col("value") + 0.0), bank_sql(gt, norm) + f", r AS (SELECT sig, frame, band, log10(greatest(v, {low!r}::DOUBLE)) AS r FROM b), {dct_sql('ortho', 5)}, cep AS (SELECT sig, frame, c, sum(w * r) AS v FROM r JOIN dct USING (band) GROUP BY sig, frame, c)" + out)
-    taps = spectral.delta_weights(5)
-    lagged = " + ".join(f"{float(b)!r}::DOUBLE * coalesce(lag(v, {i}) OVER (PARTITION BY sig, c ORDER BY frame), 0)" for i, b in enumerate(taps) if b)
+    register("gtcc", lambda s, d: cells(spectral.gtcc(spectral.erb_spec(spec_e(s, d), nbands=8), ncoeffs=5)).withColumn("value", F.col("value") + 0.0), bank_sql(gt, norm, "erb_spec") + f", r AS (SELECT sig, frame, band, log10(greatest(v, {low!r}::DOUBLE)) AS r FROM b), {dct_sql('ortho', 5)}, cep AS (SELECT sig, frame, c, sum(w * r) AS v FROM r JOIN dct USING (band) GROUP BY sig, frame, c)" + out)
+    lagged = oracles.lagged(5)
     register("delta", lambda s, d: cells(spectral.delta(spectral.mfcc(spectral.mel_spec(spec_e(s, d), nbands=8), 5), 5)).withColumn("value", F.col("value") + 0.0), cepstrum_sql("log10({})") + f" SELECT sig AS signal_id, frame::INT AS frame, c::INT AS bin, round({lagged}, 4) + 0.0 AS value FROM cep")
     across = lagged.replace("PARTITION BY sig, c ORDER BY frame", "PARTITION BY sig, frame ORDER BY c")
     register("delta_transposed", lambda s, d: cells(spectral.delta(spectral.mfcc(spectral.mel_spec(spec_e(s, d), nbands=8), 5), 5, "transposed")).withColumn("value", F.col("value") + 0.0), cepstrum_sql("log10({})") + f" SELECT sig AS signal_id, frame::INT AS frame, c::INT AS bin, round({across}, 4) + 0.0 AS value FROM cep")
@@ -472,15 +482,21 @@ def _units() -> None:
 
 
 def _rhythm() -> None:
-    onset = f"""db AS (SELECT sig, frame, bin, greatest(d, max(d) OVER (PARTITION BY sig) - 80) AS d FROM (SELECT *, 10 * log10(greatest(v, 1e-10)) AS d FROM spec)),
-        env AS (SELECT a.sig, a.frame, CASE WHEN a.frame = 0 THEN 0.0::DOUBLE ELSE avg(greatest(a.d - b.d, 0)) END AS v FROM db a LEFT JOIN db b ON a.sig = b.sig AND a.frame = b.frame + 1 AND a.bin = b.bin GROUP BY a.sig, a.frame)"""
+    onset = ONSET
     register("onset_strength", lambda s, d: values(rhythm.onset_strength(spec_e(s, d)).df), f"WITH {spec_sql()}, {onset} {PICK.format('v')} FROM env")
     register("novelty", lambda s, d: values(rhythm.novelty(spec_e(s, d), "sf")), f"WITH {spec_sql()}, q AS (SELECT a.sig, a.frame, coalesce(sum(pow(a.v - b.v, 2)), 0) AS v FROM spec a LEFT JOIN spec b ON a.sig = b.sig AND a.frame = b.frame + 1 AND a.bin = b.bin GROUP BY a.sig, a.frame) {PICK.format('(v - min(v) OVER (PARTITION BY sig)) / (max(v) OVER (PARTITION BY sig) - min(v) OVER (PARTITION BY sig))')} FROM q")
     register("peak_pick", lambda s, d: values(rhythm.peak_pick(rhythm.onset_strength(spec_e(s, d)).df, 3, 4, 5, 6, 0.2, 0)), f"WITH {spec_sql()}, {onset}, p AS (SELECT *, max(v) OVER (PARTITION BY sig ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, avg(v) OVER (PARTITION BY sig ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mean FROM env) {PICK.format('v')} FROM p WHERE v = top AND v >= mean + 0.2::DOUBLE")
     register("onset_detect", lambda s, d: rhythm.onset_detect(rhythm.onset_strength(spec_e(s, d)), pre_max=2, post_max=2, pre_avg=4, post_avg=5, wait=2).select("signal_id", "frame", F.round("t", 4).alias("t")))
     register("tempogram", lambda s, d: cells(rhythm.tempogram(rhythm.onset_strength(spec_e(s, d)), 16)))
     register("tempo", lambda s, d: rhythm.tempo(rhythm.onset_strength(spec_e(s, d))))
-    register("beat_track", lambda s, d: rhythm.beat_track(rhythm.onset_strength(spec_e(s, d))))
+
+    def beats(spark, sf):
+        """Of a click every half a second, whose beats are known; the events have none."""
+        x = dsp.clicks(np.arange(0.5, 8, 0.5), 8000, length=8 * 8000)
+        clicks = spark.createDataFrame([("clicks", 8000, x.tolist())], "signal_id string, sr int, samples array<double>")
+        return rhythm.beat_track(rhythm.onset_strength(spectral.spectrogram(clicks, 8000, winsize=512, winstep=256)))
+
+    register("beat_track", beats)
     soft = lambda a, b: f"CASE WHEN greatest({a}, {b}) <= 0 THEN 0.5::DOUBLE ELSE pow({a} / greatest({a}, {b}), 2) / (pow({a} / greatest({a}, {b}), 2) + pow({b} / greatest({a}, {b}), 2)) END"
     med = "m AS (SELECT sig, frame, bin, v, quantile_cont(sqrt(v), 0.5) OVER (PARTITION BY sig, bin ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS h, quantile_cont(sqrt(v), 0.5) OVER (PARTITION BY sig, frame ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS p FROM spec)"
     register("hpss_masks", lambda s, d: rhythm.hpss_long(descriptors.long_view(spec_e(s, d)), (15, 9), magnitude=False).select("signal_id", "frame", "bin", F.round("mask_h", 4).alias("mask_h"), F.round("mask_p", 4).alias("mask_p")), f"WITH {spec_sql()}, {med} SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round({soft('h', 'p')}, 4) AS mask_h, round({soft('p', 'h')}, 4) AS mask_p FROM m")
@@ -621,6 +637,8 @@ def _wholes() -> None:
 
 for part in (_framing, _fourier, _bands, _descriptors, _units, _rhythm, _wholes):
     part()
+ORACLE_SQL |= oracles.presets() | oracles.signals(U_ROWS, V_ROWS, E_ROWS) | oracles.spectra(spec_sql(), frames_sql(), ONSET)
+ORACLE_SQL |= {"pitch_hps": oracles.harmonics(V_ROWS, "product(m)"), "pitch_lhs": oracles.harmonics(V_ROWS, "sum(ln(m))")}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
