@@ -18,6 +18,8 @@ from .components import components
 GROUP = 2048
 #: The members of a component are dealt to so many tasks.
 SALTS = 16
+#: A fingerprint with more than one row in so many is looked up by a broadcast; there are no more than this.
+HOT = 1000
 #: Node pairs or rows that a task holds at a time.
 FRONT = 400_000
 
@@ -246,15 +248,19 @@ def _node_pairs(hot: DataFrame, level: int, budget: int) -> DataFrame:
 def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Adds ``fp``, ``root`` (the smallest fingerprint of the component) and ``component_id`` to every row."""
     made = cut(add_fingerprints(df, text, keep=df.columns if keep is None else keep, width=width))
-    least = cut(made.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")))
+    least = cut(made.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"), F.count("*").alias("copies")))
     comp = components(links(least.select("fp"), budget))
     linked = least.join(comp.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a component may be most of all rows
     linked = linked.join(ids, ["root", "salt"]).select("fp", "root", "component_id")
-    by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    made = with_columns_replaced(made, {"fp": F.col("fp")})
-    return made.drop("root", "component_id").join(by_fp, "fp")
+    by_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), "copies")
+    made = with_columns_replaced(made, {"fp": F.col("fp")}).drop("root", "component_id")
+    # at most HOT fingerprints have more than one row in HOT: these are broadcast, so that copies stay where they are
+    total = least.agg(F.sum("copies")).first()[0] or 0
+    hot = cut(by_fp.where(F.col("copies") * HOT > total).drop("copies"))
+    cold = made.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(by_fp.drop("copies"), "fp")
+    return cold.unionByName(made.join(F.broadcast(hot), "fp"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 4, width: int = 4, keep: list[str] | None = None) -> DataFrame:
