@@ -180,6 +180,13 @@ def _fourier() -> None:
     pick = "SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round({}, 4) AS value FROM spec"
     register("stft_power", lambda s, d: cells(spec_e(s, d)), f"WITH {spec_sql()} {pick.format('v')}")
     register("stft_of_frames", lambda s, d: cells(spectral.stft(frames_e(s, d))), f"WITH {spec_sql()} {pick.format('v')}")
+
+    def of_rows(spark, sf):
+        w = Window.partitionBy("event_type").orderBy("event_id")
+        rows = table(spark, sf, "events").select(F.col("event_type").alias("signal_id"), (F.row_number().over(w) - 1).alias("n"), (F.col("value") / 100).alias("x"))
+        return cells(spectral.stft(framing.frames_of_rows(rows, SR, W, H)))
+
+    register("stft_of_rows", of_rows, f"WITH {spec_sql()} {pick.format('v')}")
     register("stft_magnitude", lambda s, d: cells(spec_v(s, d, "magnitude")), f"WITH {spec_sql(V_ROWS, W, W, 'rect')} {pick.format('sqrt(v)')}")
 
     def coefficients(spark, sf):
@@ -502,8 +509,9 @@ def _rhythm() -> None:
     register("hpss_masks", lambda s, d: rhythm.hpss_long(descriptors.long_view(spec_e(s, d)), (15, 9), magnitude=False).select("signal_id", "frame", "bin", F.round("mask_h", 4).alias("mask_h"), F.round("mask_p", 4).alias("mask_p")), f"WITH {spec_sql()}, {med} SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round({soft('h', 'p')}, 4) AS mask_h, round({soft('p', 'h')}, 4) AS mask_p FROM m")
 
     def parts(spark, sf):
-        h, p = rhythm.hpss(spec_e(spark, sf), kernel=(15, 9))
-        return cells(h).withColumnRenamed("value", "harmonic").join(cells(p).withColumnRenamed("value", "percussive"), ["signal_id", "frame", "bin"])
+        both = rhythm.hpss_parts(spec_e(spark, sf), kernel=(15, 9))
+        rows = both.select("signal_id", "frame", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("bin", "v"))
+        return rows.select("signal_id", "frame", "bin", F.round("v.harmonic", 4).alias("harmonic"), F.round("v.percussive", 4).alias("percussive"))
 
     register("hpss_components", parts, f"WITH {spec_sql()}, {med} SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round(v * {soft('h', 'p')}, 4) AS harmonic, round(v * {soft('p', 'h')}, 4) AS percussive FROM m")
     t = 0.4 * SR / H

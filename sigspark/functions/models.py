@@ -38,15 +38,15 @@ def nmf(v: np.ndarray, k: int, divergence: str = "kl", max_iter: int = 300, thre
     v = np.asarray(v, float)
     n, m = v.shape
     if not 1 <= k <= min(n, m):
-        raise ValueError(f"k must be from 1 to {min(n, m)}")
+        raise ValueError(f"a {n} x {m} matrix has no factors of rank {k}")
     if divergence not in ("kl", "is", "euclidean") or norm not in ("max", "l1", "l2"):
-        raise ValueError("divergence must be kl, is or euclidean, and norm max, l1 or l2")
+        raise ValueError(f"unknown divergence {divergence!r} or norm {norm!r}")
     if (v < 0).any():
-        raise ValueError("the matrix must be non-negative")
+        raise ValueError("found values below 0, which products of non-negative factors cannot give")
     if isinstance(init, tuple):
         w, h = (np.asarray(a, float).copy() for a in init)
         if w.shape != (n, k) or h.shape != (k, m) or (w < 0).any() or (h < 0).any():
-            raise ValueError("init must be non-negative matrices n x k and k x m")
+            raise ValueError(f"the first factors have to be {n} x {k} and {k} x {m}, without values below 0")
     elif init == "nndsvd":
         w, h = nndsvd(v, k)
     elif init == "ramps":

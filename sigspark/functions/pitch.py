@@ -32,7 +32,7 @@ def normalised_autocorrelation(x: np.ndarray, size: int) -> tuple[np.ndarray, np
     r = autocorrelate(x, size)
     energy = (x * x).sum(1, keepdims=True)
     tail = energy - np.c_[np.zeros(len(x)), np.cumsum(x * x, axis=1)[:, : size - 1]]
-    return r, r / np.sqrt(np.maximum(r[:, :1], TINY) * np.maximum(tail, TINY))
+    return r, r / (np.sqrt(np.maximum(r[:, :1], TINY)) * np.sqrt(np.maximum(tail, TINY)))
 
 
 def ncf(x: np.ndarray, sr: int, bounds=(50, 400), threshold: float = 0) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,28 @@ def _plain(t: T.DataType) -> pa.DataType:
     return {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}[t]
 
 
+#: Frames of a signal that go through a window over neighbours together.
+BLOCK = 4096
+
+
+def neighbours(df: DataFrame, most: int) -> tuple[DataFrame, WindowSpec]:
+    """``df`` and a window in which each frame sees the ``most`` frames before it, so that ``lag`` needs no whole signal.
+
+    Signals are cut in blocks of frames; the last frames of a block go to the next block too. ``own_block`` drops these.
+    """
+    to = F.sequence(F.floor(F.col("frame") / BLOCK), F.floor((F.col("frame") + most) / BLOCK))
+    return df.withColumn("__block", F.explode(to)), Window.partitionBy("signal_id", "__block").orderBy("frame")
+
+
+def own_block(df: DataFrame) -> DataFrame:
+    return df.where(F.col("__block") == F.floor(F.col("frame") / BLOCK)).drop("__block")
+
+
+def with_top(df: DataFrame, column: str = "spec") -> DataFrame:
+    """Adds ``__top``, the largest value in a signal's arrays: a partial aggregate and a join, so spectra are not gathered."""
+    return df.join(df.groupBy("signal_id").agg(F.max(F.array_max(column)).alias("__top")), "signal_id")
+
+
 def grouped(df: DataFrame, key: str, order: str, value: str, name: str = "samples") -> DataFrame:
     """One row for each key with its values in order: for kernels that need a whole signal. One array is one row, so this
     is for signals that fit in a task; frame-local work on longer ones starts from ``framing.frame_long``."""

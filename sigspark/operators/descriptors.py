@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..meta import Stage
-from .arrays import per_frame
+from .arrays import neighbours, own_block, per_frame
 from .spectral import KEYS
 
 EPS = np.finfo(float).eps
@@ -179,11 +179,11 @@ def describe(s: Stage, names: list[str], options: dict[str, dict] | None = None)
 
 
 def describe_change(s: Stage, name: str, step: int = 1, **options) -> DataFrame:
-    """(signal_id, frame, t, value): a descriptor of change. The spectrum before comes by ``lag`` over the signal."""
+    """(signal_id, frame, t, value): a descriptor of change. The spectrum before comes by ``lag`` among neighbours."""
     if step < 1:
         raise ValueError("step must be at least 1")
-    w = Window.partitionBy("signal_id").orderBy("frame")
-    df = s.df.withColumn("__before", F.lag("spec", step).over(w)).withColumn("__first", F.col("__before").isNull())
+    df, w = neighbours(s.df, step)
+    df = own_block(df.withColumn("__before", F.lag("spec", step).over(w))).withColumn("__first", F.col("__before").isNull())
     df = df.withColumn("__before", F.coalesce("__before", "spec"))
     f, power, kernel_of = s.meta.grid(), s.meta.spectrum == "power", DIFFERENCE[name]
 
@@ -200,12 +200,10 @@ def describe_phase(c: Stage, name: str) -> DataFrame:
     """Descriptors of phase and complex change, from coefficients ``re``, ``im`` and the two frames before."""
     if name not in PHASE:
         raise ValueError(f"name must be one of {PHASE}")
-    w = Window.partitionBy("signal_id").orderBy("frame")
-    df = c.df
-    for k in (1, 2):
-        for a in ("re", "im"):
-            df = df.withColumn(f"{a}{k}", F.coalesce(F.lag(a, k).over(w), F.col(a)))
-    df = df.withColumn("__n", F.row_number().over(w))
+    df, w = neighbours(c.df, 2)
+    df = df.withColumns({f"{a}{k}": F.coalesce(F.lag(a, k).over(w), F.col(a)) for k in (1, 2) for a in ("re", "im")})
+    # frames with none or one before them; one of a later block has two
+    df = own_block(df.withColumn("__n", F.row_number().over(w)))
 
     def kernel(re, im, re1, im1, re2, im2, n) -> list[np.ndarray]:
         z, z1, z2 = re + 1j * im, re1 + 1j * im1, re2 + 1j * im2

@@ -89,6 +89,20 @@ def frame_long(rows: DataFrame, winsize: int, winstep: int, key: str = "signal_i
     return out.select(key, "frame", (F.col(n) - F.col("frame") * winstep).cast("int").alias("j"), "x")
 
 
+def frames_of_rows(rows: DataFrame, sr: int, winsize: int | None = None, winstep: int | None = None, window: str = "hanning", periodic: bool = True, key: str = "signal_id", n: str = "n", x: str = "x") -> Stage:
+    """What ``frames`` gives, from samples in rows numbered from 0: no row ever holds more than a frame, so a signal of any
+    length goes through spectra and all frame-local stages spread over the cluster. One aggregate and one shuffle by frame.
+    """
+    winsize = winsize or default_winsize(sr)
+    winstep = winstep or winsize // 2
+    check_frames(winsize, winstep, 0.0, window, "constant")
+    sizes = rows.groupBy(key).agg((F.max(n) + 1).alias("__size")).select(key, F.floor((F.col("__size") - winsize) / winstep).cast("bigint").alias("last_frame"))
+    cells = frame_long(rows.select(key, F.col(n).cast("bigint").alias("n"), F.col(x).cast("double").alias("x")).join(sizes, key), winsize, winstep, key)
+    df = cells.groupBy(key, "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda v: v["x"]).alias("x"))
+    df = df.select(key, F.col("frame").cast("int").alias("frame"), ((F.col("frame") * F.lit(float(winstep)) + winsize / 2) / sr).alias("t"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("energy"), "x")
+    return Stage(df, SpecMeta("frames", sr, winsize, winstep, window, periodic, 0), "x")
+
+
 def preemphasis_rows(rows: DataFrame, coef: float = 0.97, zi: float | None = None, key: str = "signal_id", n: str = "n", x: str = "x") -> DataFrame:
     """Pre-emphasis of samples in rows, by ``lag``."""
     from pyspark.sql import Window

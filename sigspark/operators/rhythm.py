@@ -14,7 +14,7 @@ from ..functions import dsp
 from ..functions.windows import hanning
 from ..functions.windows import window as make_window
 from ..meta import SpecMeta, Stage
-from .arrays import ARRAY, per_frame, per_signal
+from .arrays import ARRAY, neighbours, own_block, per_frame, per_signal, with_top
 from .descriptors import DIFFERENCE, LOCAL, describe, describe_change
 from .spectral import KEYS
 
@@ -40,13 +40,13 @@ def running_max(v: np.ndarray, size: int) -> np.ndarray:
 def onset_strength(s: Stage, lag: int = 1, max_size: int = 1, detrend: bool = False, aggregate: str | Callable = "mean") -> Stage:
     """(signal_id, frame, t, value): the mean rise of the dB spectrum over that ``lag`` frames before.
 
-    dB is clipped 80 under the signal's own top: one window over the signal, and one lag.
+    dB is clipped 80 under the signal's own top: an aggregate and a join, and one lag among neighbours.
     """
     if lag < 1 or max_size < 1:
         raise ValueError("lag and max_size must be at least 1")
     power = s.meta.spectrum == "power"
-    top = F.max(F.array_max("spec")).over(_signal())
-    df = s.df.withColumn("__top", top).withColumn("__before", F.lag("spec", lag).over(_order())).withColumn("__first", F.col("__before").isNull())
+    df, w = neighbours(with_top(s.df), lag)
+    df = own_block(df.withColumn("__before", F.lag("spec", lag).over(w))).withColumn("__first", F.col("__before").isNull())
     df = df.withColumn("__before", F.coalesce("__before", "spec"))
     mean = aggregate if callable(aggregate) else {"mean": lambda v: v.mean(1), "median": lambda v: np.median(v, axis=1), "max": lambda v: v.max(1)}[aggregate]
 
@@ -293,21 +293,31 @@ def matrices(s: Stage, column: str = "spec") -> DataFrame:
     return got.select("signal_id", F.flatten(F.transform("s", lambda x: x["v"])).alias("samples"), F.transform("s", lambda x: x["frame"]).alias("frames"), F.transform("s", lambda x: x["t"]).alias("ts"))
 
 
-def along_frames(s: Stage, f: Callable[[np.ndarray], np.ndarray], name: str) -> Stage:
-    """A stage on the same grid from a function of each signal's matrix, frames x bins."""
+def _along_matrix(s: Stage, f: Callable[[np.ndarray], tuple[np.ndarray, ...]], columns: list[str]) -> DataFrame:
+    """(signal_id, frame, t, columns) from a function of each signal's matrix, frames x bins."""
     nb = s.meta.nbins
 
     def kernel(x: np.ndarray, row: dict):
-        yield from zip(row["frames"], row["ts"], f(x.reshape(-1, nb)), strict=True)
+        yield from zip(row["frames"], row["ts"], *f(x.reshape(-1, nb)), strict=True)
 
-    df = per_signal(matrices(s), {"frame": T.IntegerType(), "t": T.DoubleType(), "spec": ARRAY}, kernel, carry=["frames", "ts"])
-    return Stage(df, s.meta.child(name))
+    return per_signal(matrices(s), {"frame": T.IntegerType(), "t": T.DoubleType(), **dict.fromkeys(columns, ARRAY)}, kernel, carry=["frames", "ts"])
 
 
-def hpss(s: Stage, **options) -> tuple[Stage, Stage]:
-    """Harmonic and percussive parts."""
+def along_frames(s: Stage, f: Callable[[np.ndarray], np.ndarray], name: str) -> Stage:
+    """A stage on the same grid from a function of each signal's matrix, frames x bins."""
+    return Stage(_along_matrix(s, lambda v: (f(v),), ["spec"]), s.meta.child(name))
+
+
+def hpss_parts(s: Stage, **options) -> DataFrame:
+    """(signal_id, frame, t, harmonic, percussive): both parts of each spectrum from one pass over the signal."""
     mag = (lambda v: np.sqrt(v)) if s.meta.spectrum == "power" else (lambda v: v)
-    return tuple(along_frames(s, lambda v, k=k: v * hpss_of(mag(v), **options)[k], n) for k, n in enumerate(("harmonic", "percussive")))
+    return _along_matrix(s, lambda v: tuple(v * m for m in hpss_of(mag(v), **options)), ["harmonic", "percussive"])
+
+
+def hpss(s: Stage, **options) -> tuple[Stage, Stage]:
+    """Harmonic and percussive parts as two stages; where both are wanted together, ``hpss_parts`` makes them once."""
+    both = hpss_parts(s, **options)
+    return tuple(Stage(both.select("signal_id", "frame", "t", F.col(n).alias("spec")), s.meta.child(n)) for n in ("harmonic", "percussive"))
 
 
 def hpss_signals(signals: DataFrame, winsize: int, winstep: int, window: str = "hanning", nfft: int | None = None, method: str = "wola", **options) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dsp, filterbanks
 from ..functions.filterbanks import FilterBank
 from ..meta import SpecMeta, Stage
-from .arrays import ARRAY, lists, per_frame
+from .arrays import ARRAY, lists, neighbours, own_block, per_frame, with_top
 from .framing import check_frames, default_winsize
 
 KEYS = ["signal_id", "frame", "t", "energy"]
@@ -89,7 +89,7 @@ def istft(c: Stage, method: str = "wola", length: int | None = None) -> DataFram
 def to_db(s: Stage, amin: float = 1e-10, top_db: float = 80) -> Stage:
     """Decibels under the top of each signal, cut ``top_db`` below it."""
     power = s.meta.spectrum == "power"
-    df = s.df.withColumn("__top", F.max(F.array_max("spec")).over(Window.partitionBy("signal_id")))
+    df = with_top(s.df)
 
     def kernel(v: np.ndarray, top: np.ndarray) -> list[np.ndarray]:
         level = lambda a: 10 * np.log10(np.maximum(a if power else a * a, amin))
@@ -215,7 +215,7 @@ RECTIFIERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"mlog": np.log10, "
 def mfcc(s: Stage, ncoeffs: int | None = None, rect: str | Callable = "mlog", dither: bool = False, floor: float | None = None, dct: str = "ortho", lifter: int = 0, lifter_offset: int = 0, first: int = 0, energy: str | None = None, energy_mode: str = "replace", energy_floor: float | None = None, top_db: float | None = None) -> Stage:
     """Cepstral coefficients of a band spectrogram: floor, logarithm, cosine transform, lifter, energy, in one kernel.
 
-    ``top_db`` clips under the largest value of the whole signal, which takes one window over the signal's frames.
+    ``top_db`` clips under the largest value of the whole signal, which takes an aggregate over its frames and a join.
     """
     nb = s.meta.nbins
     ncoeffs = ncoeffs or nb // 2
@@ -239,7 +239,7 @@ def mfcc(s: Stage, ncoeffs: int | None = None, rect: str | Callable = "mlog", di
         cols.append(source)
     if top_db is not None:
         df = per_frame(df, ["spec"], {"spec": ARRAY}, lambda v: [f(np.maximum(v, low))], [c for c in df.columns if c != "spec"])
-        df = df.withColumn("__top", F.max(F.array_max("spec")).over(Window.partitionBy("signal_id")))
+        df = with_top(df)
         cols.append("__top")
 
     def kernel(v: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -283,16 +283,16 @@ def delta(s: Stage, delta_length: int = 9, source: str = "standard") -> Stage:
         return Stage(per_frame(s.df, ["spec"], {"spec": ARRAY}, kernel, KEYS), s.meta.child("delta", s.meta.freq))
     if source != "standard":
         raise ValueError("source must be standard or transposed")
-    w = Window.partitionBy("signal_id").orderBy("frame")
     taps = [(i, float(v)) for i, v in enumerate(b) if v]
-    lagged = s.df.select("*", *[F.lag("spec", i).over(w).alias(f"__l{i}") if i else F.col("spec").alias("__l0") for i, _ in taps])
+    df, w = neighbours(s.df, delta_length - 1)
+    lagged = df.select("*", *[F.lag("spec", i).over(w).alias(f"__l{i}") if i else F.col("spec").alias("__l0") for i, _ in taps])
     total = None
     for i, v in taps:
         weight = F.lit(v)
         term = F.transform(f"__l{i}", lambda x: x * weight)  # noqa: B023
         more = F.zip_with(total, term, lambda a, c: a + c) if total is not None else term
         total = more if total is None else F.when(F.col(f"__l{i}").isNull(), total).otherwise(more)
-    df = lagged.withColumn("spec", total).drop(*[f"__l{i}" for i, _ in taps])
+    df = own_block(lagged).withColumn("spec", total).drop(*[f"__l{i}" for i, _ in taps])
     return Stage(df, s.meta.child("delta", s.meta.freq))
 
 

@@ -1,6 +1,6 @@
 """Audio files as tables of signals: format detection in SQL, PCM WAV decoding in Arrow batches, a WAV sink.
 
-FLAC, OGG and MP3 are recognised; decoding them needs a codec that is not part of Python, so ``load`` says so.
+FLAC, OGG and MP3 are recognised; their codecs are not part of Python, so ``load`` takes decoders for them.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import struct
 import urllib.parse
 import uuid
 import wave
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +56,21 @@ def detect_format(path: Column, content: Column) -> Column:
 
 
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and channels x samples in [-1, 1): PCM of 8, 16, 24 and 32 bits and 32- and 64-bit floats."""
-    if raw[:4] not in (b"RIFF", b"RF64") or raw[8:12] != b"WAVE":
+    """Sample rate and channels x samples in [-1, 1): PCM of 8, 16, 24 and 32 bits and 32- and 64-bit floats.
+
+    Numbers are little-endian, in a RIFX file big-endian. An RF64 file has the true size of its data ahead of it; what
+    stands there is read to the end of the file.
+    """
+    if raw[:4] not in (b"RIFF", b"RF64", b"RIFX") or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
+    e = ">" if raw[:4] == b"RIFX" else "<"
     at, fmt = 12, None
     while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
+        name, size = raw[at : at + 4], struct.unpack_from(f"{e}I", raw, at + 4)[0]
         if name == b"fmt ":
-            kind, channels, sr, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
+            kind, channels, sr, _, _, bits = struct.unpack_from(f"{e}HHIIHH", raw, at + 8)
             if kind == 0xFFFE:
-                kind = struct.unpack_from("<H", raw, at + 32)[0]
+                kind = struct.unpack_from(f"{e}H", raw, at + 32)[0]
             fmt = (kind, channels, sr, bits)
         elif name == b"data":
             if fmt is None:
@@ -74,26 +80,28 @@ def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
             width = bits // 8
             body = body[: len(body) // (width * channels) * width * channels]
             if kind == 3:
-                x = np.frombuffer(body, f"<f{width}").astype(float)
+                x = np.frombuffer(body, f"{e}f{width}").astype(float)
             elif kind != 1 or bits not in (8, 16, 24, 32):
                 raise ValueError(f"WAV encoding {kind} with {bits} bits is not supported")
             elif bits == 8:
                 x = (np.frombuffer(body, np.uint8).astype(float) - 128) / 128
             elif bits == 24:
-                b = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+                b = np.frombuffer(body, np.uint8).reshape(-1, 3)[:, :: -1 if e == ">" else 1].astype(np.int32)
                 x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
             else:
-                x = np.frombuffer(body, f"<i{width}") / 2.0 ** (bits - 1)
+                x = np.frombuffer(body, f"{e}i{width}") / 2.0 ** (bits - 1)
             return sr, x.reshape(-1, channels).T
         at += 8 + size + size % 2
     raise ValueError("a WAV file without data")
 
 
-def load(spark: SparkSession, path: str, sr: int = 0, norm: bool = False) -> DataFrame:
+def load(spark: SparkSession, path: str, sr: int = 0, norm: bool = False, decoders: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] | None = None) -> DataFrame:
     """A signal for each audio file under ``path``: checked, decoded, mixed to mono, resampled if ``sr``, normalised.
 
-    Files spread over tasks as ``binaryFile`` deals them; each is decoded where it is read.
+    Files spread over tasks as ``binaryFile`` deals them; each is decoded where it is read. WAV is decoded here; for flac,
+    ogg and mp3 ``decoders`` takes a function each, from the bytes of a file to its sample rate and channels x samples.
     """
+    known = {"wav": decode_wav} | (decoders or {})
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     checked = files.select("path", detect_format(F.col("path"), F.col("content")).alias("format"), "content")
 
@@ -101,9 +109,9 @@ def load(spark: SparkSession, path: str, sr: int = 0, norm: bool = False) -> Dat
         for b in batches:
             rows = []
             for p, f, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if f != "wav":
-                    raise NotImplementedError(f"decoding {f} needs a codec that is not installed: {p}")
-                rate, x = decode_wav(raw)
+                if f not in known:
+                    raise NotImplementedError(f"give load() a decoder of {f}: {p}")
+                rate, x = known[f](raw)
                 x = x.mean(0)
                 if sr and sr != rate:
                     x = dsp.resample(x, rate, sr)

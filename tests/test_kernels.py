@@ -246,9 +246,3 @@ def test_models():
     assert np.allclose(w @ hh, np.outer([1.0, 2, 3], [1.0, 0, 2, 1]) + 0.01, atol=0.05)
     with pytest.raises(ValueError):
         models.nmf(np.ones((2, 2)), 3)
-
-
-def test_notes():
-    assert units.parse_note("A4") == 69 and units.parse_note("C#-1") == 1 and units.parse_note("Bb3") == 58
-    with pytest.raises(ValueError):
-        units.parse_note("H2")

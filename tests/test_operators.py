@@ -138,6 +138,32 @@ def test_wav_round_trip(spark, tmp_path):
     assert half.sr == 4000 and half.origin_sr == 8000 and abs(max(map(abs, half.samples)) - 1) < 1e-9
 
 
+@pytest.mark.parametrize(("kind", "bits"), [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_wav_of_either_byte_order(kind, bits, order):
+    import struct
+
+    x = np.array([[0.5, -0.25, 0.125, 0.0], [-1.0, 0.75, 0.0625, -0.5]])
+    if kind == 3:
+        body = x.T.astype(f"{order}f{bits // 8}").tobytes()
+    else:
+        whole = np.rint(x.T * 2 ** (bits - 1)).astype(np.int64) + (128 if bits == 8 else 0)
+        body = b"".join(int(v).to_bytes(bits // 8, "little" if order == "<" else "big", signed=bits > 8) for v in whole.ravel())
+    fmt = struct.pack(f"{order}HHIIHH", kind, 2, 8000, 8000 * bits // 4, bits // 4, bits)
+    chunk = lambda name, data: name + struct.pack(f"{order}I", len(data)) + data
+    raw = (b"RIFF" if order == "<" else b"RIFX") + b"\0\0\0\0WAVE" + chunk(b"LIST", b"ab") + chunk(b"fmt ", fmt) + chunk(b"data", body)
+    rate, got = audio.decode_wav(raw)
+    assert rate == 8000 and np.allclose(got, x, atol=2.0**-7)
+
+
+def test_decoders_of_other_formats(spark, tmp_path):
+    (tmp_path / "a.flac").write_bytes(b"fLaC" + bytes([1, 2, 3, 4] * 4))
+    with pytest.raises(Exception, match="decoder of flac"):
+        audio.load(spark, str(tmp_path)).collect()
+    got = audio.load(spark, str(tmp_path), decoders={"flac": lambda raw: (100, np.array([[len(raw), 0.0], [0.0, 2.0]]))}).first()
+    assert (got.sr, list(got.samples)) == (100, [10.0, 1.0])
+
+
 def test_bad_audio_fails(spark, tmp_path):
     (tmp_path / "text.wav").write_bytes(b"not a riff at all")
     with pytest.raises(Exception, match="not an audio file"):
@@ -177,3 +203,37 @@ def test_unit_names(spark):
     got = df.select(units.note_to_midi("note").alias("m"), units.midi_to_note("n").alias("name")).collect()
     assert [r.m for r in got] == [69, 49, 46, None]
     assert [r.name for r in got] == ["A4", "C#3", "A#2", "C4"]
+
+
+def test_notes(spark):
+    names = ["A4", "C#-1", "Bb3", " c5 ", "F#♯2", "G", "E!1", "H2", "A4x", "", "B-", "C5-3", None]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", units.note_to_midi("n").alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [69, 1, 58, 72, 43, 19, 27, None, None, None, None, None, None]
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_neighbours_in_blocks(spark, monkeypatch, block):
+    """Windows over neighbours give the same however small the blocks of frames are."""
+    from sigspark.operators import arrays
+
+    monkeypatch.setattr(arrays, "BLOCK", block)
+    x = np.random.default_rng(2).normal(size=64 + 8 * 30)
+    signals = spark.createDataFrame([("a", 64, x.tolist()), ("b", 64, (x[:90] * 3).tolist())], "signal_id string, sr int, samples array<double>")
+    s = spectral.spectrogram(signals, 64, winsize=64, winstep=8)
+    v = {k: np.array([r.spec for r in s.df.where(F.col("signal_id") == k).orderBy("frame").collect()]) for k in "ab"}
+    flux = descriptors.describe_change(s, "flux").orderBy("signal_id", "frame").collect()
+    rise = rhythm.onset_strength(s, lag=2).df.orderBy("signal_id", "frame").collect()
+    slope = spectral.delta(s, 9).df.orderBy("signal_id", "frame").collect()
+    phase = descriptors.describe_phase(spectral.stft_complex(framing.frames(signals, 64, winsize=64, winstep=8)), "rcd").orderBy("signal_id", "frame").collect()
+    for k in "ab":
+        m = v[k]
+        want = np.r_[0.0, np.sqrt(((m[1:] - m[:-1]) ** 2).sum(1))]
+        assert np.allclose([r.value for r in flux if r.signal_id == k], want)
+        db = np.maximum(10 * np.log10(np.maximum(m, 1e-10)), 10 * np.log10(m.max()) - 80)
+        want = np.r_[np.zeros(min(2, len(m))), np.maximum(db[2:] - db[:-2], 0).mean(1)]
+        assert np.allclose([r.value for r in rise if r.signal_id == k], want)
+        pad = np.vstack([np.zeros((8, m.shape[1])), m])
+        want = sum(w * pad[8 - i : len(pad) - i] for i, w in enumerate(spectral.delta_weights(9)))
+        assert np.allclose(np.array([r.spec for r in slope if r.signal_id == k]), want)
+        n = [r.value for r in phase if r.signal_id == k]
+        assert len(n) == len(m) and n[0] == 0 and (len(n) < 3 or min(n[2:]) > 0)
