@@ -45,9 +45,13 @@ def winnow(hashes: Column, w: int) -> Column:
     return let(hashes, of)
 
 
-def _small(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``bound`` rows, by count."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def _small(df: DataFrame, bound: int, width: Column | None = None, most: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``bound`` rows, by count; where rows have no fixed size, and no
+    more than ``most`` bytes, by the sum of ``width``."""
+    if width is None:
+        return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    n, size = df.agg(F.count("*"), F.sum(width.cast("bigint"))).first()
+    return F.broadcast(df) if n <= bound and (size or 0) <= most else df
 
 
 def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
@@ -74,35 +78,29 @@ def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id:
     places = None
     for n in sorted({k, *short}):
         if n == k:
-            fp = it.where(F.size("iw") >= window).select("item", F.posexplode(grams(F.col("iw"), k)).alias("q", "h")).join(prints.where(F.col("k") == k).select("h"), "h", "left_semi")
+            fp = it.where(F.size("iw") >= window).select("item", F.size("iw").alias("len"), F.posexplode(grams(F.col("iw"), k)).alias("q", "h")).join(prints.where(F.col("k") == k).select("h"), "h", "left_semi")
             if k in short:
-                fp = fp.union(it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.lit(0).alias("q")).select("h", "item", "q"))
+                fp = fp.select("h", "item", "len", "q").union(it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.size("iw").alias("len"), F.lit(0).alias("q")))
         else:
-            fp = it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.lit(0).alias("q"))
-        fp = fp.select("h", "item", "q")
+            fp = it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.size("iw").alias("len"), F.lit(0).alias("q"))
+        fp = fp.select("h", "item", "len", "q")
         at = near.select(*key, F.posexplode(grams(F.col("w"), n)).alias("p", "h"))
-        got = at.join(_small(fp, MOST_BROADCAST), "h").select(*key, "item", (F.col("p") - F.col("q")).alias("diagonal"))
+        got = at.join(_small(fp, MOST_BROADCAST), "h").select(*key, "item", "len", (F.col("p") - F.col("q")).alias("diagonal"))
         places = got if places is None else places.union(got)
     lines = places.distinct()
 
-    m = F.least(F.lit(window), F.size("iw"))
+    # of the document only what lies along the diagonal goes on, so that its words are not carried once for each
     first = F.greatest(F.lit(0), -F.col("diagonal"))
-    last = F.least(F.size("iw"), F.size("w") - F.col("diagonal"))
-    run = lines.join(near, key).join(_small(it, MOST_BROADCAST // 20), "item")
-    run = run.select(*key, "item", "diagonal", m.alias("m"), first.alias("f"), F.slice("iw", first + 1, last - first).alias("a"), F.slice("w", first + F.col("diagonal") + 1, last - first).alias("b"))
-    same = F.zip_with("a", "b", lambda a, b: a == b)
-    # ends of equal runs: places i (from 0) where the run that ends before i + 1 has m words or more
-    scan = F.aggregate(
-        same,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("ends")),
-        lambda s, e: F.struct(
-            F.when(e, s["n"] + 1).otherwise(0).alias("n"),
-            (s["i"] + 1).alias("i"),
-            F.when(e & (s["n"] + 1 >= F.col("m")), F.concat(s["ends"], F.array(s["i"] + 1))).otherwise(s["ends"]).alias("ends"),
-        ),
-    )
-    run = run.select(*key, "item", "m", (F.col("f") + F.col("diagonal")).alias("base"), scan["ends"].alias("ends")).where(F.size("ends") > 0)
-    return run.select(*key, "item", F.transform("ends", lambda e: F.struct((F.col("base") + e - F.col("m")).alias("start"), (F.col("base") + e).alias("end"))).alias("spans"))
+    last = F.least(F.col("len"), F.size("w") - F.col("diagonal"))
+    run = lines.join(near, key).select(*key, "item", "diagonal", "len", first.alias("f"), last.alias("l"), F.slice("w", first + F.col("diagonal") + 1, last - first).alias("b"))
+    run = run.join(_small(it.withColumn("len", F.size("iw")), MOST_BROADCAST, F.size("iw") * 16 + F.octet_length(F.array_join("iw", ""))), ["item", "len"])
+    same = F.zip_with(F.slice("iw", F.col("f") + 1, F.col("l") - F.col("f")), "b", lambda a, b: a == b)
+    run = run.select(*key, "item", F.least(F.lit(window), "len").alias("m"), (F.col("f") + F.col("diagonal")).alias("base"), same.alias("same"))
+    # runs of equal words lie between two places that differ, or the ends
+    bounds = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size("same")), lambda i: ~F.element_at("same", i)), F.array(F.size("same") + 1))
+    run = run.where(F.size("same") > 0).select(*key, "item", "m", "base", bounds.alias("bounds"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda i: F.struct((F.col("base") + F.element_at("bounds", i)).alias("start"), (F.col("base") + F.element_at("bounds", i + 1) - 1).alias("end")))
+    return run.select(*key, "item", F.filter(runs, lambda x: x["end"] - x["start"] >= F.col("m")).alias("spans")).where(F.size("spans") > 0)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, k: int = 6, share: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -132,7 +130,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     per = per.select("__id", "__h", F.array_sort("__items").alias("__items"), merged.alias("__spans"))
     per = cut(per.withColumn("__hit", F.aggregate("__spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])))
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.coalesce(fold, F.lit(0)).alias("__h"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("__n"))
-    out = rows.join(_small(per, 20_000), ["__id", "__h"], "left")
+    out = rows.join(_small(per, 20_000, F.size("__items") * 32 + F.size("__spans") * 8), ["__id", "__h"], "left")
     n_hit = F.coalesce(F.col("__hit"), F.lit(0)).cast("bigint")
     items_of = F.coalesce(F.col("__items"), F.array().cast("array<string>"))
     made = {

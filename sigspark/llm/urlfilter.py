@@ -31,6 +31,9 @@ class Rule:
         return self.host + self.path
 
 
+LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
 @lru_cache(maxsize=8)
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -43,7 +46,7 @@ def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Aut
 
 def count_terms(url: str | None, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[int, int]:
     """Distinct strict and soft terms that stand between characters other than a-z and 0-9."""
-    s = (url or "").translate(str.maketrans(UPPER, UPPER.lower()))
+    s = (url or "").translate(LOWER)
     word = "abcdefghijklmnopqrstuvwxyz0123456789"
     found: dict[str, set[str]] = {"strict": set(), "soft": set()}
     for end, (kind, term) in automaton(strict, soft).iter(s):

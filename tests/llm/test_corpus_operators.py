@@ -211,6 +211,14 @@ def test_urls(spark, url, expected):
     assert (r.host, r.path, r.rule, r.verdict) == expected
 
 
+def test_very_long_and_repeated_urls(spark):
+    """A term at the end of a megabyte is found; equal rows are judged alike."""
+    long = "http://a.org/" + "x/" * 500_000
+    df = spark.createDataFrame([(1, long + "porn"), (1, long + "porn"), (2, long + "pornx"), (3, "://" + "/" * 100_000), (4, "http://" + "h" * 100_000)], "page_id long, url string")
+    got = sorted((r.page_id, r.verdict, len(r.host), len(r.path)) for r in urlfilter.filter_urls(df, queries.URL_RULES).collect())
+    assert got == [(1, "block", 5, 1_000_005), (1, "block", 5, 1_000_005), (2, "allow", 5, 1_000_006), (3, "allow", 0, 100_000), (4, "allow", 100_000, 0)]
+
+
 def test_url_rules_are_distinct(spark):
     with pytest.raises(ValueError):
         urlfilter.filter_urls(spark.createDataFrame([], "url string"), [urlfilter.Rule("allow", "a"), urlfilter.Rule("block", "a")])
