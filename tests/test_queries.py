@@ -3,17 +3,19 @@
 import pytest
 from conftest import SMALL, same_rows
 
-from sigspark import catalog
+from sigspark import catalog, catalog_more
 
+QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    same_rows(catalog.QUERIES[name](spark, SMALL), duck.execute(catalog.ORACLE_SQL[name]))
+    same_rows(QUERIES[name](spark, SMALL), duck.execute(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    df = catalog.QUERIES[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     assert df.columns
     assert df.count() > 0
 
