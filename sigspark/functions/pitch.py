@@ -156,9 +156,10 @@ def harmonic_ratio(x: np.ndarray, sr: int, bounds=(50, 400)) -> np.ndarray:
     return np.where(r[:, 0] > 0, np.maximum(q[:, low:].max(1), 0), 0.0)
 
 
-def harmonic_count(power: np.ndarray, sr: int, nfft: int, bounds=(27, 4000), rise: float = 15.0, within: float = 48.0, apart: float = 30.0) -> np.ndarray:
+def harmonic_count(power: np.ndarray, sr: int, nfft: int, bounds=(27, 4000), count_range=None, rise: float = 15.0, within: float = 48.0, apart: float = 30.0) -> np.ndarray:
     """The number of spectral peaks in a range that stand ``rise`` dB above both sides and ``within`` dB of the highest;
-    of peaks nearer than ``apart`` Hz the higher counts."""
+    of peaks nearer than ``apart`` Hz the higher counts. Those within ``count_range`` are counted, else all in the range."""
+    counted = count_range or bounds
     level = 10 * np.log10(np.maximum(power, TINY) / nfft / nfft)
     low, high = math.floor(bounds[0] * nfft / sr), min(math.ceil(bounds[1] * nfft / sr), nfft // 2 - 1)
     out = np.zeros(len(level), int)
@@ -176,5 +177,5 @@ def harmonic_count(power: np.ndarray, sr: int, nfft: int, bounds=(27, 4000), ris
                 right += 1
             if v[p] - v[left] >= rise and v[p] - v[right] >= rise:
                 chosen.append(int(p))
-        out[i] = sum(bounds[0] < c * sr / nfft < bounds[1] for c in chosen)
+        out[i] = sum(counted[0] < c * sr / nfft < counted[1] for c in chosen)
     return out

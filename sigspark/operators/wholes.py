@@ -284,10 +284,10 @@ def harmonic_ratio_tracked(fr: Stage, fmin: float = 50) -> DataFrame:
     return per_signal(got, {"frame": T.IntegerType(), "t": T.DoubleType(), "value": T.DoubleType()}, kernel, carry=["frames", "ts"])
 
 
-def harmonic_count(s: Stage, bounds=(27, 4000)) -> DataFrame:
+def harmonic_count(s: Stage, bounds=(27, 4000), count_range=None) -> DataFrame:
     power = (lambda v: v) if s.meta.spectrum == "power" else (lambda v: v * v)
     sr, nfft = s.meta.sr, s.meta.nfft
-    return per_frame(s.df, ["spec"], {"value": T.LongType()}, lambda v: [pitch.harmonic_count(power(v), sr, nfft, bounds)], KEYS[:3])
+    return per_frame(s.df, ["spec"], {"value": T.LongType()}, lambda v: [pitch.harmonic_count(power(v), sr, nfft, bounds, count_range)], KEYS[:3])
 
 
 # ---- signals to signals ----

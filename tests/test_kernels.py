@@ -246,3 +246,14 @@ def test_models():
     assert np.allclose(w @ hh, np.outer([1.0, 2, 3], [1.0, 0, 2, 1]) + 0.01, atol=0.05)
     with pytest.raises(ValueError):
         models.nmf(np.ones((2, 2)), 3)
+
+
+def test_counts_of_harmonics():
+    sr = 32000
+    t = np.arange(sr) / sr
+    for n in (1, 4, 8):
+        y = 0.2 * sum(np.sin(2 * np.pi * 220 * k * t) / k for k in range(1, n + 1))
+        p = np.abs(np.fft.rfft(dsp.framed(y, 4096, 1024) * window("hamming", 4096), axis=1)) ** 2
+        assert (pitch.harmonic_count(p, sr, 4096) == n).all()
+    assert (pitch.harmonic_count(p, sr, 4096, count_range=(100, 1000)) == 4).all()
+    assert (pitch.harmonic_count(np.zeros((3, 2049)), sr, 4096) == 0).all()
