@@ -518,7 +518,13 @@ def _rhythm() -> None:
     b = (math.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
     register("pcen", lambda s, d: cells(rhythm.pcen(spec_e(s, d))), f"WITH RECURSIVE {spec_sql()}, m AS (SELECT sig, bin, frame, v, v AS m FROM spec WHERE frame = 0 UNION ALL SELECT s.sig, s.bin, s.frame, s.v, (1 - {b!r}::DOUBLE) * m.m + {b!r}::DOUBLE * s.v FROM m JOIN spec s ON s.sig = m.sig AND s.bin = m.bin AND s.frame = m.frame + 1) SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round(sqrt(v / pow(1e-6 + m, 0.98::DOUBLE) + 2) - sqrt(2.0::DOUBLE), 4) AS value FROM m")
     register("to_db", lambda s, d: cells(spectral.to_db(spec_e(s, d), top_db=30)), f"WITH {spec_sql()} SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round(greatest(10 * log10(greatest(v, 1e-10)) - 10 * log10(max(v) OVER (PARTITION BY sig)), -30), 4) AS value FROM spec")
-    register("hpss_signals", lambda s, d: rhythm.hpss_signals(signals_u(s, d), 16, 8, kernel=(5, 5)))
+
+    def separated(spark, sf):
+        got = rhythm.hpss_signals(signals_u(spark, sf), 16, 8, kernel=(5, 5))
+        rows = got.select("signal_id", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("n", "v"))
+        return rows.select("signal_id", "n", *[(F.round(f"v.{c}", 4) + 0.0).alias(c) for c in ("harmonic", "percussive")])
+
+    register("hpss_signals", separated)
     register("spectral_gate", lambda s, d: cells(rhythm.spectral_gate(spec_e(s, d), -20, release=1)), f"WITH {spec_sql()} SELECT sig AS signal_id, frame::INT AS frame, bin::INT AS bin, round(CASE WHEN 10 * log10(greatest(v, 1e-10)) - 10 * log10(max(v) OVER (PARTITION BY sig)) >= -20 THEN v ELSE 0 END, 4) AS value FROM spec")
 
     def signal_rows(f):
@@ -646,6 +652,7 @@ def _wholes() -> None:
 for part in (_framing, _fourier, _bands, _descriptors, _units, _rhythm, _wholes):
     part()
 ORACLE_SQL |= oracles.presets() | oracles.signals(U_ROWS, V_ROWS, E_ROWS) | oracles.spectra(spec_sql(), frames_sql(), ONSET)
+ORACLE_SQL |= oracles.whole(U_ROWS, frames_sql())
 ORACLE_SQL |= {"pitch_hps": oracles.harmonics(V_ROWS, "product(m)"), "pitch_lhs": oracles.harmonics(V_ROWS, "sum(ln(m))")}
 
 

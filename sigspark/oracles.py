@@ -199,3 +199,31 @@ def spectra(spec: str, frames: str, onset: str) -> dict[str, str]:
         "deconv": f"""WITH {spec}, f AS (SELECT sig, frame, k, sqrt(pow(sum(v * cos(2 * pi() * ((k * bin) % 128) / 128)), 2) + pow(sum(v * sin(2 * pi() * ((k * bin) % 128) / 128)), 2)) AS a FROM spec, (SELECT unnest(range(65)) AS k) GROUP BY sig, frame, k)
             SELECT sig AS signal_id, frame::INT AS frame, n::INT AS bin, round(sum(a * CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END * cos(2 * pi() * ((k * n) % 128) / 128)) / 128, 4) AS value FROM f, (SELECT unnest(range(33)) AS n) GROUP BY sig, frame, n""",
     }
+
+
+def whole(u_rows: str, frames: str) -> dict[str, str]:
+    bessel = lambda x: "(1 + " + " + ".join(f"pow(({x}) / 2, {2 * k}) / {float(math.factorial(k)) ** 2!r}::DOUBLE" for k in range(1, 40)) + ")"
+    half = 128  # 64 to 48 samples a second: three up, four down, 32 zeros of the slower rate
+    hann = "(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16))"
+    soft = lambda a, b: f"CASE WHEN greatest({a}, {b}) <= 0 THEN 0.5::DOUBLE ELSE {a} * {a} / ({a} * {a} + {b} * {b}) END"
+    back = lambda m: f"sum(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * {m} * (re * cos(2 * pi() * ((k * j) % 16) / 16) - im * sin(2 * pi() * ((k * j) % 16) / 16))) / 16"
+    return {
+        "resample_polyphase": f"""WITH {u_rows}, tp AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 4) / (pi() * k / 4) END * {bessel(f'8 * sqrt(greatest(1 - pow(k / {half}.0::DOUBLE, 2), 0))')} / {bessel('8')} * 0.75::DOUBLE AS h FROM (SELECT unnest(range(-{half}, {half + 1})) AS k)),
+            o AS (SELECT sig, unnest(range(CAST(ceil(count(*) * 3 / 4.0::DOUBLE) AS BIGINT))) AS m FROM es GROUP BY sig)
+            SELECT sig AS signal_id, m::INT AS k, round(sum(h * x), 4) + 0.0 AS v FROM o JOIN es USING (sig) JOIN tp ON tp.k = m * 4 - n * 3 GROUP BY sig, m""",
+        "harmonic_ratio_tracked": f"""WITH {frames}, b AS (SELECT sig, frame, j, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / {W})) AS x FROM ef),
+            r AS (SELECT a.sig, a.frame, c.j - a.j AS k, sum(a.x * c.x) AS r FROM b a JOIN b c ON a.sig = c.sig AND a.frame = c.frame AND c.j >= a.j AND c.j - a.j <= 32 GROUP BY a.sig, a.frame, c.j - a.j),
+            en AS (SELECT sig, frame, j, sum(x * x) OVER (PARTITION BY sig, frame ORDER BY j) AS e FROM b),
+            cr AS (SELECT sig, frame, min(CASE WHEN k BETWEEN 1 AND 31 AND sign(r) * sign(nx) <= 0 THEN k END) AS c FROM (SELECT *, lead(r) OVER (PARTITION BY sig, frame ORDER BY k) AS nx FROM r) GROUP BY sig, frame),
+            lo AS (SELECT sig, frame, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY sig ORDER BY frame), 0) AS low FROM cr),
+            g AS (SELECT r.sig, r.frame, r.k, r.r / sqrt(z.r * en.e + 1e-16) AS g FROM r JOIN lo ON lo.sig = r.sig AND lo.frame = r.frame AND r.k BETWEEN lo.low + 1 AND 31 JOIN r z ON z.sig = r.sig AND z.frame = r.frame AND z.k = 0 JOIN en ON en.sig = r.sig AND en.frame = r.frame AND en.j = {W} - 2 - r.k),
+            q AS (SELECT *, lag(g) OVER w AS below, lead(g) OVER w AS above, first_value(k) OVER (PARTITION BY sig, frame ORDER BY g DESC, k) AS top FROM g WINDOW w AS (PARTITION BY sig, frame ORDER BY k))
+            SELECT lo.sig AS signal_id, lo.frame::INT AS frame, round(coalesce(CASE WHEN below IS NULL OR above IS NULL THEN g ELSE g - 0.25::DOUBLE * (below - above) * (above - below) / (2 * (2 * g - above - below) + 1e-16) END, 0), 4) AS value FROM lo LEFT JOIN q ON q.sig = lo.sig AND q.frame = lo.frame AND q.k = q.top""",
+        "hpss_signals": f"""WITH {u_rows}, sz AS (SELECT sig, count(*) AS len FROM es GROUP BY sig),
+            fr AS (SELECT sig, frame, j, x * {hann} AS x FROM (SELECT sig, frame, (n - frame * 8) AS j, x FROM es JOIN (SELECT sig, unnest(range((len - 16) // 8 + 1)) AS frame FROM sz WHERE len >= 16) USING (sig) WHERE n BETWEEN frame * 8 AND frame * 8 + 15)),
+            c AS (SELECT sig, frame, k, sum(x * cos(2 * pi() * ((k * j) % 16) / 16)) AS re, -sum(x * sin(2 * pi() * ((k * j) % 16) / 16)) AS im FROM fr, (SELECT unnest(range(9)) AS k) GROUP BY sig, frame, k),
+            m AS (SELECT *, quantile_cont(sqrt(re * re + im * im), 0.5) OVER (PARTITION BY sig, k ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h, quantile_cont(sqrt(re * re + im * im), 0.5) OVER (PARTITION BY sig, frame ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM c),
+            y AS (SELECT sig, frame * 8 + j AS n, {hann} AS w, {back(soft('h', 'p'))} AS h, {back(soft('p', 'h'))} AS p FROM m, (SELECT unnest(range(16)) AS j) GROUP BY sig, frame, j),
+            o AS (SELECT sig, n, sum(h * w) AS h, sum(p * w) AS p, sum(w * w) AS d FROM y GROUP BY sig, n)
+            SELECT es.sig AS signal_id, es.n::INT AS n, round(coalesce(CASE WHEN d >= 1e-6 THEN h / d ELSE h END, 0), 4) + 0.0 AS harmonic, round(coalesce(CASE WHEN d >= 1e-6 THEN p / d ELSE p END, 0), 4) + 0.0 AS percussive FROM es LEFT JOIN o USING (sig, n)""",
+    }
