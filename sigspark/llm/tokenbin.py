@@ -148,7 +148,7 @@ def write_files(df: DataFrame, encode: Callable[[list[str | None]], list[np.ndar
     """Writes token files in ascending order of ``order`` and returns the manifest: a row for each row of ``df``.
 
     ``encode`` gives the ids of texts as little-endian u4; ``end_id`` is put behind each. Rows are dealt by ranges of
-    (order, hash of text), so rows with one id or many copies of a text spread; nulls come first, ties are in the order of
+    (order, hash of text), so rows with one id spread by their texts, and copies of a text by their ids; only rows equal in both stay together; nulls come first, ties are in the order of
     the hash of the text. Each task streams its range into one file of its own name, and only files of tasks that ended
     well are in the manifest, so a task that is lost and run again does no harm. Manifest columns: ``order``, ``file``,
     ``file_start`` (ids before the row in its file), ``start`` (ids before it in all files), ``n_tokens``. An empty table

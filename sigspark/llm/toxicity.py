@@ -58,7 +58,7 @@ SPANS = PLACES[:, -1] - PLACES[:, 0] + 1
 #: no other gram that is learnt, and a window that no gram explains from so many on.
 SURE, FEW, FEWEST = 6, 3, 2
 #: Positions that are scored at a time.
-CHUNK = 500_000
+CHUNK = 150_000
 #: The letters of a window, where the word has as many.
 LEAST = 6
 #: The weight of the first windows beside that of the worst ones.
@@ -117,17 +117,34 @@ def units(texts: list[str | None]) -> Units:
     return Units(np.r_[letters, edged[inside]], np.r_[start, behind], np.r_[size, n + 2], np.r_[owner, of])
 
 
-def distinct(u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first of equal words, and for each word its place among the distinct ones; by a 64-bit hash."""
+def hashes(u: Units) -> np.ndarray:
+    """A 64-bit hash of each word."""
     if not len(u.start):
-        return u.start, u.start
+        return np.zeros(0, np.uint64)
     at = np.arange(len(u.codes)) - np.repeat(u.start, u.size)
     h = np.add.reduceat(u.codes * POWERS[at & 4095] + (at >> 12).astype(np.uint64), u.start)
-    h ^= u.size.astype(np.uint64) << np.uint64(56)
+    return h ^ u.size.astype(np.uint64) << np.uint64(56)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes of words, the index of the first of equal ones, and for each word its place among the distinct ones."""
     _, first, place = np.unique(h, return_index=True, return_inverse=True)
     return first, place
 
 
+def all_units(texts: list[str | None], step: int = 100) -> tuple[Units, np.ndarray, list[slice]]:
+    """Units of many texts, their hashes and the runs of them that some texts have, made some texts at a time."""
+    parts, marks, letters, bounds = [], [], 0, [0]
+    for i in range(0, len(texts), step):
+        u = units(texts[i : i + step])
+        marks.append(hashes(u))
+        parts.append(Units(u.codes, (u.start + letters).astype(np.int32), u.size.astype(np.int32), (u.doc + i).astype(np.int32)))
+        letters += len(u.codes)
+        bounds.append(bounds[-1] + len(u.start))
+    joined = Units(*[np.concatenate([getattr(p, k) for p in parts]) for k in ("codes", "start", "size", "doc")])
+    return joined, np.concatenate(marks), [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def padded(u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The codes of words with WINDOW - 1 zeros behind each, and where each starts."""
     size = u.size[which]
@@ -203,7 +220,7 @@ class Model:
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """The largest window score of each text; 0, that of a window without subsequences, where there is no word."""
         u = units(texts)
-        first, place = distinct(u)
+        first, place = distinct(hashes(u))
         out = np.zeros(len(texts), np.float32)
         if len(first):
             s = word_scores(u, first, self.table)[place]
@@ -215,49 +232,67 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * self.worst(texts).astype(float) + self.b, -50, 50)))
 
 
-def _grams(u: Units, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of n letters, document) of each place, and the place itself by its word."""
-    m = max(0, len(u.codes) - n + 1)
+def _grams(u: Units, part: slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and word of each n letters of some words."""
+    start, size = u.start[part], u.size[part]
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    codes = u.codes[start[0] : start[-1] + size[-1]]
+    m = max(0, len(codes) - n + 1)
     h = np.zeros(m, np.int64)
     for j in range(n):
         h *= 64
-        h += u.codes[j : j + m]
-    word = np.repeat(np.arange(len(u.start), dtype=np.int32), u.size)
+        h += codes[j : j + m]
+    word = np.repeat(np.arange(part.start, part.stop, dtype=np.int32), size)
     ok = word[:m] == word[n - 1 :]
-    return np.flatnonzero(ok).astype(np.int32), h[ok]
+    return (np.flatnonzero(ok) + start[0]).astype(np.int32), h[ok], word[:m][ok]
+
+
+def _pairs(u: Units, part: slice, n: int, label: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, document) of the documents of one kind, each once."""
+    _, h, word = _grams(u, part, n)
+    d = u.doc[word]
+    sel = label[d] == kind
+    return _unique_pairs(h[sel], d[sel]) if sel.any() else (h[:0], d[:0])
 
 
-def _cover(u: Units, label: np.ndarray, sizes=(4, 5, 6)) -> list[tuple[int, np.ndarray]]:
+def _cover(u: Units, parts: list[slice], label: np.ndarray, sizes=(4, 5, 6)) -> list[tuple[int, np.ndarray]]:
     """Letter n-grams that few clean documents hold, in the order of what they add; (n, places in words of toxic documents).
 
     First grams of ``SURE`` toxic documents and more, greedily by the words they add; then rarer ones too, by the documents
-    they add. Either goes on until no gram adds ``FEW``, however many grams that takes and small a share that is.
+    they add. ``parts`` are runs of words that hold whole documents. Either goes on until no gram adds ``FEW``, however many grams that takes and small a share that is.
     """
     pos, neg = label.sum(), (label == 0).sum()
-    word = np.repeat(np.arange(len(u.start), dtype=np.int32), u.size)
-    owner = u.doc.astype(np.int32)
-    toxic = label[owner] == 1
+    toxic = label[u.doc] == 1
     found, holds, docs = [], [], []
     for n in sizes:
-        at, h = _grams(u, n)
-        if not len(h):
+        # (gram, document) pairs of some documents at a time; first of toxic ones, then of clean ones what toxic ones hold often
+        seen = [_pairs(u, part, n, label, 1) for part in parts]
+        names, p = np.unique(np.concatenate([h for h, _ in seen]), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, int))
+        names, p = names[p >= FEW], p[p >= FEW]
+        if not len(names):
             continue
-        w = word[at]
-        hp, dp = _unique_pairs(h, owner[w])
-        names, inv = np.unique(hp, return_inverse=True)
-        p = np.bincount(inv, weights=label[dp])
-        q = np.bincount(inv, weights=1 - label[dp])
-        good = names[(p >= FEW) & (p / pos > 20 * (q + 0.1) / neg)]
+        q = np.zeros(len(names))
+        for part in parts:
+            h, _ = _pairs(u, part, n, label, 0)
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            q += np.bincount(at[names[at] == h], minlength=len(names))
+        good = names[p / pos > 20 * (q + 0.1) / neg]
         if not len(good):
             continue
-        g = np.minimum(np.searchsorted(good, h), len(good) - 1)
-        sel = (good[g] == h) & toxic[w]
-        g, at = g[sel], at[sel]
+        hits = []
+        for part in parts:
+            at, h, w = _grams(u, part, n)
+            g = np.minimum(np.searchsorted(good, h), len(good) - 1)
+            sel = (good[g] == h) & toxic[w]
+            hits.append((g[sel], at[sel], w[sel]))
+        g, at, w = (np.concatenate(x) for x in zip(*hits, strict=True))
         order = np.argsort(g, kind="stable")
-        for part in np.split(at[order], np.searchsorted(g[order], np.arange(1, len(good)))):
-            found.append((n, part))
-            holds.append(np.unique(word[part]))
-            docs.append(np.unique(owner[holds[-1]]))
+        bounds = np.searchsorted(g[order], np.arange(1, len(good)))
+        for places, words in zip(np.split(at[order], bounds), np.split(w[order], bounds), strict=True):
+            found.append((n, places))
+            holds.append(np.unique(words))
+            docs.append(np.unique(u.doc[holds[-1]]))
     chosen: list[int] = []
 
     def greedy(of: list[np.ndarray], left: np.ndarray, ok: np.ndarray) -> None:
@@ -376,13 +411,15 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         held = np.zeros(len(y), bool)
     train = [t for t, h in zip(texts, held, strict=True) if not h]
     yt = y[~held]
-    u = units(train)
+    u, marks, parts = all_units(train)
+    del train
     if not len(u.start) or not (yt[u.doc] == 1).any() or not (yt[u.doc] == 0).any():
         return Model(flat, 1.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
-    first, place = distinct(u)
+    first, place = distinct(marks)
+    place = place.astype(np.int32)
     codes, start = padded(u, first)
     # a window of each gram that marks toxic documents, in the words that hold it most often
-    grams = _cover(u, yt)
+    grams = _cover(u, parts, yt)
     word = np.repeat(np.arange(len(u.start)), u.size)
     toxic_word = yt[u.doc] == 1
     ranked: list[list[tuple[int, int, np.ndarray]]] = []
@@ -397,6 +434,7 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         if seeds:
             ranked.append(sorted(seeds, key=lambda x: (-x[0], x[1])))
     neg_words = np.unique(place[~toxic_word])
+    del word
     picked = rng.choice(neg_words, min(len(neg_words), 4000), replace=False)
     clean = _windows_at(codes, start[picked], rng.integers(LEAST, WINDOW + 1, len(picked)))
     # the most frequent window of every gram, in the order of the grams; then second ones and so on, up to a number
@@ -434,9 +472,9 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
             at = np.array([start[w] + int(np.argmax(s[start[w] : behind[w]])) for w in words], int)  # noqa: B023
             return _windows_at(codes, at, letters[at])  # noqa: B023
 
-        order = np.lexsort((-best[place], u.doc))
-        rank = np.arange(len(order)) - np.searchsorted(u.doc[order], u.doc[order])
+        order = np.lexsort((-best[place], u.doc)).astype(np.int32)
         docs = u.doc[order]
+        rank = np.arange(len(order), dtype=np.int32) - np.searchsorted(docs, docs).astype(np.int32)
         top = order[(yt[docs] == 1) & (rank == 0)]
         hard = order[(yt[docs] == 0) & (rank < 4)]
         if left:  # what no landmark marks yet
@@ -449,7 +487,9 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         nx, nw = nx[heavy], nw[heavy]
     model = Model(table, info={"grams": len(grams), "landmarks": len(marks), "bias": bias})
     cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    model.a, model.b = labelled.platt(model.worst([texts[i] for i in cal]).astype(float) + bias, y[cal], float(y.mean()) if share is None else share)
+    del u, codes, start, first, place
+    worst = np.concatenate([model.worst([texts[i] for i in part]) for part in np.array_split(cal, len(cal) // 50 + 1)])
+    model.a, model.b = labelled.platt(worst.astype(float) + bias, y[cal], float(y.mean()) if share is None else share)
     model.b += model.a * bias
     return model
 
