@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, labelled, linededup, quality, quotes, simhash, tokenbin, toxicity, urlfilter
+from . import bpe, decontam, elkan, htmltext, labelled, linededup, periodic, quality, quotes, simhash, tokenbin, toxicity, urlfilter, warc
 
 END_ID = 2
 
@@ -93,6 +93,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_elkan_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = elkan.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return elkan.with_cluster_values(found, centroids, "vec_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", periodic.with_planted_period(F.col("text"), h).alias("text"))
+    return periodic.digests(periodic.find_runs(docs, keep=["doc_id"]))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archives(pages, warc.shared_dir(spark))
+    found = warc.by_row(warc.read_records(warc.index_of(manifest)), "page_id", pages.schema["page_id"].dataType.simpleString())
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,10 +129,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_binary": op8_token_binary,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op11_elkan_clustering": op11_elkan_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
 
 
+def _kmeans_sql(dim: int = 64, k: int = 40, rounds: int = 5) -> str:
+    """Each round unrolled: the nearest of all centroids by exact distances, then floors of means."""
+    parts = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, 'null')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))",
+    ]
+    squares = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (kept.v[i] - c.v[i]) * (kept.v[i] - c.v[i])))::BIGINT"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT rid, vec_id, kept.v AS v, c.c AS c, {squares} AS d FROM kept, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            parts.append(
+                f"""m{r} AS (SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM
+                  (SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i)) GROUP BY c)"""
+            )
+            parts.append(f"c{r + 1} AS (SELECT c{r}.c AS c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)")
+    last = f"a{rounds}"
+    return (
+        "WITH " + ", ".join(f"{x.split(' AS ', 1)[0]} AS MATERIALIZED {x.split(' AS ', 1)[1]}" for x in parts)
+        + f""" SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+          sha256(array_to_string(cv, ',')) AS centroid_sha256 FROM (SELECT {last}.*, c{rounds}.v AS cv FROM {last} JOIN c{rounds} ON {last}.c = c{rounds}.c)"""
+    )
+
+
 def _terms(terms: tuple[str, ...]) -> str:
     return ", ".join(f"'{t}'" for t in terms)
 
@@ -168,4 +214,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(n_links, 0)::BIGINT AS n_links,
           CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS text_sha256
         FROM documents d LEFT JOIN per USING (doc_id)""",
+    "op11_elkan_clustering": _kmeans_sql(),
+    "op13_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, body, upper(sha1(body)) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+          array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || h[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::INT // (32 ** (3 - i % 4))::INT) % 32)]), '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
 }
