@@ -9,7 +9,7 @@ fewer words are one window each, and runs of their exact length are hashed for t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, lower_ascii, with_columns_replaced
@@ -35,6 +35,11 @@ def grams(words_: Column, k: int) -> Column:
     return let(words_, of)
 
 
+def with_left(hashes: Column) -> Column:
+    """(h, left): each hash with the one before it, null for the first."""
+    return let(hashes, lambda g: F.transform(g, lambda h, i: F.struct(h.alias("h"), F.get(g, i - 1).alias("left"))))
+
+
 def winnow(hashes: Column, w: int) -> Column:
     """The least hash of each run of w, each once; of fewer hashes, the least."""
 
@@ -55,7 +60,11 @@ def _small(df: DataFrame, bound: int, width: Column | None = None, most: int = 6
 
 
 def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
-    """A row for each document (by ``key``) and item with a shared window: ``spans``, places [start, end) of the document."""
+    """Places [``start``, ``end``) of each document (by ``key``) that hold windows of an item: runs of equal words.
+
+    Along a diagonal (document place minus item place) words are compared once. Diagonals come from the first k-gram of each
+    run only, so texts of one repeated word have as many as words, and not as pairs of places.
+    """
     if not 0 < k <= window:
         raise ValueError("k must be from 1 to the length of a window")
     wide = window - k + 1
@@ -73,34 +82,36 @@ def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id:
     met = doc.select(*key, F.explode(marks).alias("h")).join(wanted, "h", "left_semi").select(*key).distinct()
     met = cut(met)
 
-    # only documents with a fingerprint in common: every place of theirs that meets one, as diagonals
+    # only documents with a fingerprint in common: where a run of equal words begins that holds k of them, or a short item
     near = docs.join(met, key, "left_semi").select(*key, words(F.col(f"`{text}`")).alias("w")).dropDuplicates(key)
     places = None
     for n in sorted({k, *short}):
+        fp = it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.size("iw").alias("len"), F.array(F.lit(0)).alias("qs"), F.lit(None).cast("bigint").alias("left"))
         if n == k:
-            fp = it.where(F.size("iw") >= window).select("item", F.size("iw").alias("len"), F.posexplode(grams(F.col("iw"), k)).alias("q", "h")).join(prints.where(F.col("k") == k).select("h"), "h", "left_semi")
-            if k in short:
-                fp = fp.select("h", "item", "len", "q").union(it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.size("iw").alias("len"), F.lit(0).alias("q")))
-        else:
-            fp = it.where(F.size("iw") == n).select(F.xxhash64("iw").alias("h"), "item", F.size("iw").alias("len"), F.lit(0).alias("q"))
-        fp = fp.select("h", "item", "len", "q")
-        at = near.select(*key, F.posexplode(grams(F.col("w"), n)).alias("p", "h"))
-        got = at.join(_small(fp, MOST_BROADCAST), "h").select(*key, "item", "len", (F.col("p") - F.col("q")).alias("diagonal"))
+            at = it.where(F.size("iw") >= window).select("item", F.size("iw").alias("len"), F.posexplode(with_left(grams(F.col("iw"), k))).alias("q", "g"))
+            at = at.groupBy(F.col("g.h").alias("h"), F.col("g.left").alias("left"), "item", "len").agg(F.collect_list("q").alias("qs"))  # places of an item that begin alike are one row
+            fp = at.select(*fp.columns).union(fp)
+        at = near.select(*key, F.posexplode(with_left(grams(F.col("w"), n))).alias("p", "g")).select(*key, "p", "g.h", F.col("g.left").alias("__left"))
+        begins = F.col("left").isNull() | F.col("__left").isNull() | (F.col("left") != F.col("__left"))  # else the run began before
+        got = at.join(_small(fp, MOST_BROADCAST, F.size("qs") * 4 + 64), "h").where(begins)
+        got = got.select(*key, "item", "len", "p", F.explode("qs").alias("q")).select(*key, "item", "len", (F.col("p") - F.col("q")).alias("diagonal"))
         places = got if places is None else places.union(got)
-    lines = places.distinct()
-
-    # of the document only what lies along the diagonal goes on, so that its words are not carried once for each
-    first = F.greatest(F.lit(0), -F.col("diagonal"))
-    last = F.least(F.col("len"), F.size("w") - F.col("diagonal"))
-    run = lines.join(near, key).select(*key, "item", "diagonal", "len", first.alias("f"), last.alias("l"), F.slice("w", first + F.col("diagonal") + 1, last - first).alias("b"))
-    run = run.join(_small(it.withColumn("len", F.size("iw")), MOST_BROADCAST, F.size("iw") * 16 + F.octet_length(F.array_join("iw", ""))), ["item", "len"])
-    same = F.zip_with(F.slice("iw", F.col("f") + 1, F.col("l") - F.col("f")), "b", lambda a, b: a == b)
-    run = run.select(*key, "item", F.least(F.lit(window), "len").alias("m"), (F.col("f") + F.col("diagonal")).alias("base"), same.alias("same"))
-    # runs of equal words lie between two places that differ, or the ends
-    bounds = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size("same")), lambda i: ~F.element_at("same", i)), F.array(F.size("same") + 1))
-    run = run.where(F.size("same") > 0).select(*key, "item", "m", "base", bounds.alias("bounds"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda i: F.struct((F.col("base") + F.element_at("bounds", i)).alias("start"), (F.col("base") + F.element_at("bounds", i + 1) - 1).alias("end")))
-    return run.select(*key, "item", F.filter(runs, lambda x: x["end"] - x["start"] >= F.col("m")).alias("spans")).where(F.size("spans") > 0)
+    lines = places.groupBy(*key, "item", "len").agg(F.collect_set("diagonal").alias("diagonals"))
+
+    run = lines.join(near, key).join(_small(it.withColumn("len", F.size("iw")), MOST_BROADCAST, F.size("iw") * 16 + F.octet_length(F.array_join("iw", ""))), ["item", "len"])
+    least = F.least(F.lit(window), F.col("len"))
+
+    def along(d: Column) -> Column:
+        first, last = F.greatest(F.lit(0), -d), F.least(F.col("len"), F.size("w") - d)
+        return let(F.zip_with(F.slice("iw", first + 1, last - first), F.slice("w", first + d + 1, last - first), lambda x, y: x == y), lambda same: runs(same, first + d))
+
+    def runs(same: Column, base: Column) -> Column:  # runs of equal words lie between two places that differ, or the ends
+        ends = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size(same)), lambda i: ~F.element_at(same, i)), F.array(F.size(same) + 1))
+        return let(ends, lambda e: F.filter(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.struct((base + F.element_at(e, i)).alias("start"), (base + F.element_at(e, i + 1) - 1).alias("end"))), lambda x: x["end"] - x["start"] >= least))
+
+    # an outer explode, so that no filter on the spans is moved below them and computes them once more
+    spans = run.select(*key, "item", F.explode_outer(F.flatten(F.transform("diagonals", along))).alias("s"))
+    return spans.where("s is not null").select(*key, "item", "s.start", "s.end")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, k: int = 6, share: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -121,14 +132,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(fold, F.lit(0)).alias("__h"), F.col(f"`{text}`").alias("__text")).where(F.col("__text").isNotNull())
     keyed = keyed.select(F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__id"), "__h", "__text")
     found = hits(keyed, items, ["__id", "__h"], "__text", item_id, item_text, window, k)
-    per = found.groupBy("__id", "__h").agg(F.collect_set(F.col("item").cast("string")).alias("__items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    merged = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    per = per.select("__id", "__h", F.array_sort("__items").alias("__items"), merged.alias("__spans"))
-    per = cut(per.withColumn("__hit", F.aggregate("__spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])))
+    found = cut(found)
+    per = found.groupBy("__id", "__h").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("__items"))
+    order = Window.partitionBy("__id", "__h").orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = found.select("__id", "__h", "start", "end").distinct().withColumn("new", F.when(far >= F.col("start"), 0).otherwise(1))
+    merged = merged.withColumn("nth", F.sum("new").over(order)).groupBy("__id", "__h", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = merged.groupBy("__id", "__h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"), F.sum(F.col("end") - F.col("start")).alias("__hit"))
+    per = cut(per.join(spans, ["__id", "__h"]))
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), F.coalesce(fold, F.lit(0)).alias("__h"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("__n"))
     out = rows.join(_small(per, 20_000, F.size("__items") * 32 + F.size("__spans") * 8), ["__id", "__h"], "left")
     n_hit = F.coalesce(F.col("__hit"), F.lit(0)).cast("bigint")

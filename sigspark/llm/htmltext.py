@@ -29,7 +29,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 CONTAINERS = frozenset("article aside body footer form header main nav".split())
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
-CUT_TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|/|!--(?:(?!-->).)*|![^<>]*)\Z", re.S)
+OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 
 
 class Lines(HTMLParser):
@@ -130,6 +130,15 @@ class Lines(HTMLParser):
             self.flush()
 
 
+def without_open_end(html: str) -> str:
+    """A page without the comment, or the tag, that it ends within: from the first that nothing closes."""
+    at = html.find("<!--", html.rfind("-->") + 1)
+    if at >= 0:
+        html = html[:at]
+    tag = OPEN_TAG.search(html, html.rfind(">") + 1)
+    return html[: tag.start()] if tag else html
+
+
 def smooth(values: list[float], sigma: float) -> list[float]:
     """Gaussian smoothing; at the ends the kernel is cut and weighed anew."""
     r = max(1, math.ceil(3 * sigma))
@@ -167,7 +176,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     p = Lines()
-    p.feed(CUT_TAG.sub("", html))
+    p.feed(without_open_end(html))
     p.finish()
     if not p.lines:
         return ""

@@ -289,7 +289,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, per_edit: int,
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``doc`` (id and hash of the text), ``pos`` from 0, ``line`` trimmed of white space; blank lines are left out."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("h")).alias("doc"), F.posexplode(F.split(t, "\n")).alias("pos", "line"))
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("h")).alias("doc"), F.split(t, "\n").alias("ls"))  # hashed once, not for each line
+    rows = rows.select("doc", F.posexplode("ls").alias("pos", "line"))
     return rows.select("doc", "pos", F.trim(F.col("line"), F.lit(" \t\r\f\u000b")).alias("line")).where("line <> ''")
 
 
@@ -345,7 +346,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     cols = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, text])], F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h")).alias("__doc"))
     rows = rows.join(per.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    kept = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    places = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("__drop", lambda i: i.cast("int")))
+    kept = let(F.split(t, "\n"), lambda ls: F.array_join(F.transform(places(ls), lambda i: F.get(ls, i)), "\n"))
     made = {
         "n_lines": F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n"))).cast("bigint"),
         "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint"),

@@ -74,7 +74,8 @@ def _runs(said: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def own_text(lines: Column) -> Column:
     """What a message says itself: the lines without marks, without empty lines at the ends."""
-    return F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^\s*\n|\s+$", "")
+    text = F.rtrim(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), F.lit(" \t\n\x0b\f\r"))
+    return F.regexp_replace(text, r"\A\s*\n", "")
 
 
 def _attribution(text: Column) -> Column:

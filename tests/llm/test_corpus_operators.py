@@ -169,6 +169,19 @@ def test_decontamination_by_brute_force(spark):
         assert sum(s.end - s.start for s in x.spans) == x.n_hit
 
 
+@pytest.mark.parametrize("words", [[f"w{i}" for i in range(20_000)], ["tick"] * 5000, ["tick", "tock"] * 2500])
+def test_decontamination_of_long_and_repetitive_texts(spark, words):
+    """2,000 words took 5 s and 250 repeated ones 8 s when each word of a run looked at the whole run."""
+    import time
+
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[:2000]) + " y"), (3, " ".join(words[:11]) + " z")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", " ".join(words))], "item_id string, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"], [tuple(s) for s in r["spans"]]) for r in decontam.decontaminate(docs, items).collect()}
+    assert time.time() - began < 30
+    assert got == {1: (len(words), len(words), True, [(0, len(words))]), 2: (2002, 2000, True, [(1, 2001)]), 3: (12, 0, False, [])}
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     got = {(r.doc_id, r.lang, r.n_hit) for r in decontam.decontaminate(odd, items).collect()}
@@ -328,6 +341,16 @@ def test_lines_that_differ_at_one_place(spark, monkeypatch):
     assert all(got[i].links == 40 for i in [*range(40), 50])
 
 
+def test_long_documents_of_dropped_lines(spark):
+    import time
+
+    text = "\n".join(f"line number {i // 2} of the long text" for i in range(200_000))
+    began = time.time()
+    row = linededup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string"), threshold=0).first()
+    assert time.time() - began < 60
+    assert row["n_dropped"] == 100_000 and row["text"].split("\n") == [f"line number {i} of the long text" for i in range(100_000)]
+
+
 def test_line_dedup_odd(spark, odd, empty):
     got = linededup.dedup(odd.withColumn("n_lines", F.lit("x"))).collect()
     assert len(got) == len(ODD)
@@ -430,6 +453,16 @@ def test_long_and_repeated_messages(spark):
     assert [(x.reply_conv, x.reply_turn, x.thread_id) for x in got if x.conv_id == 4] == [(2, 0, 2)] * 2
 
 
+def test_white_space_of_a_megabyte(spark):
+    import time
+
+    rows = [(1, 0, "a" + " " * 1_000_000 + "b"), (1, 1, " \n\n\t\n two\n\nlines \n\n"), (1, 2, " \n" * 100_000 + "x"), (1, 3, " \n")]
+    began = time.time()
+    got = {r["turn"]: r["own_text"] for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert time.time() - began < 60  # 80,000 spaces took 45 s by a pattern
+    assert got == {0: rows[0][2], 1: " two\n\nlines", 2: "x", 3: ""}
+
+
 # ---- 6 html ----
 
 
@@ -496,7 +529,7 @@ def test_hostile_pages():
     import time
     import tracemalloc
 
-    for page in ("<div>x " * 100_000, "<b>" * 100_000 + "<div></div>x" * 50_000, "<div>" * 100_000 + "x</i></b>" * 100_000, "<b><article>" + "<div>" * 50_000 + "</b>" * 50_000, "<p><li>" * 50_000):
+    for page in ("<div>x " * 100_000, "<b>" * 100_000 + "<div></div>x" * 50_000, "<div>" * 100_000 + "x</i></b>" * 100_000, "<b><article>" + "<div>" * 50_000 + "</b>" * 50_000, "<p><li>" * 50_000, "<p>text</p>" + "<a " * 100_000, "<p>text</p>" + "<!-- x " * 100_000, "<p>text</p>" + "</b " * 100_000 + "<!--"):
         began = time.time()
         htmltext.main_text(page)
         assert time.time() - began < 8  # a quadratic one takes minutes
@@ -506,6 +539,11 @@ def test_hostile_pages():
     tracemalloc.stop()
 
 
+def test_pages_that_end_within_a_tag():
+    for end in ("<a href='x", "<a <b <i", "</p", "<!-- rest <p>more</p>", "<", "<!doc", "<!--"):
+        assert htmltext.main_text("<article><p>Some words of text that stay here.</p>" + end) == "Some words of text that stay here." + ("\n\n<" if end == "<" else ""), end
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, "n"), (1, "<p>" + "x " * 50000, "m")], "page_id long, html string, N_CHARS string")
     twice = sorted(htmltext.extract(df.union(df)).collect(), key=lambda r: r.n_chars)
