@@ -58,8 +58,13 @@ def _pass(state: DataFrame, kernel, keep: bool) -> DataFrame:
 def _sums(state: DataFrame) -> Matrices:
     """The partial sums of each signal added up."""
     rows = state.where("frame is null").select("signal_id", F.posexplode("v").alias("i", "x")).groupBy("signal_id", "i").agg(F.sum("x").alias("x"))
-    got = rows.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select("signal_id", F.col("s.x").alias("x")).collect()
-    return {r["signal_id"]: np.array(r["x"], float) for r in got}
+    got = rows.toArrow()
+    out: Matrices = {}
+    i, x = got.column("i").to_numpy(), got.column("x").to_numpy()
+    for name, at in _by_signal(pa.RecordBatch.from_arrays([got.column("signal_id").combine_chunks()], names=["signal_id"])):
+        out[name] = np.empty(len(at))
+        out[name][i[at]] = x[at]
+    return out
 
 
 def _first(frames: DataFrame, nb: int, k: int, init: str) -> tuple[Matrices, DataFrame]:

@@ -3,9 +3,9 @@
 import pytest
 from conftest import SMALL, same_rows
 
-from sigspark import catalog, catalog_more
+from sigspark import catalog, catalog_more, catalog_rows
 
-QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL
+QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES | catalog_rows.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL | catalog_rows.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
