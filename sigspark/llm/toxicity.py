@@ -228,6 +228,16 @@ class Model:
             np.maximum.at(out, u.doc, s)
         return out
 
+    def bent(self, text: str, rng: np.random.Generator) -> float:
+        """The middle score of the worst window of a text with a letter put in or left out."""
+        u = units([text])
+        codes, start = padded(u, distinct(hashes(u))[0])
+        s, letters = window_scores(codes, self.table)
+        at = np.array([int(np.argmax(s))])
+        made, _ = gapped(_windows_at(codes, at, letters[at]), np.ones(1), np.arange(1, 27), rng)
+        ids, w = subsequences(made)
+        return float(np.median((self.table[ids] * w).sum(1))) if len(made) else 0.0
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.worst(texts).astype(float) + self.b, -50, 50)))
 
@@ -334,6 +344,20 @@ def _windows_at(codes: np.ndarray, at: np.ndarray, letters: np.ndarray | int = W
     return np.where(place < np.reshape(letters, (-1, 1)), codes[at[:, None] + place], 0).astype(np.int64)
 
 
+def gapped(windows: np.ndarray, weight: np.ndarray, letters: np.ndarray, rng: np.random.Generator, draws: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with one letter put in, of those that occur, at each inner place, and with one inner letter left out; the
+    weight of a window is dealt to what is made of it. A window that grows beyond ``WINDOW`` loses its last letter."""
+    out, share = [], []
+    for w, c in zip(windows, weight, strict=True):
+        n = int((w > 0).sum())
+        made = [np.r_[w[:i], x, w[i:]][:WINDOW] for i in range(1, n) for x in rng.choice(letters, draws)]
+        if n > ORDER + 1:
+            made += [np.r_[w[:i], w[i + 1 :], 0] for i in range(1, n - 1)]
+        out += made
+        share += [c / len(made)] * len(made)
+    return np.array(out, np.int64).reshape(-1, WINDOW), np.array(share)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, rounds: int = 40) -> np.ndarray:
     """Linear SVM (squared hinge) by Newton steps on the rows within the margin, halved while they do not help; the last
     column of x is the bias, which is not held small."""
@@ -393,9 +417,18 @@ class _Space:
         return out
 
 
-def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds: int = 5, seed: int = 7, share: float | None = None) -> Model:
+def fit(
+    texts: list[str | None], label: list[int], landmarks: int = 384, rounds: int = 5, seed: int = 7, share: float | None = None, gaps: float = 1.0, stress: float = 10.0,
+    clean_words: int = 4000, worst_clean: int = 4, clean_windows: int = 12_000,
+) -> Model:
     """Fits the kernel SVM and its calibration; every fourth document is left out of the SVM and calibrates it.
 
+    So that the kernel bridges what is put into an insult, windows with a letter put in or left out are trained beside the
+    windows of insults (``gaps`` times their weight), clean windows that come near weigh more (``stress`` times how far they
+    are within the margin), and the calibration sees each toxic document's worst window bent in the same ways too.
+    What a round trains on is bounded: windows of ``clean_words`` clean words to begin with, then the ``worst_clean`` worst
+    words of each clean document, of which the ``clean_windows`` heaviest windows stay.
+
     ``share`` is that of toxic documents where the model will be used; that of the given ones if it is not known.
 
     Without toxic or without clean documents nothing can be learnt: every score is then the constant share of toxic ones.
@@ -435,7 +468,7 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
             ranked.append(sorted(seeds, key=lambda x: (-x[0], x[1])))
     neg_words = np.unique(place[~toxic_word])
     del word
-    picked = rng.choice(neg_words, min(len(neg_words), 4000), replace=False)
+    picked = rng.choice(neg_words, min(len(neg_words), clean_words), replace=False)
     clean = _windows_at(codes, start[picked], rng.integers(LEAST, WINDOW + 1, len(picked)))
     # the most frequent window of every gram, in the order of the grams; then second ones and so on, up to a number
     chosen: dict[bytes, tuple[np.ndarray, int]] = {}
@@ -448,6 +481,8 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
     else:
         pos = np.unique(_windows_at(codes, start[rng.choice(np.unique(place[toxic_word]), 32)]), axis=0)
         seen = np.ones(len(pos))
+    whole = ~((pos >= EDGE).any(1))
+    parted, parted_seen = gapped(pos[whole], seen[whole], codes[(codes > 0) & (codes < EDGE)][:100_000], rng)
     total = np.zeros(CLASSES**ORDER)
     ids, w = subsequences(pos)
     np.add.at(total, ids.ravel(), w.ravel())
@@ -455,7 +490,7 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
     near = (total[ids] * w).sum(1)
     more = max(16, landmarks - len(pos))
     marks = np.unique(np.concatenate([pos, clean[np.argsort(-near)[: more // 2]], clean[: more // 2]]), axis=0)
-    px, nx, pw, nw = pos, clean, seen, np.ones(len(clean))
+    px, nx, pw, nw = np.concatenate([pos, parted]), clean, np.r_[seen, gaps * parted_seen], np.ones(len(clean))
     table, bias = flat, 0.0
     for left in range(rounds - 1, -1, -1):
         space = _Space(marks)
@@ -476,20 +511,23 @@ def fit(texts: list[str | None], label: list[int], landmarks: int = 192, rounds:
         docs = u.doc[order]
         rank = np.arange(len(order), dtype=np.int32) - np.searchsorted(docs, docs).astype(np.int32)
         top = order[(yt[docs] == 1) & (rank == 0)]
-        hard = order[(yt[docs] == 0) & (rank < 4)]
+        hard = order[(yt[docs] == 0) & (rank < worst_clean)]
         if left:  # what no landmark marks yet
             lost, times = _counted(peak(place[top[best[place[top]] + bias < 0]]), 1)
             marks = np.unique(np.concatenate([marks, lost[times >= FEWEST]]), axis=0)
         # the windows that the grams gave stay, so that an insult that never is a document's worst is learnt too
-        px, pw = _counted(np.concatenate([pos, peak(place[top])]), np.r_[SEEDS * len(top) * seen / seen.sum(), np.ones(len(top))])
-        nx, nw = _counted(np.concatenate([nx, peak(place[hard])]), np.r_[nw, np.ones(len(hard))])
-        heavy = np.argsort(-nw, kind="stable")[:12000]
+        seeds_weight = SEEDS * len(top) / seen.sum()
+        px, pw = _counted(np.concatenate([pos, parted, peak(place[top])]), np.r_[seeds_weight * seen, gaps * seeds_weight * parted_seen, np.ones(len(top))])
+        nx, nw = _counted(np.concatenate([nx, peak(place[hard])]), np.r_[nw, 1 + stress * np.maximum(0, 1 + best[place[hard]] + bias)])
+        heavy = np.argsort(-nw, kind="stable")[:clean_windows]
         nx, nw = nx[heavy], nw[heavy]
     model = Model(table, info={"grams": len(grams), "landmarks": len(marks), "bias": bias})
     cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
     del u, codes, start, first, place
     worst = np.concatenate([model.worst([texts[i] for i in part]) for part in np.array_split(cal, len(cal) // 50 + 1)])
-    model.a, model.b = labelled.platt(worst.astype(float) + bias, y[cal], float(y.mean()) if share is None else share)
+    bent = np.array([model.bent(texts[i], rng) for i in cal[(y[cal] == 1) & (worst + bias > 0)]] if gaps else [])
+    margins, truth = np.r_[worst.astype(float), bent] + bias, np.r_[y[cal], np.ones(len(bent), int)]
+    model.a, model.b = labelled.platt(margins, truth, float(y.mean()) if share is None else share)
     model.b += model.a * bias
     return model
 

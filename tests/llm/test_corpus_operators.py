@@ -65,6 +65,23 @@ def test_toxicity_of_held_out_sentences():
         assert m.score([t])[0] >= 0.5, t
 
 
+def test_toxicity_bridges_letters_put_in():
+    """Of insults of 5 to 9 letters, with a letter put in at each inner place, in sentences that were not trained on."""
+    r = random.Random(9)
+    syll = ["an", "er", "th", "on", "re", "ing", "st", "ou", "le", "ta", "mi", "do", "gra", "ple"]
+    word = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
+    bad = ["worthless", "idiot", "stupid", "clown", "vermin", "pathetic"]
+    sentence = lambda w: " ".join([word() for _ in range(29)] + ([w] if w else []))
+    data = [(sentence(r.choice(bad) if i % 3 == 0 else None), int(i % 3 == 0)) for i in range(1200)]
+    m = toxicity.fit([t for t, _ in data], [y for _, y in data])
+    bent = [w[:i] + x + w[i:] for w in bad for i in range(1, len(w)) for x in "kqzaeu"]
+    caught = m.score([sentence(w) for w in bent]) >= 0.5
+    assert caught.mean() >= 0.9
+    clean = m.score([sentence(None) for _ in range(1000)]) >= 0.5
+    assert clean.mean() <= 0.01
+    assert (m.score([sentence(w) for w in bad]) >= 0.5).all()
+
+
 def test_kernel_table_is_the_kernel():
     """The folded table gives the sum over landmarks of the kernel, computed pair by pair."""
     def phi(s):
