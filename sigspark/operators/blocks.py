@@ -9,6 +9,7 @@ with n from 0 without gaps; ``numbered`` makes them. Rows are read twice, so wha
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,7 @@ from ..functions.dsp import TINY
 from ..meta import Stage
 from ..shared import cut, small
 from .arrays import lists, matrix
+from .rhythm import soft_mask
 
 #: Samples of a block, frames of a block of spectra, and blocks whose maps one task composes.
 BLOCK, FRAMES, FAN = 1 << 15, 512, 1024
@@ -332,6 +334,58 @@ def pcen(s: Stage, gain: float = 0.98, bias: float = 2, power: float = 0.5, time
     return Stage(out.withColumn("frame", F.col("frame").cast("int")), s.meta.child("pcen"))
 
 
+# ---- separation ----
+
+
+def hpss(s: Stage, kernel: tuple[int, int] = (31, 31), power: float = 2.0, margin: tuple[float, float] = (1, 1), edge: str = "shrink", size: int | None = None) -> DataFrame:
+    """(signal_id, frame, t, mask_h, mask_p, harmonic, percussive) of spectrograms of any length, each column an array.
+
+    Medians along frames are taken in blocks that see half a kernel of frames around them; sorted windows are moved by one
+    value at a time, so a value costs the logarithm of the kernel to find, and not a sort of its window.
+    """
+    size = size or FRAMES
+    dealt = in_blocks(_frame_rows(s), size, left=kernel[0] // 2, right=kernel[0] - 1 - kernel[0] // 2, n="frame")
+    mag = np.sqrt if s.meta.spectrum == "power" else (lambda v: v)
+
+    def masks(block: int, t: pa.Table):
+        frame, time, v = ordered(t, "frame", "t", "spec")
+        own = frame // size == block
+        if not own.any():
+            return None
+        first = int(np.flatnonzero(own)[0])
+        mh, mp = masks_of(mag(v), slice(first, first + int(own.sum())), kernel, power, margin, edge)
+        return {"frame": frame[own], "t": time[own], "mask_h": mh, "mask_p": mp, "harmonic": v[own] * mh, "percussive": v[own] * mp}
+
+    out = map_blocks(dealt, masks, "frame bigint, t double, mask_h array<double>, mask_p array<double>, harmonic array<double>, percussive array<double>")
+    return out.withColumn("frame", F.col("frame").cast("int"))
+
+
+def sliding_median(v: Vector, size: int, edge: str = "shrink") -> Vector:
+    """Medians of ``size`` neighbours along a vector; at the ends of fewer values, or of zeros. One sorted window moves."""
+    h, n = size // 2, len(v)
+    values = v.tolist()
+    window = sorted(values[: min(n, size - h)] if edge == "shrink" else [0.0] * h + values[: size - h] + [0.0] * max(0, size - h - n))
+    out = np.empty(n)
+    for i in range(n):
+        k = len(window)
+        out[i] = window[k // 2] if k % 2 else (window[k // 2 - 1] + window[k // 2]) / 2
+        gone, come = i - h, i - h + size
+        if gone >= 0 or edge == "zero":
+            del window[bisect_left(window, values[gone] if gone >= 0 else 0.0)]
+        if come < n or edge == "zero":
+            insort(window, values[come] if come < n else 0.0)
+    return out
+
+
+def masks_of(v: Vector, own: slice, kernel: tuple[int, int], power: float, margin: tuple[float, float], edge: str) -> tuple[Vector, Vector]:
+    """Harmonic and percussive masks of the own frames of a magnitude matrix."""
+    if edge not in ("shrink", "zero") or min(margin) < 1:
+        raise ValueError("edge must be shrink or zero, margins at least 1")
+    h = np.stack([sliding_median(c, kernel[0], edge) for c in v.T], axis=1)[own] if kernel[0] > 1 else v[own]
+    p = np.stack([sliding_median(r, kernel[1], edge) for r in v[own]]) if kernel[1] > 1 else v[own]
+    return soft_mask(h, p * margin[1], power), soft_mask(p, h * margin[0], power)
+
+
 # ---- hidden states: products of matrices over the steps of a block ----
 
 

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import transforms
+from ..functions import dsp, transforms
 from ..functions.dsp import next_pow2
 from ..meta import SpecMeta, Stage
 from ..shared import cut, small
 from .arrays import lists, ragged
-from .blocks import in_blocks, ordered
+from .blocks import affine, affine_at, in_blocks, map_blocks, ordered, scan
+from .spectral import istft
 
 LIMIT = 1 << 20
 Vector = np.ndarray
@@ -391,4 +392,73 @@ def cwt(rows: DataFrame, sr: int, winsize: int, winstep: int, window: str = "rec
     return Stage(df, base.child("cwt", freq, spectrum=spectrum, wavelet=str(wavelet)))
 
 
-__all__ = ["analytic", "bands", "convolve", "cqt", "cwt", "factors", "fft", "pieces_of", "rows_of", "sizes_of", "stockwell"]
+# ---- stretching: phases are sums of turns over all frames before ----
+
+
+def time_stretch(rows: DataFrame, rate: float, sr: int, winsize: int = 4096, winstep: int | None = None, window: str = "hanning", frames: int = 256, fan: int | None = None) -> DataFrame:
+    """(signal_id, n, x): what ``dsp.time_stretch`` gives, from samples in rows, without a seam between blocks.
+
+    A block of output frames sees the samples of the frames they lie between. What its phases turn by from its first frame
+    to the next block's is its map; the turns of all blocks before come from a prefix pass. Samples then add up where frames
+    overlap.
+    """
+    if rate <= 0:
+        raise ValueError("rate must be positive")
+    h, nb = winstep or winsize // 4, winsize // 2 + 1
+    base = SpecMeta("frames", sr, winsize, h, window)
+    win, advance = dsp.window(window, winsize), np.pi * h * np.arange(nb) / (nb - 1)
+    sizes = sizes_of(rows)
+    n, span = F.col("n"), frames * rate * h
+    first = F.greatest(F.floor((n - (winsize + 2 * h)) / span), F.lit(0)).cast("bigint")
+    dealt = rows.select("signal_id", "n", "x").join(small(sizes), "signal_id").withColumn("block", F.explode(F.sequence(first, F.floor((n + 2 * h) / span).cast("bigint"))))
+
+    def spectra(block: int, t: pa.Table) -> tuple[Vector, Vector, Vector] | None:
+        """Output frames of the block, the part of a step each lies at, and the coefficients from the first one's frame on."""
+        count = (t.column("size")[0].as_py() - winsize) // h + 1
+        out = np.arange(block * frames, min((block + 1) * frames, math.ceil(count / rate) if count > 0 else 0))
+        if not len(out):
+            return None
+        at, x = ordered(t, "n", "x")
+        i = np.floor(out * rate).astype(int)
+        need = np.arange(i[0], i[-1] + 2)
+        c = np.zeros((len(need), nb), complex)
+        real = need < count  # behind the last frame there are zeros
+        place = need[real] * h - at[0]
+        c[real] = np.fft.rfft(x[place[:, None] + np.arange(winsize)] * win, axis=1)
+        return out, i - i[0], c
+
+    def turns(c: Vector, i: Vector) -> Vector:
+        turn = np.angle(c[i + 1]) - np.angle(c[i]) - advance
+        return advance + turn - 2 * np.pi * np.sign(turn) * np.floor(np.abs(turn / (2 * np.pi)) + 0.5)
+
+    def to_map(block: int, t: pa.Table):
+        got = spectra(block, t)
+        if got is None:
+            return None
+        _, i, c = got
+        total = turns(c, i).sum(0) + (np.angle(c[0]) if block == 0 else 0)
+        return {"block": [block], "map": np.r_[np.full(nb, float(block > 0)), total][None]}
+
+    def from_state(block: int, t: pa.Table, s: dict):
+        got = spectra(block, t)
+        if got is None:
+            return None
+        out, i, c = got
+        frac = (out * rate - np.floor(out * rate))[:, None]
+        mag = (1 - frac) * np.abs(c[i]) + frac * np.abs(c[i + 1])
+        phase = (np.angle(c[0]) if block == 0 else s["state"]) + np.vstack([np.zeros(nb), np.cumsum(turns(c, i), axis=0)[:-1]])
+        z = mag * np.exp(1j * phase)
+        return {"frame": out, "re": z.real, "im": z.imag}
+
+    top = sizes.agg(F.max("size")).first()[0] or 0
+    maps = map_blocks(dealt, to_map, "block bigint, map array<double>")
+    states = scan(maps, affine, affine_at, np.zeros(nb), int(top // span) + 2, fan)
+    made = map_blocks(dealt, from_state, "frame bigint, re array<double>, im array<double>", states).withColumn("t", F.lit(0.0))
+    back = istft(Stage(made, base.child("stft", np.arange(nb) * sr / winsize, nfft=winsize), "re"))
+    length = F.floor(F.col("size") / rate + 0.5).cast("bigint")  # as long as the signal over the rate, with zeros behind
+    silent = sizes.select("signal_id", F.explode(F.sequence(F.lit(0).cast("bigint"), length)).alias("n")).join(small(sizes), "signal_id").where(F.col("n") < length).select("signal_id", "n")
+    got = silent.join(back.select("signal_id", F.col("n").cast("bigint").alias("n"), "x"), ["signal_id", "n"], "left")
+    return got.select("signal_id", "n", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+__all__ = ["analytic", "bands", "convolve", "cqt", "cwt", "factors", "fft", "pieces_of", "rows_of", "sizes_of", "stockwell", "time_stretch"]

@@ -270,21 +270,23 @@ def median_filter(v: np.ndarray, size: int, axis: int, edge: str = "shrink") ->
     return np.nanmedian(w, axis=2) if edge == "shrink" else np.median(w, axis=2)
 
 
+def soft_mask(x: np.ndarray, r: np.ndarray, power: float) -> np.ndarray:
+    """The share of ``x`` beside ``r``, each to a power; halves where both are nothing."""
+    z = np.maximum(x, r)
+    if math.isinf(power):
+        return np.where(z <= 0, 0.5, np.where(x > r, 1.0, np.where(x == r, 0.5, 0.0)))
+    s = np.where(z > 0, z, 1)
+    a, b = (x / s) ** power, (r / s) ** power
+    return np.where(z <= 0, 0.5, a / np.where(a + b > 0, a + b, 1))
+
+
 def hpss_of(v: np.ndarray, kernel=(31, 31), power: float = 2.0, margin=(1, 1), edge: str = "shrink") -> tuple[np.ndarray, np.ndarray]:
     """Harmonic and percussive masks of a magnitude matrix, frames x bins."""
     if edge not in ("shrink", "zero") or min(margin) < 1:
         raise ValueError("edge must be shrink or zero, margins at least 1")
     h, p = median_filter(v, kernel[0], 0, edge), median_filter(v, kernel[1], 1, edge)
 
-    def mask(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        z = np.maximum(x, r)
-        if math.isinf(power):
-            return np.where(z <= 0, 0.5, np.where(x > r, 1.0, np.where(x == r, 0.5, 0.0)))
-        s = np.where(z > 0, z, 1)
-        a, b = (x / s) ** power, (r / s) ** power
-        return np.where(z <= 0, 0.5, a / np.where(a + b > 0, a + b, 1))
-
-    return mask(h, p * margin[1]), mask(p, h * margin[0])
+    return soft_mask(h, p * margin[1], power), soft_mask(p, h * margin[0], power)
 
 
 def matrices(s: Stage, column: str = "spec") -> DataFrame:

@@ -135,3 +135,13 @@ def test_wavelets_in_blocks(spark, rows, signals, frames):
         fourier.cwt(rows, 64, 32, 16, voices=4, freqrange=(4, 32))
     with pytest.raises(ValueError, match="shorter"):
         fourier.cwt(rows, 64, 32, 16, voices=4, freqrange=(0.1, 0.2))
+
+
+@pytest.mark.parametrize(("rate", "frames"), [(1.25, 3), (0.8, 4), (1.0, 100), (2.7, 2)])
+def test_stretching_without_seams(rows, signals, rate, frames):
+    got = fourier.time_stretch(rows, rate, 64, 32, 8, frames=frames, fan=3).orderBy("signal_id", "n").toPandas()
+    for k, x in signals.items():
+        own = got[got.signal_id == k]
+        expected = dsp.time_stretch(x, rate, 32, 8) if len(x) >= 32 else np.zeros(dsp.half_away(len(x) / rate))
+        assert own["n"].tolist() == list(range(len(expected)))
+        np.testing.assert_allclose(own["x"], expected, atol=1e-9)
