@@ -58,6 +58,22 @@ def spec_v(spark: SparkSession, sf: str, spectrum: str = "power") -> Stage:
     return spectral.stft(framing.frames(signals_v(spark, sf), SR, winsize=W, winstep=W, window="rect"), spectrum=spectrum)
 
 
+def listed(f: Callable, place: str, name: str = "v", digits: int = 4) -> Callable[[SparkSession, str], DataFrame]:
+    """Orders, each with the number that ``f()`` has at the order's place: its key modulo the length."""
+
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        numbers = np.asarray(f(), float)
+        rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % len(numbers)).cast("bigint").alias(place))
+        known = spark.createDataFrame(list(enumerate(numbers.tolist())), f"{place} bigint, {name} double")
+        return rows.join(F.broadcast(known), place).select("id", place, (F.round(name, digits) + 0.0).alias(name))
+
+    return q
+
+
+def at_orders(sql: str, place: str, n: int) -> str:
+    return f"SELECT o_orderkey AS id, q.* FROM orders JOIN ({sql}) q ON q.{place} = o_orderkey % {n}"
+
+
 def values(df: DataFrame, name: str = "value", digits: int = 4) -> DataFrame:
     return df.select("signal_id", "frame", F.round(F.col(name), digits).alias("value"))
 
@@ -169,8 +185,13 @@ def _framing() -> None:
     register("offset_compensation", rows_of(dsp.offset_compensation), recur.format(rows=U_ROWS, first="x", step="es.x - y.xp + 0.999::DOUBLE * y.y"))
     register("normalize_peak", rows_of(dsp.normalize_peak), f"WITH {U_ROWS} SELECT sig AS signal_id, n::INT AS n, round(x / max(abs(x)) OVER (PARTITION BY sig), 4) AS x FROM es")
     formulas = {"rect": "1.0::DOUBLE", "hanning": "0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 64)", "hamming": "0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * n / 64)", "blackman": "0.42::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 64) + 0.08::DOUBLE * cos(4 * pi() * n / 64)", "bartlett": "1 - abs(2 * n / 64.0::DOUBLE - 1)", "gauss": "exp(-0.5::DOUBLE * pow(2.5::DOUBLE * (n - 32) / 32, 2))", "bohman": "(1 - abs(2 * n / 64.0::DOUBLE - 1)) * cos(pi() * abs(2 * n / 64.0::DOUBLE - 1)) + sin(pi() * abs(2 * n / 64.0::DOUBLE - 1)) / pi()", "povey": "pow(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 64), 0.85::DOUBLE)"}
-    register("windows", lambda s, d: s.createDataFrame([(k, i, float(v)) for k in WINDOWS if k in formulas for i, v in enumerate(window(k, 64))], "name string, n int, v double").select("name", "n", F.round("v", 6).alias("v")),
-             " UNION ALL ".join(f"SELECT '{k}' AS name, n::INT AS n, round({v}, 6) AS v FROM (SELECT unnest(range(64)) AS n)" for k, v in formulas.items()))
+
+    def windowed(spark, sf):
+        w = spark.createDataFrame([(k, window(k, 64).tolist()) for k in WINDOWS if k in formulas], "name string, w array<double>")
+        made = signals_v(spark, sf).join(F.broadcast(w)).select("signal_id", "name", F.posexplode(F.zip_with("samples", "w", lambda a, b: a * b)).alias("n", "x"))  # each embedding under each window
+        return made.select("signal_id", "name", "n", (F.round("x", 6) + 0.0).alias("x"))
+
+    register("windows", windowed, f"WITH {V_ROWS} " + " UNION ALL ".join(f"SELECT sig AS signal_id, '{k}' AS name, n::INT AS n, round(x * ({v}), 6) + 0.0 AS x FROM es" for k, v in formulas.items()))
 
 
 # ---- Fourier ----
@@ -454,8 +475,8 @@ def _units() -> None:
     register("normalize_signal_l2", scaled(lambda x, w: units.normalize_signal(x * 100, w, 2) * 100), f"SELECT signal_id, n, round(x * 100 / sqrt(sum(x * x * 10000) OVER (PARTITION BY signal_id)) * 100, 4) + 0.0 AS v FROM {rows}")
     register("temporal_db", lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("signal_id")).agg(*units.temporal_db(F.col("value") / 500)).select("signal_id", *[F.round(c, 4).alias(c) for c in ("max_db", "mean_db", "below")]), "SELECT event_type AS signal_id, round(max(v), 4) AS max_db, round(avg(v), 4) AS mean_db, round(avg((v <= -18)::INT::DOUBLE), 4) AS below FROM (SELECT event_type, greatest(20 * log10(abs(value / 500) + 1e-8), -36) AS v FROM events) GROUP BY 1")
 
-    ids = "(SELECT unnest(range(1, 1001)) AS i)"
-    grid = lambda s: s.range(1, 1001).withColumnRenamed("id", "i")
+    ids = "(SELECT o_orderkey AS i FROM orders)"
+    grid = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("i"))
     conv = {
         "frames_to_samples": (lambda: units.frames_to_samples("i", 160, 7).cast("bigint"), "(i - 1) * 160 + 8"),
         "samples_to_frames": (lambda: units.samples_to_frames("i", 160, -80).cast("bigint"), "floor((i - 1 + 80) / 160.0::DOUBLE)::BIGINT + 1"),
@@ -465,7 +486,7 @@ def _units() -> None:
         "time_to_samples": (lambda: units.time_to_samples(F.col("i") / 100, 16000).cast("bigint"), "i * 160 + 1"),
     }
     for name, (column, sql) in conv.items():
-        register(name, lambda s, d, c=column: grid(s).select("i", c().alias("v")), f"SELECT i, {sql} AS v FROM {ids}")
+        register(name, lambda s, d, c=column: grid(s, d).select("i", c().alias("v")), f"SELECT i, {sql} AS v FROM {ids}")
     for name, freq, sql in (
         ("fft_frequencies", units.fft_frequencies(16000, 512), "i * 31.25::DOUBLE FROM (SELECT unnest(range(257)) AS i)"),
         ("mel_frequencies", units.mel_frequencies(40, 0, 8000, True), "700 * (pow(10.0::DOUBLE, i * (2595 * log10(1 + 8000.0::DOUBLE / 700)) / 39 / 2595) - 1) FROM (SELECT unnest(range(40)) AS i)"),
@@ -474,15 +495,13 @@ def _units() -> None:
         ("erb_edges", scales.band_edges("erb", 0, 8000, 20), "(pow(10.0::DOUBLE, i * 21.3654::DOUBLE * log10(1 + 8000 * 0.004368::DOUBLE) / 21 / 21.3654::DOUBLE) - 1) / 0.004368::DOUBLE FROM (SELECT unnest(range(22)) AS i)"),
     ):
         body, tail = sql.split(" FROM ", 1)
-        register(name, lambda s, d, f=freq: s.createDataFrame([(i, float(v)) for i, v in enumerate(f)], "i long, v double").select("i", F.round("v", 4).alias("v")), f"SELECT i, round({body}, 4) AS v FROM {tail}")
-
-    def generated(f):
-        return lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(f())], "n long, x double").select("n", (F.round("x", 4) + 0.0).alias("x"))
+        register(name, listed(lambda f=freq: f, "i"), at_orders(f"SELECT i, round({body}, 4) AS v FROM {tail}", "i", len(freq)))
 
-    register("tone", lambda s, d: s.range(800).select(F.col("id").alias("n"), (F.round(F.cos(2 * math.pi * 220.0 * F.col("id") / 8000 - math.pi / 2), 4) + 0.0).alias("x")), "SELECT n, round(cos(2 * pi() * 220.0::DOUBLE * n / 8000 - pi() / 2), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)")
-    register("chirp", generated(lambda: dsp.chirp(100, 1000, 8000, 0.1)), "SELECT n, round(cos(2 * pi() * 100 * 0.1::DOUBLE / ln(10.0::DOUBLE) * (pow(10.0::DOUBLE, n / 8000.0::DOUBLE / 0.1::DOUBLE) - 1) - pi() / 2), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)")
-    register("clicks", generated(lambda: dsp.clicks([0.1, 0.3], 8000, click_duration=0.01, length=4000)), "SELECT n, round(coalesce((SELECT sum(sin(2 * pi() * 1000.0::DOUBLE * (n - s) / 8000) * exp(-10.0::DOUBLE * (n - s) / 80)) FROM (VALUES (800), (2400)) t(s) WHERE n - s BETWEEN 0 AND 79), 0), 4) + 0.0 AS x FROM (SELECT unnest(range(4000)) AS n)")
-    register("synth_f0", generated(lambda: dsp.synth_f0([0, 0.05], [200, 300], 8000)), "SELECT n, round(sin(2 * pi() * (CASE WHEN n <= 400 THEN n * 200.0::DOUBLE ELSE 400 * 200.0::DOUBLE + (n - 400) * 300.0::DOUBLE END) / 8000), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)")
+    generated = lambda f: listed(f, "n", "x")
+    register("tone", generated(lambda: dsp.tone(220, 8000, 0.1)), at_orders("SELECT n, round(cos(2 * pi() * 220.0::DOUBLE * n / 8000 - pi() / 2), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)", "n", 800))
+    register("chirp", generated(lambda: dsp.chirp(100, 1000, 8000, 0.1)), at_orders("SELECT n, round(cos(2 * pi() * 100 * 0.1::DOUBLE / ln(10.0::DOUBLE) * (pow(10.0::DOUBLE, n / 8000.0::DOUBLE / 0.1::DOUBLE) - 1) - pi() / 2), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)", "n", 800))
+    register("clicks", generated(lambda: dsp.clicks([0.1, 0.3], 8000, click_duration=0.01, length=4000)), at_orders("SELECT n, round(coalesce((SELECT sum(sin(2 * pi() * 1000.0::DOUBLE * (n - s) / 8000) * exp(-10.0::DOUBLE * (n - s) / 80)) FROM (VALUES (800), (2400)) t(s) WHERE n - s BETWEEN 0 AND 79), 0), 4) + 0.0 AS x FROM (SELECT unnest(range(4000)) AS n)", "n", 4000))
+    register("synth_f0", generated(lambda: dsp.synth_f0([0, 0.05], [200, 300], 8000)), at_orders("SELECT n, round(sin(2 * pi() * (CASE WHEN n <= 400 THEN n * 200.0::DOUBLE ELSE 400 * 200.0::DOUBLE + (n - 400) * 300.0::DOUBLE END) / 8000), 4) + 0.0 AS x FROM (SELECT unnest(range(800)) AS n)", "n", 800))
 
 
 # ---- rhythm and separation ----
@@ -498,9 +517,10 @@ def _rhythm() -> None:
     register("tempo", lambda s, d: rhythm.tempo(rhythm.onset_strength(spec_e(s, d))))
 
     def beats(spark, sf):
-        """Of a click every half a second, whose beats are known; the events have none."""
-        x = dsp.clicks(np.arange(0.5, 8, 0.5), 8000, length=8 * 8000)
-        clicks = spark.createDataFrame([("clicks", 8000, x.tolist())], "signal_id string, sr int, samples array<double>")
+        """A click every half a second, whose beats are known, from a different sample on for each supplier."""
+        sources = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("signal_id"), F.array((F.col("s_suppkey") % 97).cast("double")).alias("samples"))
+        train = lambda x, row: [(8000, dsp.clicks(np.arange(0.5, 8, 0.5) + x[0] / 8000, 8000, length=8 * 8000))]
+        clicks = per_signal(sources, {"sr": wholes.T.IntegerType(), "samples": wholes.ARRAY}, train)
         return rhythm.beat_track(rhythm.onset_strength(spectral.spectrogram(clicks, 8000, winsize=512, winstep=256)))
 
     register("beat_track", beats)
@@ -552,14 +572,14 @@ def _wholes() -> None:
         "wsst": lambda x: wholes.wsst(x, SR, scale=None, voices=4, freqrange=(2, 30), **opts),
         "pwt": lambda x: wholes.pwt(x, SR, nbands=12, freqrange=(4, 30), bins_per_octave=6, **opts),
         "nsgt": lambda x: wholes.nsgt(x, SR, nbands=12, freqrange=(4, 30), bins_per_octave=6, **opts),
-        "st": lambda x: wholes.st(x, SR, freqrange=(2, 4), **opts),
-        "fst": lambda x: wholes.fst(x, SR, freqrange=(2, 4), **opts),
+        "st": lambda x: wholes.st(x, SR, **opts),
+        "fst": lambda x: wholes.fst(x, SR, **opts),
         "dwt": lambda x: wholes.discrete_wavelet(x, SR, "dwt", level=4, **opts),
         "wpt": lambda x: wholes.discrete_wavelet(x, SR, "wpt", level=3, **opts),
         "swt": lambda x: wholes.discrete_wavelet(x, SR, "swt", level=3, **opts),
         "wvd": lambda x: wholes.cohen(x, SR, "wvd", **opts),
         "cwd": lambda x: wholes.cohen(x, SR, "cwd", **opts),
-        "hht": lambda x: wholes.hht(x, SR, nbins=33, max_imfs=4, **opts),
+        "hht": lambda x: wholes.hht(x, SR, nbins=33, **opts),
         "ewt": lambda x: wholes.ewt(x, SR, 4, **opts),
     }
     for name, f in fronts.items():
@@ -568,7 +588,7 @@ def _wholes() -> None:
     register("cqt_chroma", lambda s, d: cells(spectral.chroma(wholes.cqt(signals_e(s, d), SR, fmin=2.0, nbins=24, bins_per_octave=12, **opts), bank=fold)))
     register("reassign_targets", lambda s, d: wholes.reassign(frames_e(s, d), targets=True))
     register("cwt_centroid", lambda s, d: values(descriptors.describe(fronts["cwt"](signals_e(s, d)), ["centroid"]), "centroid"))
-    register("emd", lambda s, d: wholes.imfs(signals_u(s, d), max_imfs=3))
+    register("emd", lambda s, d: wholes.imfs(signals_u(s, d)))
     register("nsgt_cells", lambda s, d: wholes.nsgt_cells(signals_u(s, d), SR, nbands=6, freqrange=(4, 30), bins_per_octave=6))
     register("reassign", lambda s, d: wholes.reassign(frames_e(s, d)).select("signal_id", "frame", "bin", F.round("value", 4).alias("value")))
     long_frames = lambda s, d: framing.frames(signals_v(s, d), SR, winsize=W, winstep=W, window="rect")
@@ -639,14 +659,14 @@ def _wholes() -> None:
         SELECT sig AS signal_id, round(arg_max(greatest(a0, a1), n), 4) AS logp FROM f GROUP BY sig""")
 
     register("viterbi", lambda s, d: wholes.viterbi(symbols(s, d), np.array(b), np.array(a), np.array(p0)).select("signal_id", F.round("logp", 4).alias("logp")), ORACLE_SQL["hmm_decode"])
-    register("hmm_generate", lambda s, d: wholes.hmm_generate(s.range(4).select(F.col("id").cast("string").alias("signal_id"), F.col("id").alias("seed_offset")), model, 50))
+    register("hmm_generate", lambda s, d: wholes.hmm_generate(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("signal_id"), F.col("c_custkey").alias("seed_offset")), model, 50))
 
     def trained(x: np.ndarray, row: dict):
-        h = model.train(x.astype(int), 20)
+        h = model.train(x.astype(int))
         return [(float(h.a[0, 0]), float(h.a[1, 1]))]
 
     register("hmm_train", lambda s, d: per_signal(symbols(s, d), {"stay0": wholes.T.DoubleType(), "stay1": wholes.T.DoubleType()}, trained))
-    register("nmf", lambda s, d: wholes.nmf(spec_e(s, d), 2, max_iter=40))
+    register("nmf", lambda s, d: wholes.nmf(spec_e(s, d), 2))
 
 
 for part in (_framing, _fourier, _bands, _descriptors, _units, _rhythm, _wholes):

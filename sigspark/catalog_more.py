@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog, oracles
@@ -26,12 +26,28 @@ def register(name: str, query, sql: str) -> None:
 
 
 def listed(f):
-    """A query of a short list of numbers that is made on the driver."""
-    return lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(f())], "i int, v double").select("i", (F.round("v", 6) + 0.0).alias("v"))
+    """Orders, each with the number ``f`` has at the order's place (its key modulo the length)."""
+
+    def q(spark, sf):
+        values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(f())], "i int, v double")
+        return at_places(spark, sf, values)
+
+    return q
+
+
+def at_places(spark: SparkSession, sf: str, values) -> DataFrame:
+    """Orders joined with rows (i, ...) of a short list, by key modulo its length."""
+    n = values.count()
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % n).cast("int").alias("i"))
+    return rows.join(F.broadcast(values), "i").select("id", *[F.round(c, 6) + 0.0 if t == "double" else F.col(c) for c, t in values.dtypes]).toDF("id", *values.columns)
+
+
+def places_sql(values: str, n: int) -> str:
+    return f"SELECT o_orderkey AS id, q.* FROM orders JOIN ({values}) q ON q.i = o_orderkey % {n}"
 
 
 def list_sql(n: int, value: str) -> str:
-    return f"SELECT i::INT AS i, round(({value})::DOUBLE, 6) + 0.0::DOUBLE AS v FROM (SELECT unnest(range({n})) AS i)"
+    return places_sql(f"SELECT i::INT AS i, round(({value})::DOUBLE, 6) + 0.0::DOUBLE AS v FROM (SELECT unnest(range({n})) AS i)", n)
 
 
 def _sources() -> None:
@@ -92,7 +108,7 @@ def _frames_and_spectra() -> None:
         "triang": "1 - abs(n + 1 - 33) / 33.0::DOUBLE", "cosine": "sin(pi() * (n + 0.5::DOUBLE) / 65)", "lanczos": f"CASE WHEN n = 32 THEN 1 ELSE sin(pi() * {z}) / (pi() * {z}) END", "bartlett_hann": "0.62::DOUBLE - 0.48::DOUBLE * abs(n / 64.0::DOUBLE - 0.5::DOUBLE) + 0.38::DOUBLE * cos(2 * pi() * (n / 64.0::DOUBLE - 0.5::DOUBLE))",
     }
     for name, sql in formulas.items():
-        register(f"window_{name}", listed(lambda n=name: window(n, 64)), f"SELECT n::INT AS i, round(({sql})::DOUBLE, 6) + 0.0::DOUBLE AS v FROM (SELECT unnest(range(64)) AS n)")
+        register(f"window_{name}", listed(lambda n=name: window(n, 64)), places_sql(f"SELECT n::INT AS i, round(({sql})::DOUBLE, 6) + 0.0::DOUBLE AS v FROM (SELECT unnest(range(64)) AS n)", 64))
     register("window_symmetric", listed(lambda: window("hamming", 33, periodic=False)), list_sql(33, "0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 32)"))
 
     def phases(spark, sf):  # the first and the last bin are real: their phase is 0 or pi by rounding
@@ -105,15 +121,16 @@ def _frames_and_spectra() -> None:
         m = spec_e(spark, sf).meta
         odd = m.child("mel_spec", [1.0, 2.5, 4.0, 8.0, 16.0, 31.0])
         cases = [(k, lo, hi, *s.bins(lo, hi)) for k, s in (("fft", m), ("bands", odd)) for lo, hi in ((0, 32), (3, 9), (4, 4), (30, 32), (5, 20))]
-        return spark.createDataFrame(cases, "grid string, low int, high int, first int, behind int")
+        numbered = [(i, *c) for i, c in enumerate(sorted(cases))]
+        return at_places(spark, sf, spark.createDataFrame(numbered, "i int, grid string, low int, high int, first int, behind int"))
 
     grids = "g AS (SELECT 'fft' AS grid, i, i::DOUBLE AS f FROM (SELECT unnest(range(33)) AS i) UNION ALL SELECT 'bands', i, ([1.0, 2.5, 4.0, 8.0, 16.0, 31.0])[i + 1] FROM (SELECT unnest(range(6)) AS i)), r(low, high) AS (VALUES (0, 32), (3, 9), (4, 4), (30, 32), (5, 20))"
-    register("bin_ranges", bins, f"WITH {grids} SELECT grid, low, high, coalesce(min(CASE WHEN f BETWEEN low AND high THEN i END), 0)::INT AS first, coalesce(max(CASE WHEN f BETWEEN low AND high THEN i + 1 END), 0)::INT AS behind FROM g, r GROUP BY grid, low, high")
+    register("bin_ranges", bins, places_sql(f"WITH {grids} SELECT (row_number() OVER (ORDER BY grid, low, high) - 1)::INT AS i, grid, low, high, coalesce(min(CASE WHEN f BETWEEN low AND high THEN i END), 0)::INT AS first, coalesce(max(CASE WHEN f BETWEEN low AND high THEN i + 1 END), 0)::INT AS behind FROM g, r GROUP BY grid, low, high", 10))
     register("mag_view", lambda s, d: values(descriptors.describe(spec_e(s, d, "magnitude"), ["centroid"]), "centroid"), f"WITH {spec_sql()} {PICK.format('sum(f * sqrt(v)) / sum(sqrt(v))')} FROM spec GROUP BY sig, frame")
     register("several_descriptors", lambda s, d: descriptors.describe(spec_e(s, d), ["energy", "max", "mean"]).select("signal_id", "frame", *[F.round(c, 4).alias(c) for c in ("energy", "max", "mean")]), f"WITH {spec_sql()} SELECT sig AS signal_id, frame::INT AS frame, round(avg(v), 4) AS energy, round(max(v), 4) AS max, round(avg(v), 4) AS mean FROM spec GROUP BY sig, frame")
     register("stage_times", listed(lambda: framing.SpecMeta("frames", SR, W, H, offset=-32).times(20)), list_sql(20, f"(-32 + i * {H} + {W} / 2.0::DOUBLE) / {SR}"))
     register("stage_duration", listed(lambda: [framing.SpecMeta("frames", SR, W, H).duration(n) for n in range(1, 9)]), list_sql(8, f"(i * {H} + {W}) / {SR}.0::DOUBLE"))
-    register("ms_to_samples", listed(lambda: [presets.ms(sr, m) for sr in (8000, 11025, 16000, 22050) for m in (10, 25, 30)]), "WITH c AS (SELECT row_number() OVER (ORDER BY sr, m) - 1 AS i, sr, m FROM (SELECT unnest([8000, 11025, 16000, 22050]) AS sr), (SELECT unnest([10, 25, 30]) AS m)) SELECT i::INT AS i, round(round_even(sr * m / 1000.0::DOUBLE, 0), 6) + 0.0 AS v FROM c")
+    register("ms_to_samples", listed(lambda: [presets.ms(sr, m) for sr in (8000, 11025, 16000, 22050) for m in (10, 25, 30)]), places_sql("WITH c AS (SELECT row_number() OVER (ORDER BY sr, m) - 1 AS i, sr, m FROM (SELECT unnest([8000, 11025, 16000, 22050]) AS sr), (SELECT unnest([10, 25, 30]) AS m)) SELECT i::INT AS i, round(round_even(sr * m / 1000.0::DOUBLE, 0), 6) + 0.0 AS v FROM c", 12))
 
 
 def _bands() -> None:
@@ -151,16 +168,16 @@ def _rhythm_and_pitch() -> None:
     frames_v = lambda s, d: framing.frames(signals_v(s, d), SR, winsize=W, winstep=W, window="rect")
     register("pitch_callable", lambda s, d: values(wholes.pitch_frames(frames_v(s, d), lambda x, sr, bounds, threshold: sr * x[:, 0] + bounds[1] * x[:, -1], (2, 16))), f"WITH {V_ROWS} SELECT sig AS signal_id, 0 AS frame, round(64 * sum(CASE WHEN n = 0 THEN x END) + 16 * sum(CASE WHEN n = 63 THEN x END), 4) AS value FROM es GROUP BY sig")
     ranges = [(64, (2, 16), 64), (16000, (50, 400), 512), (8000, (60, 333), 256), (44100, (70, 500), 2048)]
-    register("lag_ranges", lambda s, d: s.createDataFrame([(sr, lo, hi, n, *pitch.lag_range(sr, (lo, hi), n)) for sr, (lo, hi), n in ranges], "sr int, low int, high int, n int, first int, last int"),
-             f"WITH {values_sql('r', 'sr, low, high, n', [(sr, lo, hi, n) for sr, (lo, hi), n in ranges])} SELECT sr, low, high, n, greatest(1, floor(sr / high::DOUBLE))::INT AS first, least(n - 1, ceil(sr / low::DOUBLE))::INT AS last FROM r")
+    register("lag_ranges", lambda s, d: at_places(s, d, s.createDataFrame([(i, sr, lo, hi, n, *pitch.lag_range(sr, (lo, hi), n)) for i, (sr, (lo, hi), n) in enumerate(ranges)], "i int, sr int, low int, high int, n int, first int, last int")),
+             places_sql(f"WITH {values_sql('r', 'i, sr, low, high, n', [(i, sr, lo, hi, n) for i, (sr, (lo, hi), n) in enumerate(ranges)])} SELECT i, sr, low, high, n, greatest(1, floor(sr / high::DOUBLE))::INT AS first, least(n - 1, ceil(sr / low::DOUBLE))::INT AS last FROM r", len(ranges)))
 
 
 def _transforms() -> None:
     register("cwt_grid", listed(lambda: transforms.cwt_grid((2, 30), None, voices=4)), list_sql(math.floor(math.log2(15) * 4) + 1, "2 * pow(2.0::DOUBLE, i / 4.0::DOUBLE)"))
     register("wavelet_centres", listed(lambda: [transforms.centre_of(w)[1] for w in ("morlet", "morse", "bump", "dog", "ricker")]), list_sql(5, "([6.0, pow(20 / 3.0::DOUBLE, 1 / 3.0::DOUBLE), 5.0, sqrt(2.5::DOUBLE), 4.0])[i + 1]"))
-    register("wavelet_centre_of_callable", listed(lambda: [transforms.centre_of(lambda v: np.exp(-((v - 3.25) ** 2)))[1]]), "SELECT 0 AS i, 3.25::DOUBLE AS v")
+    register("wavelet_centre_of_callable", listed(lambda: [transforms.centre_of(lambda v: np.exp(-((v - 3.25) ** 2)))[1]]), places_sql("SELECT 0 AS i, 3.25::DOUBLE AS v", 1))
     db2 = "([1 + sqrt(3.0::DOUBLE), 3 + sqrt(3.0::DOUBLE), 3 - sqrt(3.0::DOUBLE), 1 - sqrt(3.0::DOUBLE)])[i + 1] / (4 * sqrt(2.0::DOUBLE))"
-    register("wavelet_filter_db2", listed(lambda: np.sort(discrete.wavelet_filters("db2")[0])), f"SELECT (row_number() OVER (ORDER BY v) - 1)::INT AS i, round(v, 6) + 0.0 AS v FROM (SELECT {db2} AS v FROM (SELECT unnest(range(4)) AS i))")
+    register("wavelet_filter_db2", listed(lambda: np.sort(discrete.wavelet_filters("db2")[0])), places_sql(f"SELECT (row_number() OVER (ORDER BY v) - 1)::INT AS i, round(v, 6) + 0.0 AS v FROM (SELECT {db2} AS v FROM (SELECT unnest(range(4)) AS i))", 4))
     names = ["haar", "db2", "db5", "db10", "sym4", "sym8", "coif1"]
     register("wavelet_filter_sums", listed(lambda: [discrete.wavelet_filters(n)[0].sum() for n in names]), list_sql(len(names), "sqrt(2.0::DOUBLE)"))
     register("wavelet_filter_norms", listed(lambda: [(discrete.wavelet_filters(n)[0] ** 2).sum() for n in names]), list_sql(len(names), "1"))

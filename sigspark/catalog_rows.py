@@ -53,6 +53,16 @@ def _recurrences() -> None:
     register("spectral_gate_rows", lambda s, d: cells(blocks.spectral_gate(spec_e(s, d), -20, release=1, size=8, fan=FAN)), catalog.ORACLE_SQL["spectral_gate"])
 
 
+def _separation() -> None:
+    def parts(spark: SparkSession, sf: str) -> DataFrame:
+        both = blocks.hpss(spec_e(spark, sf), (15, 9), size=8)
+        rows = both.select("signal_id", "frame", F.posexplode(F.arrays_zip("mask_h", "mask_p")).alias("bin", "m"))
+        return rows.select("signal_id", "frame", "bin", F.round("m.mask_h", 4).alias("mask_h"), F.round("m.mask_p", 4).alias("mask_p"))
+
+    register("hpss_rows", parts, catalog.ORACLE_SQL["hpss_masks"])
+    register("time_stretch_rows", lambda s, d: rounded(fourier.time_stretch(rows_e(s, d), 1.25, SR, 32, frames=16, fan=FAN), "x"))
+
+
 def _models() -> None:
     kinds = ["click", "error", "purchase", "signup", "view"]
     p0, a = np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]])
@@ -124,7 +134,7 @@ def _fourier() -> None:
     register("front_cwt_rows", lambda s, d: cells(fourier.cwt(rows_e(s, d), SR, W, H, voices=2, freqrange=(3, 12), frames=8)), f"WITH {sized}, {ext}, {taps_sql}, {y} {framed}")
 
 
-for part in (_recurrences, _models, _fourier):
+for part in (_recurrences, _separation, _models, _fourier):
     part()
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
