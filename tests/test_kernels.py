@@ -167,6 +167,30 @@ def test_nine_seven_pair_is_biorthogonal():
     assert abs(even.max() - 1) < 1e-8 and np.abs(np.sort(np.abs(even))[:-1]).max() < 1e-8
 
 
+@pytest.mark.parametrize(("name", "peak"), [("coif1", 0.852572), ("coif2", 0.812724), ("coif3", 0.793777), ("coif4", 0.782239), ("coif5", 0.774290)])
+def test_coiflets(name, peak):
+    """Orthonormal, with vanishing moments of both functions; the published peaks tell the solution from others."""
+    _, hi, lo, _ = discrete.wavelet_filters(name)
+    k, n = int(name[4:]), len(lo)
+    assert n == 6 * k and abs(np.abs(lo).max() - peak) < 5e-6
+    for shift in range(0, n, 2):
+        assert abs(lo[: n - shift] @ lo[shift:] - (shift == 0)) < 1e-12
+    at = (np.arange(n) - np.abs(lo).argmax()) / n
+    for p in range(2 * k):
+        assert abs(hi @ at**p) < 1e-10
+        assert abs(lo @ at**p - (math.sqrt(2) if p == 0 else 0)) < 1e-10
+
+
+def test_six_eight_pair_is_biorthogonal():
+    lo_d, _, lo_r, _ = discrete.wavelet_filters("bior6.8")
+    assert abs(np.abs(lo_d).max() - 0.825923) < 1e-6 and abs(np.abs(lo_r).max() - 0.758908) < 1e-6
+    full = np.convolve(lo_d, lo_r)
+    at = int(np.abs(full).argmax())
+    assert abs(full[at] - 1) < 1e-12 and np.abs(np.delete(full[at % 2 :: 2], at // 2)).max() < 1e-12
+    sign = (-1.0) ** np.arange(18)
+    assert all(abs((lo_d * sign) @ (np.arange(18) / 18) ** p) < 1e-10 for p in range(8)) and all(abs((lo_r * sign) @ (np.arange(18) / 18) ** p) < 1e-10 for p in range(6))
+
+
 def test_meyer_is_nearly_orthonormal():
     lo = discrete.wavelet_filters("dmey")[0]
     assert abs(lo @ lo - 1) < 1e-3 and abs(lo[2:] @ lo[:-2]) < 1e-3
