@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import bpe, decontam, linededup, simhash, toxicity
-from sigspark.llm.common import shared_dir
+from sigspark.llm.common import remove, shared_dir
 from sigspark.llm.queries import tokenizer_path, tokenizer_pattern
 
 
@@ -65,10 +65,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet in the shared folder and read again."""
-    folder = shared_dir(spark)
+    """All stages on ``documents``, each written as Parquet in the shared folder and read again.
+
+    What a stage wrote is deleted once the next one is written, and the session's size of batches is as before; the last
+    stage's files stay, since the result is read from them.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    folder, before, old = shared_dir(spark), spark.conf.get(setting), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if old:
+                remove(spark, old)
+            docs, old = spark.read.parquet(path), path
+    finally:
+        spark.conf.set(setting, before)
     return docs
