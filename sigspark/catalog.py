@@ -482,7 +482,7 @@ def _units() -> None:
         "samples_to_frames": (lambda: units.samples_to_frames("i", 160, -80).cast("bigint"), "floor((i - 1 + 80) / 160.0::DOUBLE)::BIGINT + 1"),
         "frames_to_time": (lambda: F.round(units.frames_to_time("i", 160, 16000), 6), "round((i - 1) * 160 / 16000.0::DOUBLE, 6)"),
         "time_to_frames": (lambda: units.time_to_frames(F.col("i") / 100, 160, 16000).cast("bigint"), "i + 1"),
-        "samples_to_time": (lambda: F.round(units.samples_to_time("i", 16000), 6), "round((i - 1) / 16000.0::DOUBLE, 6)"),
+        "samples_to_time": (lambda: F.round(units.samples_to_time("i", 16000), 7), "round((i - 1) / 16000.0::DOUBLE, 7)"),
         "time_to_samples": (lambda: units.time_to_samples(F.col("i") / 100, 16000).cast("bigint"), "i * 160 + 1"),
     }
     for name, (column, sql) in conv.items():
