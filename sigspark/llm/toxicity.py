@@ -371,8 +371,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, ro
     w = np.zeros(x.shape[1])
     now, inside = loss(w)
     for _ in range(rounds):
-        xa = x[inside]
-        wanted = np.linalg.solve((xa * v[inside, None]).T @ xa + np.diag(ridge), xa.T @ (v[inside] * y[inside]))
+        rows, square, side = np.flatnonzero(inside), np.diag(ridge), np.zeros(x.shape[1])
+        for i in range(0, len(rows), 2048):  # without copies of all rows
+            part = rows[i : i + 2048]
+            xa, va = x[part], v[part]
+            square += (xa * va[:, None]).T @ xa
+            side += xa.T @ (va * y[part])
+        wanted = np.linalg.solve(square, side)
         step = 1.0
         while step > 1e-4:
             new = w + step * (wanted - w)
