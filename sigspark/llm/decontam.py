@@ -91,7 +91,10 @@ def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id:
             at = it.where(F.size("iw") >= window).select("item", F.size("iw").alias("len"), F.posexplode(with_left(grams(F.col("iw"), k))).alias("q", "g"))
             at = at.groupBy(F.col("g.h").alias("h"), F.col("g.left").alias("left"), "item", "len").agg(F.collect_list("q").alias("qs"))  # places of an item that begin alike are one row
             fp = at.select(*fp.columns).union(fp)
-        at = near.select(*key, F.posexplode(with_left(grams(F.col("w"), n))).alias("p", "g")).select(*key, "p", "g.h", F.col("g.left").alias("__left"))
+        if n == k:
+            at = near.select(*key, F.posexplode(with_left(grams(F.col("w"), n))).alias("p", "g")).select(*key, "p", "g.h", F.col("g.left").alias("__left"))
+        else:  # a whole item: nothing of it lies before
+            at = near.select(*key, F.posexplode(grams(F.col("w"), n)).alias("p", "h")).select(*key, "p", "h", F.lit(None).cast("bigint").alias("__left"))
         begins = F.col("left").isNull() | F.col("__left").isNull() | (F.col("left") != F.col("__left"))  # else the run began before
         got = at.join(_small(fp, MOST_BROADCAST, F.size("qs") * 4 + 64), "h").where(begins)
         got = got.select(*key, "item", "len", "p", F.explode("qs").alias("q")).select(*key, "item", "len", (F.col("p") - F.col("q")).alias("diagonal"))
