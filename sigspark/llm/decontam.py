@@ -79,7 +79,8 @@ def hits(docs: DataFrame, items: DataFrame, key: list[str], text: str, item_id:
 
     doc = docs.select(*key, words(F.col(f"`{text}`")).alias("w"))
     marks = let(F.col("w"), lambda w: F.concat(winnow(grams(w, k), wide), *[grams(w, n) for n in short]))
-    met = doc.select(*key, F.explode(marks).alias("h")).join(wanted, "h", "left_semi").select(*key).distinct()
+    # an outer explode: a plain one is filtered by the size of what it explodes, which would hash every text twice
+    met = doc.select(*key, F.explode_outer(marks).alias("h")).where("h is not null").join(wanted, "h", "left_semi").select(*key).distinct()
     met = cut(met)
 
     # only documents with a fingerprint in common: where a run of equal words begins that holds k of them, or a short item
