@@ -153,10 +153,11 @@ def _crowds(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(dealt: DataFrame) -> DataFrame:
+    """``a``, ``b`` that share a key; a pair comes once for each key that it shares."""
     a = dealt.where("role = 0").select("key", F.col("h").alias("a"))
     b = dealt.select("key", F.col("h").alias("b"), "role")
     met = a.join(b, "key").where("a <> b and (role = 1 or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def similar_lines(lines: DataFrame, roles: list[int], fetch, threshold: int, per_edit: int) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +180,7 @@ def similar_lines(lines: DataFrame, roles: list[int], fetch, threshold: int, per
             if threshold == 1:
                 # role 0 here: the whole of what is left out, of which there is one under a key; it meets those with a letter more
                 pairs = pairs.union(_pairs(left.where("role < 2")))
-                stars = left.where("role = 2").select("key", "h").distinct()
+                stars = cut(left.where("role = 2").select("key", "h").distinct())  # read twice below
             else:
                 pairs = pairs.union(_pairs(left))
     near = cut(_verified(pairs.distinct(), texts, threshold, per_edit))

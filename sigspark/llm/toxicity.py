@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import labelled
-from .common import map_text
+from .common import map_text, release
 
 ORDER, WINDOW, DECAY = 4, 7, 0.85
 CLASSES = 36
@@ -141,7 +141,9 @@ def all_units(texts: list[str | None], step: int = 100) -> tuple[Units, np.ndarr
         parts.append(Units(u.codes, (u.start + letters).astype(np.int32), u.size.astype(np.int32), (u.doc + i).astype(np.int32)))
         letters += len(u.codes)
         bounds.append(bounds[-1] + len(u.start))
-    joined = Units(*[np.concatenate([getattr(p, k) for p in parts]) for k in ("codes", "start", "size", "doc")])
+    columns = {k: [getattr(p, k) for p in parts] for k in ("codes", "start", "size", "doc")}
+    del parts
+    joined = Units(*[np.concatenate(columns.pop(k)) for k in list(columns)])  # what is joined goes at once
     return joined, np.concatenate(marks), [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
@@ -412,7 +414,8 @@ class _Space:
         out = np.empty((len(windows), self.whiten.shape[1] + 1))
         for i in range(0, len(windows), 512):
             ids, w = subsequences(windows[i : i + 512])
-            out[i : i + 512, :-1] = np.einsum("nt,ntm->nm", w.astype(np.float32), self.zt[self.column[ids]], optimize=True) @ self.whiten
+            near = [np.einsum("nt,ntm->nm", w[j : j + 64].astype(np.float32), self.zt[self.column[ids[j : j + 64]]], optimize=True) for j in range(0, len(ids), 64)]
+            out[i : i + 512, :-1] = np.concatenate(near) @ self.whiten
         out[:, -1] = 1
         return out
 
@@ -455,24 +458,25 @@ def fit(
         return Model(flat, 1.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
     first, place = distinct(marks)
     place = place.astype(np.int32)
+    del marks
     codes, start = padded(u, first)
     # a window of each gram that marks toxic documents, in the words that hold it most often
     grams = _cover(u, parts, yt)
-    word = np.repeat(np.arange(len(u.start)), u.size)
+    n_grams = len(grams)
     toxic_word = yt[u.doc] == 1
     ranked: list[list[tuple[int, int, np.ndarray]]] = []
     for n, hit in grams:
         seeds: list[tuple[int, int, np.ndarray]] = []
+        word = np.searchsorted(u.start, hit, side="right") - 1  # words are in the order of their letters, without gaps
         for shift in range(WINDOW - n + 2):  # the gram alone; then at the head, in the middle and at the end of a window
-            begin = np.maximum(u.start[word[hit]], hit - max(0, shift - 1))
-            pick, count = np.unique(start[place[word[hit]]] + begin - u.start[word[hit]], return_counts=True)
+            begin = np.maximum(u.start[word], hit - max(0, shift - 1))
+            pick, count = np.unique(start[place[word]] + begin - u.start[word], return_counts=True)
             best = np.argsort(-count, kind="stable")[: 2 if shift else 1]
             windows = _windows_at(codes, pick[best], WINDOW if shift else max(n, LEAST))
             seeds += [(int(count[i]) + (0 if shift else len(hit)), len(seeds), w) for i, w in zip(best, windows, strict=True)]
         if seeds:
             ranked.append(sorted(seeds, key=lambda x: (-x[0], x[1])))
     neg_words = np.unique(place[~toxic_word])
-    del word
     picked = rng.choice(neg_words, min(len(neg_words), clean_words), replace=False)
     clean = _windows_at(codes, start[picked], rng.integers(LEAST, WINDOW + 1, len(picked)))
     # the most frequent window of every gram, in the order of the grams; then second ones and so on, up to a number
@@ -495,6 +499,8 @@ def fit(
     near = (total[ids] * w).sum(1)
     more = max(16, landmarks - len(pos))
     marks = np.unique(np.concatenate([pos, clean[np.argsort(-near)[: more // 2]], clean[: more // 2]]), axis=0)
+    del grams, total, ids, w, near
+    release()
     px, nx, pw, nw = np.concatenate([pos, parted]), clean, np.r_[seen, gaps * parted_seen], np.ones(len(clean))
     table, bias = flat, 0.0
     for left in range(rounds - 1, -1, -1):
@@ -517,6 +523,8 @@ def fit(
         rank = np.arange(len(order), dtype=np.int32) - np.searchsorted(docs, docs).astype(np.int32)
         top = order[(yt[docs] == 1) & (rank == 0)]
         hard = order[(yt[docs] == 0) & (rank < worst_clean)]
+        del order, docs, rank
+        release()
         if left:  # what no landmark marks yet
             lost, times = _counted(peak(place[top[best[place[top]] + bias < 0]]), 1)
             marks = np.unique(np.concatenate([marks, lost[times >= FEWEST]]), axis=0)
@@ -526,7 +534,7 @@ def fit(
         nx, nw = _counted(np.concatenate([nx, peak(place[hard])]), np.r_[nw, 1 + stress * np.maximum(0, 1 + best[place[hard]] + bias)])
         heavy = np.argsort(-nw, kind="stable")[:clean_windows]
         nx, nw = nx[heavy], nw[heavy]
-    model = Model(table, info={"grams": len(grams), "landmarks": len(marks), "bias": bias})
+    model = Model(table, info={"grams": n_grams, "landmarks": len(marks), "bias": bias})
     cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
     del u, codes, start, first, place
     worst = np.concatenate([model.worst([texts[i] for i in part]) for part in np.array_split(cal, len(cal) // 50 + 1)])
@@ -540,7 +548,10 @@ def fit(
 def fit_on(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 2000, id_col: str = "doc_id", text: str = "text") -> Model:
     """Fits on at most ``most_toxic`` and ``most_clean`` labelled documents outside of fold 0; that bounds the driver."""
     got = labelled.sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}, id_col, text)
-    return fit(got["text"].tolist(), got["label"].tolist(), share=labelled.share(labels, "toxic", id_col))
+    try:
+        return fit(got.pop("text").tolist(), got["label"].tolist(), share=labelled.share(labels, "toxic", id_col))
+    finally:
+        release()
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
