@@ -3,10 +3,12 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import models
-from sigspark.operators import wholes
+from sigspark.functions.windows import window
+from sigspark.operators import descriptors, framing, wholes
 
 MODEL = models.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.3, 0.1, 0.1, 0.1, 0.4], [0.1, 0.4, 0.2, 0.2, 0.1]]))
 
@@ -31,3 +33,42 @@ def test_sequences_are_drawn_side_by_side(spark):
     keys = spark.range(300).select(F.col("id").cast("string").alias("signal_id"), F.col("id").alias("seed_offset"))
     got = wholes.hmm_generate(keys, MODEL, 20, seed=7).collect()
     assert sorted((int(r.signal_id), r.n, r.state, r.symbol) for r in got) == [(i, *v) for i in range(300) for v in one(20, 7 + i)]
+
+
+@pytest.fixture(scope="module")
+def long_signal(spark):
+    x = np.random.default_rng(3).normal(size=200_000)
+    return x, spark.createDataFrame([("a", x.tolist())], "signal_id string, samples array<double>").cache()
+
+
+def test_frames_of_a_long_signal_do_not_carry_it(spark, long_signal):
+    x, df = long_signal
+    views = np.lib.stride_tricks.sliding_window_view(x, 64)[::32]
+    w = window("hanning", 64, True)
+    s = framing.frames(df, 64, winsize=64, winstep=32)
+    y = views * w
+    strict, plain = (y[:, 1:] * y[:, :-1] < 0).sum(1), ((views[:, 1:] < 0) != (views[:, :-1] < 0)).sum(1)
+    want = {
+        "rms": np.sqrt((views**2).mean(1)), "rms_windowed": np.sqrt((y**2).mean(1)), "energy": (y**2).sum(1), "zcr": plain / 64,
+        "zcr_strict": strict, "ezr": np.log10(1 + (y**2).sum(1)) / (strict + 1),
+    }
+    columns = [descriptors.rms(s).alias("rms"), descriptors.rms(s, True).alias("rms_windowed"), descriptors.energy(s).alias("energy"), descriptors.zcr(s).alias("zcr"), descriptors.zcr(s, rate=False, windowed=True, strict=True).alias("zcr_strict"), descriptors.ezr(s).alias("ezr")]
+    got = s.df.select("frame", *columns).orderBy("frame").toPandas()
+    for name, v in want.items():
+        np.testing.assert_allclose(got[name], v, rtol=1e-9, atol=1e-12)
+    windowed = framing.winframes(s).select("frame", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("v")).orderBy("frame").toPandas()
+    np.testing.assert_allclose(windowed["v"], y.sum(1), atol=1e-9)
+    level = views - views.mean(1, keepdims=True)
+    sharp = level - 0.97 * np.hstack([level[:, :1], level[:, :-1]])
+    fr = framing.frames(df, 64, winsize=64, winstep=32, dc_removal=True, preemph=0.97).df
+    got = fr.select("frame", "energy", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("v")).orderBy("frame").toPandas()
+    np.testing.assert_allclose(got[["energy", "v"]].to_numpy().T, [(level**2).sum(1), (sharp**2).sum(1)], rtol=1e-9)
+
+
+def test_frames_with_missing_samples(spark):
+    x = [float(i) for i in range(12)]
+    df = spark.createDataFrame([("a", x[:5] + [None] + x[6:]), ("b", None), ("c", x[:3]), ("d", x[:4])], "signal_id string, samples array<double>")
+    rows = lambda **o: {(r.signal_id, r.frame): (r.energy, r.x) for r in framing.frames(df, 4, winsize=4, winstep=4, **o).df.collect()}
+    assert rows() == {("a", 0): (14.0, x[:4]), ("a", 1): (None, [4.0, None, 6.0, 7.0]), ("a", 2): (366.0, x[8:]), ("d", 0): (14.0, x[:4])}
+    assert rows(preemph=0.5)["a", 1] == (None, [2.0, None, None, 4.0])
+    assert rows(dc_removal=True)["a", 1] == (None, [None] * 4)
