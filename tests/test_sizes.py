@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.functions import models
+from sigspark.functions import dsp, models, transforms
 from sigspark.functions.windows import window
-from sigspark.operators import descriptors, framing, wholes
+from sigspark.operators import descriptors, fourier, framing, wholes
 
 MODEL = models.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.3, 0.1, 0.1, 0.1, 0.4], [0.1, 0.4, 0.2, 0.2, 0.1]]))
 
@@ -72,3 +72,23 @@ def test_frames_with_missing_samples(spark):
     assert rows() == {("a", 0): (14.0, x[:4]), ("a", 1): (None, [4.0, None, 6.0, 7.0]), ("a", 2): (366.0, x[8:]), ("d", 0): (14.0, x[:4])}
     assert rows(preemph=0.5)["a", 1] == (None, [2.0, None, None, 4.0])
     assert rows(dc_removal=True)["a", 1] == (None, [None] * 4)
+
+
+def test_transforms_of_signals_longer_than_the_limit_squared(spark):
+    """By more steps at a size with factors (720) and through a chirp (a prime): fft, analytic, stockwell."""
+    assert fourier.steps(720, 16) > 0 and fourier.steps(307, 16) == -1 and fourier.steps(256, 256) == 0
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(size=720), "p": rng.normal(size=307)}
+    rows = spark.createDataFrame([(s, n, float(v)) for s, c in x.items() for n, v in enumerate(c)], "signal_id string, n bigint, x double").cache()
+
+    def same(df, want):
+        for s, w in want.items():
+            got = df.where(F.col("signal_id") == s).orderBy("n").toPandas()
+            assert got["n"].tolist() == list(range(len(w)))
+            np.testing.assert_allclose(got["re"] + 1j * got["im"], w, atol=1e-9)
+
+    there = fourier.fft(fourier.pieces_of(rows, 50), fourier.sizes_of(rows), limit=16)
+    same(fourier.rows_of(there), {s: np.fft.fft(c) for s, c in x.items()})
+    same(fourier.analytic(rows.where("signal_id = 'a'"), 16), {"a": dsp.hilbert(x["a"])})
+    voice = fourier.stockwell(rows.where("signal_id = 'a'"), 3, 3, limit=16)
+    same(voice, {"a": transforms.st(x["a"], 3, 3)[0]})
