@@ -1,6 +1,7 @@
 """What failed on larger tables: by time, by memory, or by a limit of size."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sigspark.functions import dsp, models, transforms
 from sigspark.functions.windows import window
 from sigspark.operators import descriptors, fourier, framing, wholes
+from sigspark.operators.arrays import grouped
 
 MODEL = models.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.3, 0.1, 0.1, 0.1, 0.4], [0.1, 0.4, 0.2, 0.2, 0.1]]))
 
@@ -92,3 +94,58 @@ def test_transforms_of_signals_longer_than_the_limit_squared(spark):
     same(fourier.analytic(rows.where("signal_id = 'a'"), 16), {"a": dsp.hilbert(x["a"])})
     voice = fourier.stockwell(rows.where("signal_id = 'a'"), 3, 3, limit=16)
     same(voice, {"a": transforms.st(x["a"], 3, 3)[0]})
+
+
+def test_bands_come_one_after_another():
+    """What is pooled is that of the whole matrix, in a few times the signal's memory; whole matrices took 54 to 244 times."""
+    x, w, opts = np.random.default_rng(1).normal(size=200_001), window("rect", 128, True), {"freqrange": (2, 30), "voices": 4}
+    starts = dsp.frame_starts(len(x), 128, 64)
+    pwt = {"nbands": 12, "freqrange": (4, 30), "bins_per_octave": 6}
+
+    def squeezed(v, s):
+        bands, f = transforms.cwt_each(v, 64, **opts)
+        return transforms.pooled_squeezed(((y, transforms.nearest_band(f, transforms.phase_frequency(y[None, :], 64)[0], True)) for y in bands), len(f), s, w, 0.001)
+
+    def squeezed_whole(v, s):
+        y, f = transforms.cwt_frames(v, 64, **opts)
+        return transforms.pooled(np.sqrt(transforms.synsq(y, f, 64, None, 0.001, 1, True)), s, w)
+
+    def derived(v, s):
+        cells, f = transforms.wsst_each(v, 64, scale=None, **opts)
+        return transforms.pooled_squeezed(cells, len(f), s, w, 0.001)
+
+    def hht_whole(v, s):
+        grid = np.zeros((33, len(v)))
+        for y in transforms.emd(v)[0]:
+            z = dsp.hilbert(y)
+            grid[np.clip(np.rint(transforms.phase_frequency(z[None, :], 64)[0]).astype(int), 0, 32), np.arange(len(v))] += np.abs(z) ** 2
+        return np.array([grid[:, a : a + 128] @ w for a in s]) / w.sum()
+
+    for most, each, whole in (
+        (16, lambda v, s: transforms.pooled(transforms.cwt_each(v, 64, **opts)[0], s, w), lambda v, s: transforms.pooled(transforms.cwt_frames(v, 64, **opts)[0], s, w)),
+        (24, squeezed, squeezed_whole),
+        (40, derived, lambda v, s: transforms.pooled(np.sqrt(transforms.wsst(v, 64, scale=None, energy=True, **opts)[0]), s, w)),
+        (20, lambda v, s: transforms.pooled(transforms.pwt_each(v, 64, **pwt)[0], s, w), lambda v, s: transforms.pooled(transforms.pwt(v, 64, **pwt)[0], s, w)),
+        (30, lambda v, s: transforms.hht(v, 64, s, w, 33)[0], hht_whole),
+    ):
+        short = dsp.frame_starts(3001, 128, 64)
+        np.testing.assert_allclose(each(x[:3001], short), whole(x[:3001], short), atol=1e-12)
+        tracemalloc.start()
+        assert each(x, starts).shape[0] == len(starts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * x.nbytes, peak / x.nbytes
+
+
+def test_grouped_holds_plain_numbers(spark):
+    """Keys with one value and with many batches of them, a null key and null values; three million values in one row."""
+    rng = np.random.default_rng(2)
+    sizes = {"a": 1, "b": 25_000, None: 3, "c": 2, "d": 10_000, "e": 1}
+    rows = [(k, n, None if (k, n) == ("c", 1) else float(n) / 4) for k, m in sizes.items() for n in rng.permutation(m).tolist()]
+    df = spark.createDataFrame(rows, "k string, n long, x double").repartition(3)
+    got = {r.k: r.samples for r in grouped(df, "k", "n", "x").collect()}
+    assert got == {k: [0.0, None] if k == "c" else [n / 4 for n in range(m)] for k, m in sizes.items()}
+    long = grouped(spark.range(3_000_000).select(F.lit("a").alias("k"), "id", (-F.col("id")).cast("double").alias("x")), "k", "id", "x")
+    assert "collect_list" not in long._jdf.queryExecution().toString()
+    r = long.select(F.size("samples").alias("n"), F.col("samples")[0].alias("first"), F.col("samples")[2_999_999].alias("last")).first()
+    assert tuple(r) == (3_000_000, 0.0, -2_999_999.0)
