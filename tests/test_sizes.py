@@ -149,3 +149,20 @@ def test_grouped_holds_plain_numbers(spark):
     assert "collect_list" not in long._jdf.queryExecution().toString()
     r = long.select(F.size("samples").alias("n"), F.col("samples")[0].alias("first"), F.col("samples")[2_999_999].alias("last")).first()
     assert tuple(r) == (3_000_000, 0.0, -2_999_999.0)
+
+
+def test_models_are_trained_side_by_side(spark):
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 5, n) for n in (1, 2, 3, 30, 64, 7, 64, *rng.integers(40, 60, 40))]
+    began = time.process_time()
+    want = [MODEL.train(s) for s in seqs]
+    one = time.process_time() - began
+    began = time.process_time()
+    got = MODEL.train_many(seqs)
+    assert time.process_time() - began < one / 2
+    df = spark.createDataFrame([(str(i), [float(v) for v in s]) for i, s in enumerate(seqs)], "signal_id string, samples array<double>")
+    rows = {int(r.signal_id): r for r in wholes.hmm_train(df, MODEL).collect()}
+    for i, (g, w) in enumerate(zip(got, want, strict=True)):
+        for name in ("p_init", "a", "b"):
+            np.testing.assert_allclose(getattr(g, name), getattr(w, name), atol=1e-9)
+            np.testing.assert_allclose(rows[i][name], getattr(w, name).ravel(), atol=1e-9)
