@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions import dsp, models, transforms
 from sigspark.functions.windows import window
-from sigspark.operators import descriptors, fourier, framing, wholes
+from sigspark.operators import descriptors, fourier, framing, rhythm, spectral, wholes
 from sigspark.operators.arrays import grouped
 
 MODEL = models.Hmm(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.3, 0.1, 0.1, 0.1, 0.4], [0.1, 0.4, 0.2, 0.2, 0.1]]))
@@ -166,3 +166,17 @@ def test_models_are_trained_side_by_side(spark):
         for name in ("p_init", "a", "b"):
             np.testing.assert_allclose(getattr(g, name), getattr(w, name), atol=1e-9)
             np.testing.assert_allclose(rows[i][name], getattr(w, name).ravel(), atol=1e-9)
+
+
+def test_beats_without_spectra_as_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = {str(i): dsp.clicks(np.arange(0.3 + i / 50, 6, 0.5), 8000, length=48_000) + 1e-3 * rng.normal(size=48_000) for i in range(4)}
+    df = spark.createDataFrame([*((s, v.tolist()) for s, v in x.items()), ("short", [1.0] * 100), ("zeros", [0.0] * 9000)], "signal_id string, samples array<double>")
+    rows = lambda d: sorted(map(tuple, d.select("signal_id", "bpm", "frame").collect()))
+    got = rhythm.beat_track_signals(df, 8000, 512, 256)
+    env = rhythm.onset_strength(spectral.spectrogram(df, 8000, winsize=512, winstep=256))
+    assert rows(got) == rows(rhythm.beat_track(env)) and len(rows(got)) > 20
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    want = env.df.where("signal_id = '0'").orderBy("frame").toPandas()["value"]
+    monkeypatch.setattr(rhythm, "BLOCK", 50)  # blocks of frames
+    np.testing.assert_allclose(rhythm.envelope_of(x["0"], 512, 256, window("hanning", 512, True)), want, atol=1e-12)
